@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, quality, warc
-from .common import table
+from . import bpe, decontamination, licenses, quality, sharding, toxicity, warc
+from .common import shared_dir, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -22,6 +22,18 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.per_document(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.per_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.per_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.compacted(spark, table(spark, sf_dir, "documents"), shared_dir(spark))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -30,5 +42,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), [PIECES]).drop("text", "lang")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op3_licenses, op9_bpe, op10_quality)}
-ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_licenses": licenses.oracle()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op3_licenses, op4_toxicity, op6_decontamination, op7_sharding, op9_bpe, op10_quality)}
+ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_licenses": licenses.oracle(), "op7_sharding": sharding.ORACLE}
