@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, licenses, quality, sharding, toxicity, warc
+from . import bpe, decontamination, licenses, quality, sharding, substrings, toxicity, warc
 from .common import shared_dir, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -18,6 +18,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.bytes_per_document(table(spark, sf_dir, "documents"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.per_document(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.compacted(spark, table(spark, sf_dir, "documents"), shared_dir(spark))
 
 
+def op8_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.words_per_document(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -42,5 +50,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), [PIECES]).drop("text", "lang")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op3_licenses, op4_toxicity, op6_decontamination, op7_sharding, op9_bpe, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_licenses, op4_toxicity, op6_decontamination, op7_sharding, op8_anchor_dedup, op9_bpe, op10_quality)}
 ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_licenses": licenses.oracle(), "op7_sharding": sharding.ORACLE}
