@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, licenses, quality, sharding, substrings, toxicity, warc
+from . import bpe, decontamination, jaccard, licenses, quality, sharding, substrings, toxicity, warc
 from .common import shared_dir, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -30,6 +30,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.per_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.per_document(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.per_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,5 +54,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), [PIECES]).drop("text", "lang")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_licenses, op4_toxicity, op6_decontamination, op7_sharding, op8_anchor_dedup, op9_bpe, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_licenses, op4_toxicity, op5_jaccard, op6_decontamination, op7_sharding, op8_anchor_dedup, op9_bpe, op10_quality)}
 ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_licenses": licenses.oracle(), "op7_sharding": sharding.ORACLE}
