@@ -4,17 +4,36 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mossgraph.llm import bpe, quality
+from mossgraph.llm import bpe, decontamination, jaccard, quality, substrings
 from mossgraph.llm.common import table, written
 from mossgraph.llm.queries import PIECES, RANKS
 
+#: Near duplicates of the pipeline: shingles of five words, and a similarity of 0.8 or more.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     return quality.filtered(docs, [PIECES])
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the document of the least id stays."""
+    return jaccard.one_of_each(docs, NEAR_PERCENT, NEAR_SHINGLE)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose what strings of 200 bytes that stand elsewhere too cover; every document stays."""
+    return substrings.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark's item go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
     return bpe.digests(docs, RANKS, public_tokenizers.PATTERN)
@@ -22,9 +41,12 @@ def bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_strings),
+    ("benchmark decontamination", benchmark_leaks),
     ("byte-level BPE", bpe_coding),
 ]
-#: Tokenisers and suffix arrays have no SQL; the tests hold the stages against brute force.
+#: Tokenisers and template slots have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -124,13 +124,16 @@ class Cut:
         return grams(content, self.window), grams(mix(content + _STEP), self.window)
 
 
-def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The distinct texts (null: empty) as a written table bucketed by ``h``, their hash: h, text, copies, least_id, node (a number)."""
+def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", others: list[str] | None = None) -> DataFrame:
+    """The distinct texts (null: empty) as a written table bucketed by ``h``, their hash: h, text, copies, least_id, node (a number).
+
+    With ``others``: also ``row``, those columns of a row of the least id."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(hash_of(F.col(text)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(doc_id).alias("id"))
+    rows = docs.select(hash_of(F.col(text)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(doc_id).alias("id"), *([F.struct(*(F.col(f"`{c}`") for c in others)).alias("row")] if others else []))
+    row = [F.min_by("row", F.struct(F.col("id").isNull(), "id")).alias("row")] if others else []
     name = f"texts_{uuid.uuid4().hex}"
-    rows.groupBy("h").agg(F.first("text").alias("text"), F.count("*").alias("copies"), F.min("id").alias("least_id")).withColumn("node", F.monotonically_increasing_id()).write.option("compression", "zstd").bucketBy(n, "h").option("path", shared_dir(spark)).saveAsTable(name)
+    rows.groupBy("h").agg(F.first("text").alias("text"), F.count("*").alias("copies"), F.min("id").alias("least_id"), *row).withColumn("node", F.monotonically_increasing_id()).write.option("compression", "zstd").bucketBy(n, "h").option("path", shared_dir(spark)).saveAsTable(name)
     return spark.table(name)
 
 
