@@ -132,8 +132,9 @@ def scored(docs: DataFrame, machine: Machine, text: str = "text", out: str = "sc
                 words = set(_WORDS((t or "").lower()))
                 if len(known) > REMEMBERED:
                     known.clear()
-                for w in words - known.keys():
-                    known[w] = own.index.get(bin_of(w), -1)
+                for w in words:
+                    if w not in known:
+                        known[w] = own.index.get(bin_of(w), -1)
                 scores.append(own.score(sorted({f for w in words if (f := known[w]) >= 0})))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*kept, out])
 
