@@ -130,9 +130,14 @@ def snippet(content: Column, position: Column, before: int = 40, size: int = 200
 
 def highlights(piece: Column, content: Column, words: list[str], size: int = 200) -> Column:
     """Half-open ranges of the query's terms within a snippet; none where the content is no longer than one."""
-    low = F.lower(piece)
-    whole = lambda w: F.filter(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: (F.substring(low, i, F.lit(len(w))) == w) & ~F.rlike(F.substring(low, i - 1, F.when(i > 1, 1).otherwise(0)), F.lit(r"[\p{L}\p{N}]")) & ~F.rlike(F.substring(low, i + len(w), F.lit(1)), F.lit(r"[\p{L}\p{N}]")))
-    found = F.concat(*(F.transform(whole(w), lambda i, n=len(w): F.struct((i - 1).alias("start"), (i - 1 + n).alias("end"))) for w in words))
+    low, letter = F.lower(piece), F.lit(r"[\p{L}\p{N}]")
+
+    def ranges(word: str) -> Column:
+        before = lambda i: F.when(i > 1, F.substring(low, i - 1, F.lit(1))).otherwise("")
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: (F.substring(low, i, F.lit(len(word))) == word) & ~F.rlike(before(i), letter) & ~F.rlike(F.substring(low, i + len(word), F.lit(1)), letter))
+        return F.transform(starts, lambda i: F.struct((i - 1).alias("start"), (i - 1 + len(word)).alias("end")))
+
+    found = F.concat(*map(ranges, words))
     return F.when(F.length(content) <= size, F.array().cast("array<struct<start:int,end:int>>")).otherwise(F.array_sort(found))
 
 

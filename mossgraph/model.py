@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 
 class InvalidRequest(ValueError):
     """A request that no plan is made for."""
@@ -13,23 +11,20 @@ class Unsupported(RuntimeError):
     """A write on a read-only source."""
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-DOCUMENTS = _struct(
+#: Schemas, as Spark's DDL.
+DOCUMENTS = (
     "id string, collection string, path string, content string, content_hash string, revision string, updated_at timestamp, deleted boolean, title string, author string, "
     "tags array<string>, aliases array<string>, raw_frontmatter string, fm array<struct<key:string,kind:string,text:string,term:string>>"
 )
-REVISIONS = _struct("doc_id string, revision string, author string, message string, content_hash string, content string, created_at timestamp, deps array<string>")
-EDGES = _struct("src string, dst string, rel string, props map<string,string>")
-VECTORS = _struct("id string, chunk int, model string, dim int, vector array<float>")
-BLOBS = _struct("hash string, algorithm string, size long, bytes binary")
-OUTBOX = _struct(
+REVISIONS = ("doc_id string, revision string, author string, message string, content_hash string, content string, created_at timestamp, deps array<string>")
+EDGES = ("src string, dst string, rel string, props map<string,string>")
+VECTORS = ("id string, chunk int, model string, dim int, vector array<float>")
+BLOBS = ("hash string, algorithm string, size long, bytes binary")
+OUTBOX = (
     "id string, document_id string, revision string, content_hash string, kind string, edge_version string, projection_version string, created_at timestamp, attempts int, dead_lettered boolean, "
     "lease_owner string, lease_token string, lease_expires_at timestamp"
 )
-CHANGES = _struct("sequence long, document_id string, collection string, kind string, revision string, content_hash string")
+CHANGES = ("sequence long, document_id string, collection string, kind string, revision string, content_hash string")
 
 #: Limits of requests.
 MAX_PAGE, MAX_OFFSET, MAX_DEPTH, MAX_BATCH, MAX_TAGS, MAX_QUERY_BYTES, MAX_CONTENT_BYTES, MAX_DELETED_PAGE = 500, 10_000, 10, 100, 64, 4096, 1 << 20, 200

@@ -91,7 +91,8 @@ def scan_scores(docs: DataFrame, query: str, text: str = "text", id: str = "id",
     if not words:
         return docs.withColumn("score", F.lit(0.0)).limit(0)
     held = terms(F.coalesce(F.col(text), F.lit("")))
-    counted = docs.withColumn("_t", held).withColumn("_n", F.size("_t")).withColumns({f"_{i}": F.size(F.filter("_t", lambda t, w=w: t == w)) for i, w in enumerate(words)}).drop("_t")
+    count = lambda word: F.size(F.filter("_t", lambda t: t == word))
+    counted = docs.withColumn("_t", held).withColumn("_n", F.size("_t")).withColumns({f"_{i}": count(w) for i, w in enumerate(words)}).drop("_t")
     stats = counted.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *(F.count_if(F.col(f"_{i}") > 0).alias(f"_df{i}") for i in range(len(words))))
     rows = counted.where(reduce(Column.__or__, (F.col(f"_{i}") > 0 for i in range(len(words)))))
     rows = (rows.where(keep) if keep is not None else rows).join(F.broadcast(stats))
