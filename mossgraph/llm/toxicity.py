@@ -84,7 +84,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("bins", T.ArrayType(T.IntegerType(), False))])
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("toxic"))
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text").mapInArrow(run, schema)
-    return written(rows.join(known.where(~held_out(F.col("doc_id"))), "doc_id"))
+    return written(rows.join(known.where(~held_out(F.col("doc_id"))).hint("merge"), "doc_id"))  # labels grow with the data
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
