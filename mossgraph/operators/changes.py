@@ -56,15 +56,16 @@ def stale_index(index: DataFrame, documents: DataFrame) -> DataFrame:
     return index.select("id").distinct().join(documents.where(~F.col("deleted")).select("id"), "id", "left_anti")
 
 
-def sequenced(changes: DataFrame, order: list[str], start: int = 0) -> DataFrame:
-    """``changes`` numbered in order without gaps. Ranges are numbered side by side: only their counts meet."""
-    spark = changes.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = changes.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+def sequenced(changes: DataFrame, order: list[str], start: int = 0, bucket: Column | None = None) -> DataFrame:
+    """``changes`` numbered in order without gaps.
+
+    Rows are numbered within buckets of the first order column (hours unless given otherwise; they must not
+    fall as it rises), side by side; a row per bucket tells how many come before."""
+    rows = changes.withColumn("_p", F.date_trunc("hour", F.col(order[0]).cast("timestamp")) if bucket is None else bucket)
+    before = F.coalesce(F.sum("_c").over(Window.orderBy(F.asc_nulls_first("_p")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = rows.groupBy("_p").agg(F.count("*").alias("_c")).select(F.col("_p").alias("_q"), before.alias("_o"))
     within = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = ranged.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_o", before).select("_p", "_o")  # a row per range
-    return ranged.withColumn("_w", within).join(F.broadcast(offsets), "_p").withColumn("sequence", F.col("_w") + F.col("_o") + start).drop("_p", "_w", "_o")
+    return rows.withColumn("_w", within).join(offsets, F.col("_p").eqNullSafe(F.col("_q"))).withColumn("sequence", F.col("_w") + F.col("_o") + start).drop("_p", "_q", "_w", "_o")
 
 
 def feed(changes: DataFrame, after: int, collections: list[str] | None = None, retained: int = RETAINED) -> DataFrame:
