@@ -11,7 +11,9 @@ band's largest D: of these, one at least is equal in both, and segments are join
 * Bands of small sets have D / 2 + 1 segments, one of which differs by a bit at most, with the same variants.
 
 Sharers of a segment are tested against the segment's least document, exactly, and what links is one component;
-members of one segment that are still in several components are then tested against each other. So groups
+members of one segment that are still in several components are then tested against each other. A test
+compares two plain parity sketches first, whose Hamming distance is never more than the difference, and the sets
+only if it is small enough. So groups
 of copies cost a test for each copy, and no link between different texts is lost.
 
 Null texts count as empty. Documents without words have size 0 and component of their own. Equal texts link
@@ -116,7 +118,7 @@ def _sharers(known: DataFrame, percent: int, size: int) -> DataFrame:
             made = [keys(shingles(t, size), percent) for t in batch.column(1).to_pylist()]
             node = np.repeat(batch.column(0).to_numpy(), [len(k) for k in made])
             key = np.concatenate(made).view(np.int64) if made else np.zeros(0, np.int64)
-            order = np.lexsort((node, key))
+            order = np.argsort(key)
             key, node = key[order], node[order]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
             count = np.diff(np.append(first, len(key))) - 1
@@ -133,41 +135,77 @@ def _sharers(known: DataFrame, percent: int, size: int) -> DataFrame:
     return written(shared.select("key", "hub", members.alias("members")))
 
 
-def _tested(known: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
-    """a, b and linked of every pair (a, b), by exact comparison; written."""
-    meta = known.select("node", "h")
-    placed = pairs.join(meta.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(meta.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
+def sketch(tokens: np.ndarray) -> bytes:
+    """The parity of a set's hashes over at least four bits for each, a power of two."""
+    n = 1 << max(6, int(4 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    bits = np.bincount((mix(tokens + _SEED) & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the length of the other; the sets differ in as many elements or more."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def sketches(known: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """node, h, n_shingles and sketch of every text; written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, size) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary())], ["node", "h", "n_shingles", "sketch"])
+
+    return written(known.select("node", "h", "text").mapInArrow(run, "node long, h binary, n_shingles long, sketch binary"))
+
+
+def _tested(known: DataFrame, drawn: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+    """a, b and linked of every pair (a, b): by their sketches where those differ too much, or else by the sets; written."""
+    side = lambda s: drawn.select(F.col("node").alias(s), *(F.col(c).alias(c[0] + s) for c in ("h", "n_shingles", "sketch")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = (batch.column(4).to_numpy() + batch.column(5).to_numpy()) * (100 - percent) // (100 + percent)
+            kept = [hamming(batch.column(6)[i].as_py(), batch.column(7)[i].as_py()) <= d for i, d in enumerate(sizes.tolist())]
+            yield batch.select(["a", "b", "ha", "hb"]).filter(pa.array(kept, pa.bool_()))
+
+    close = written(both.select("a", "b", "ha", "hb", "na", "nb", F.col("sa"), F.col("sb")).mapInArrow(near, "a long, b long, ha binary, hb binary"))
     texts = known.select("h", "text")
-    one = placed.join(texts.withColumnsRenamed({"h": "ha", "text": "ta"}), "ha").drop("ha")
-    both = one.join(texts.withColumnsRenamed({"h": "hb", "text": "tb"}), "hb").select("a", "b", "ta", "tb")
+    one = close.join(texts.withColumnsRenamed({"h": "hb", "text": "tb"}), "hb").drop("hb")
+    whole = one.join(texts.withColumnsRenamed({"h": "ha", "text": "ta"}), "ha").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: OrderedDict[int, np.ndarray] = OrderedDict()
 
-        def tokens(node: int, text: str) -> np.ndarray:
+        def tokens(node: int, text: pa.StringScalar) -> np.ndarray:
             if node not in held:
-                held[node] = shingles(text, size)
+                held[node] = shingles(text.as_py(), size)
                 if len(held) > 64:
                     held.popitem(last=False)
             return held[node]
 
         for batch in batches:
             linked = []
-            for row in range(batch.num_rows):
-                a, b, ta, tb = (batch.column(i)[row].as_py() for i in range(4))
+            for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns[:2]), *batch.columns[2:], strict=True):
                 x, y = tokens(a, ta), tokens(b, tb)
-                common = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+                common = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    return written(both.mapInArrow(run, "a long, b long, linked boolean"))
+    judged = written(whole.mapInArrow(run, "a long, b long, linked boolean").where("linked").select("a", "b"))
+    return written(pairs.select("a", "b").join(judged.withColumn("linked", F.lit(True)), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))))
 
 
-def linked_components(known: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """node and component of every text (of ``fragments.texts``) that links with another."""
+def linked_components(known: DataFrame, drawn: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """node and component of every text (of ``fragments.texts``, with its ``sketches``) that links with another."""
     sharers = _sharers(known, percent, size)
     spokes = sharers.select("key", "hub", F.explode("members").alias("node"))
-    tested = _tested(known, spokes.groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b")), percent, size)
+    tested = _tested(known, drawn, spokes.groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b")), percent, size)
     found = components(tested.where("linked").select("a", "b"))
 
     def labelled(rows: DataFrame, node: str, name: str) -> DataFrame:
@@ -176,7 +214,7 @@ def linked_components(known: DataFrame, percent: int = PERCENT, size: int = SHIN
     # hubs against all members of other components
     open_spokes = labelled(labelled(spokes, "node", "cn"), "hub", "ch").where("cn <> ch")
     pairs = open_spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    second = _tested(known, pairs, percent, size)
+    second = _tested(known, drawn, pairs, percent, size)
     links = tested.where("linked").unionByName(second.where("linked")).select("a", "b")
     if second.where("linked").limit(1).count():
         found = components(links)
@@ -186,26 +224,16 @@ def linked_components(known: DataFrame, percent: int = PERCENT, size: int = SHIN
     members = labelled(spokes.join(several, "key").select("key", "node"), "node", "c")
     x, y = (members.select("key", F.col("node").alias(n), F.col("c").alias(c)) for n, c in (("a", "ca"), ("b", "cb")))
     pairs = x.join(y, "key").where("a < b AND ca <> cb").select("a", "b").distinct().join(tested.unionByName(second).select("a", "b"), ["a", "b"], "left_anti")
-    third = _tested(known, pairs, percent, size)
+    third = _tested(known, drawn, pairs, percent, size)
     if third.where("linked").limit(1).count():
         found = components(links.unionByName(third.where("linked").select("a", "b")))
     return found
 
 
-def sizes(known: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """h and n_shingles of every text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(shingles(t, size)) for t in batch.column(1).to_pylist()], pa.int64())], ["h", "n_shingles"])
-
-    return known.select("h", "text").mapInArrow(run, "h binary, n_shingles long")
-
-
 def one_of_each(docs: DataFrame, percent: int, size: int) -> DataFrame:
     """``docs`` with one row of every component, one of its least id. Texts without words stay, one row for each such text."""
     known = fragments.texts(docs, others=[c for c in docs.columns if c != "text"])
-    found = linked_components(known, percent, size)
+    found = linked_components(known, sketches(known, size), percent, size)
     nodes = known.select("node", "least_id").join(found, "node")
     kept = nodes.groupBy("component").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "node")).alias("best")).select(F.col("best.node").alias("node"))
     gone = written(nodes.join(kept, "node", "left_anti").join(known.select("node", "h"), "node").select("h"))
@@ -215,8 +243,9 @@ def one_of_each(docs: DataFrame, percent: int, size: int) -> DataFrame:
 def per_document(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     known = fragments.texts(docs)
-    found = linked_components(known, percent, size)
+    drawn = sketches(known, size)
+    found = linked_components(known, drawn, percent, size)
     nodes = written(known.select("h", "node", "least_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = nodes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    results = sizes(known, size).join(nodes.join(least, "component").select("h", "component_id"), "h")
+    results = drawn.select("h", "n_shingles").join(nodes.join(least, "component").select("h", "component_id"), "h")
     return docs.select("doc_id", fragments.hash_of(F.col("text")).alias("h")).join(results, "h").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
