@@ -82,7 +82,7 @@ def keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The pigeonhole keys of a set: two sets that link share one."""
     out = []
     bits = mix(tokens ^ _SEED)
-    for band in bands(len(tokens), percent):
+    for band in bands(len(tokens), percent) if len(tokens) else ():
         d = most_differences(band, percent)
         small = band_edges()[band + 1] <= SMALL
         m = d // 2 + 1 if small else d + 1
