@@ -14,7 +14,7 @@ TOKEN_WINDOW = 64 << 10
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    """path (relative), size, modified and bytes of every file below ``folder``."""
+    """path (relative), size, modified and bytes of every file below ``folder``; Spark's readers pass over files of length 0."""
     root = F.lit(folder.rstrip("/") + "/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     relative = F.substring_index(F.col("path"), root, -1) if "://" in folder else F.regexp_replace("path", "^(file:)?/*" + _quoted(folder.strip("/")) + "/", "")

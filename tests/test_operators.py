@@ -8,7 +8,10 @@ from mossgraph.plans.search import SearchRequest, plan
 from mossgraph.sources import blobs, files
 from pyspark.sql import functions as F
 
-NOW = F.expr("timestamp '2030-01-01 00:00:00'")
+
+
+def now():
+    return F.expr("timestamp '2030-01-01 00:00:00'")
 T0 = datetime(2020, 1, 1)
 
 
@@ -47,25 +50,25 @@ def test_resolution(spark):
 def test_upsert(spark):
     s = state(spark, ("a", "old", False), ("b", "same", False), ("t", "gone", True))
     new = spark.createDataFrame([("a", "vault", "new", "rev-a"), ("b", "vault", "x", "wrong"), ("c", "vault", "first", None), ("t", "other", "y", None)], "id string, collection string, content string, expected_revision string")
-    out = store.upsert(s, new, NOW)
+    out = store.upsert(s, new, now())
     assert rows(out.documents, "id", "content", "deleted") == [("a", "new", False), ("b", "same", False), ("c", "first", False), ("t", "gone", True)]
     assert rows(out.conflicts, "id", "reason") == [("b", "revision"), ("t", "collection")]
     assert rows(out.outbox, "document_id", "kind") == [("a", "UPSERT"), ("c", "UPSERT")]
-    again = store.upsert(out, new.where("id = 'c'"), NOW)
+    again = store.upsert(out, new.where("id = 'c'"), now())
     assert again.revisions.count() == out.revisions.count() == 5
-    back = store.upsert(store.upsert(out, spark.sql("SELECT 'a' AS id, 'vault' AS collection, 'third' AS content"), NOW), spark.sql("SELECT 'a' AS id, 'vault' AS collection, 'new' AS content"), NOW)
+    back = store.upsert(store.upsert(out, spark.sql("SELECT 'a' AS id, 'vault' AS collection, 'third' AS content"), now()), spark.sql("SELECT 'a' AS id, 'vault' AS collection, 'new' AS content"), now())
     assert rows(back.conflicts, "id", "reason") == [("a", "revision exists")]
 
 
 def test_delete_restore_rename(spark):
     s = state(spark, ("a", "x", False), ("b", "y", False), ("dead", "z", True), links=[("a", "b"), ("b", "a")])
-    gone = store.delete(s, spark.sql("SELECT 'a' AS id UNION SELECT 'dead'"), NOW)
+    gone = store.delete(s, spark.sql("SELECT 'a' AS id UNION SELECT 'dead'"), now())
     assert rows(gone.documents.where("deleted"), "id", "revision") == [("a", "deleted-rev-a"), ("dead", "rev-dead")]
     assert rows(gone.conflicts, "id", "reason") == [("dead", "not live")]
-    back = store.restore(gone, spark.sql("SELECT 'a' AS id UNION SELECT 'b'"), NOW)
+    back = store.restore(gone, spark.sql("SELECT 'a' AS id UNION SELECT 'b'"), now())
     assert rows(back.documents.where("id = 'a'"), "revision", "deleted") == [("restored-deleted-rev-a", False)]
     moves = spark.createDataFrame([("a", "dead"), ("b", "a"), ("no", "n")], "old_id string, new_id string")
-    out = store.rename(s, moves, NOW)
+    out = store.rename(s, moves, now())
     assert rows(out.conflicts, "id", "reason") == [("b", "target live"), ("no", "not live")]
     assert rows(out.documents, "id", "content") == [("b", "y"), ("dead", "x")]
     assert rows(out.edges, "src", "dst") == [("b", "dead"), ("dead", "b")]
@@ -74,7 +77,7 @@ def test_delete_restore_rename(spark):
 
 def test_relink(spark):
     s = state(spark, ("n", "see [[notes/a|A]] and [[b]]", False), ("notes/a", "", False), links=[("n", "notes/a")])
-    out = store.relink(s, spark.createDataFrame([("notes/a", "arch/a")], "old_id string, new_id string"), NOW)
+    out = store.relink(s, spark.createDataFrame([("notes/a", "arch/a")], "old_id string, new_id string"), now())
     assert rows(out.documents.where("id = 'n'"), "content", "revision") == [("see [[arch/a|A]] and [[b]]", "relinked-rev-n")]
 
 
@@ -134,19 +137,19 @@ def test_overlay_and_feed(spark):
 
 def test_lease(spark):
     o = spark.createDataFrame([(i, T0, False, None, None, None) for i in range(4)], "id long, created_at timestamp, dead_lettered boolean, lease_owner string, lease_token string, lease_expires_at timestamp")
-    first = changes.claimed(o, "w1", F.lit("t1"), NOW, 2)
-    second = changes.claimed(first, "w2", F.lit("t2"), NOW, 10)
+    first = changes.claimed(o, "w1", F.lit("t1"), now(), 2)
+    second = changes.claimed(first, "w2", F.lit("t2"), now(), 10)
     assert rows(second, "id", "lease_owner") == [(0, "w1"), (1, "w1"), (2, "w2"), (3, "w2")]
-    later = changes.claimed(second, "w2", F.lit("t3"), NOW + F.expr("INTERVAL 31 SECONDS"), 10)
+    later = changes.claimed(second, "w2", F.lit("t3"), now() + F.expr("INTERVAL 31 SECONDS"), 10)
     assert rows(later, "lease_token") == [("t3",)] * 4
 
 
 def test_files(spark, tmp_path):
-    for name, content in {"a.md": "x", "sub/B.MD": "é", ".obsidian/c.md": "no", "bad .md": "y", "café.md": ""}.items():
+    for name, content in {"a.md": "x", "sub/B.MD": "é", ".obsidian/c.md": "no", "bad .md": "y", "café.md": "c", "empty.md": ""}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(content)
     good, bad = files.notes(spark, str(tmp_path))
-    assert rows(good, "id", "content") == [("a", "x"), ("café", ""), ("sub/B", "é")]
+    assert rows(good, "id", "content") == [("a", "x"), ("café", "c"), ("sub/B", "é")]
     assert rows(bad, "path") == [("bad .md",)]
     assert rows(files.import_candidates(spark, str(tmp_path)), "id") == [("a",), ("bad",), ("café",), ("sub/B",)]
     with pytest.raises(Unsupported):
