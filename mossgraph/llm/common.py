@@ -29,3 +29,21 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables in a shared folder that goes when the block ends; what leaves the block must not read them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, shared_dir(spark), 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return written(df, f"{self.folder}/{self.n}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

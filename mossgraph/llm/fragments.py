@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import Scratch, shared_dir, written
 
 #: Contents of one key that a shard takes at most.
 SHARD_CONTENTS = 8192
@@ -201,51 +201,52 @@ def repeats(known: DataFrame, cut: Cut, slices, symbols_of, match: Matcher, smal
     """The runs of windows that repeat, by text: h, at, n.
 
     A window repeats where it stands twice anywhere, copies counted; with ``smaller`` only where it also
-    stands in a text of a smaller least_id."""
+    stands in a text of a smaller least_id. Written."""
     spark = known.sparkSession
     if smaller:
         known, mark, total = known.withColumn("mark", F.coalesce(F.col("least_id").cast("long"), F.lit(NO_ID))), "mark", F.count("*")
     else:
         mark, total = "copies", F.sum("mark")
     combined = F.min("mark") if smaller else F.sum("mark")
-    keys = _cut(known, cut, mark, ["key", "content"] if smaller else ["key", "content", "mark"]).groupBy("key").agg(total.alias("total"), F.min("content").alias("low"), F.max("content").alias("high")).where("total > 1 OR low <> high")
-    found = written(_cut(known, cut, mark, [*_FRAGMENT]).join(keys.select("key", (F.col("low") != F.col("high")).alias("several")), "key"))
-    same = written(found.groupBy("key", "content").agg(combined.alias("mark"), F.count("*").alias("times"), F.min(F.struct("mark", "h", "at", "n")).alias("one"), F.first("several").alias("several")))
-    if smaller:
-        sure = found.join(same.where("times > 1").select("key", "content", F.col("mark").alias("first_id")), ["key", "content"]).where((F.col("mark") > F.col("first_id")) & (F.col("mark") != NO_ID))
-    else:
-        sure = found.join(same.where("mark > 1").select("key", "content"), ["key", "content"])
-    parts = [sure.select("h", "at", "n")]
-
-    several = same.where("several").select("one.h", "one.at", "one.n", "key", "mark")
-    wanted = written(several.join(several.groupBy("key").agg(F.count("*").alias("contents")), "key"))
-
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def matched() -> Iterator[pa.RecordBatch]:
-            flags = match([x[4] for x in held], np.array([x[1] for x in held]))
-            out = [(x[0], x[2] + a, n) for x, f in zip(held, flags, strict=True) for a, n in zip(*map(np.ndarray.tolist, runs_of(f)), strict=True)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _RUNS_ARROW, strict=True)], schema=_RUNS_ARROW)
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and size >= shard_bytes and row[3] != held[-1][3]:
-                    yield from matched()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield from matched()
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts.append(_contents(known, wanted.where(F.col("contents") <= shard_contents), cut, slices).repartition(n, "key").sortWithinPartitions("key").mapInArrow(shards, _RUNS))
-    large = wanted.where(F.col("contents") > shard_contents)
-    if large.limit(1).count():
-        parts.append(_by_window(_contents(known, large, cut, slices), cut, symbols_of, smaller))
-    return reduce(DataFrame.unionByName, parts)
+    with Scratch(spark) as scratch:
+        keys = _cut(known, cut, mark, ["key", "content"] if smaller else ["key", "content", "mark"]).groupBy("key").agg(total.alias("total"), F.min("content").alias("low"), F.max("content").alias("high")).where("total > 1 OR low <> high")
+        found = scratch.written(_cut(known, cut, mark, [*_FRAGMENT]).join(keys.select("key", (F.col("low") != F.col("high")).alias("several")), "key"))
+        same = scratch.written(found.groupBy("key", "content").agg(combined.alias("mark"), F.count("*").alias("times"), F.min(F.struct("mark", "h", "at", "n")).alias("one"), F.first("several").alias("several")))
+        if smaller:
+            sure = found.join(same.where("times > 1").select("key", "content", F.col("mark").alias("first_id")), ["key", "content"]).where((F.col("mark") > F.col("first_id")) & (F.col("mark") != NO_ID))
+        else:
+            sure = found.join(same.where("mark > 1").select("key", "content"), ["key", "content"])
+        parts = [sure.select("h", "at", "n")]
+
+        several = same.where("several").select("one.h", "one.at", "one.n", "key", "mark")
+        wanted = scratch.written(several.join(several.groupBy("key").agg(F.count("*").alias("contents")), "key"))
+
+        def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+            size = 0
+
+            def matched() -> Iterator[pa.RecordBatch]:
+                flags = match([x[4] for x in held], np.array([x[1] for x in held]))
+                out = [(x[0], x[2] + a, n) for x, f in zip(held, flags, strict=True) for a, n in zip(*map(np.ndarray.tolist, runs_of(f)), strict=True)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _RUNS_ARROW, strict=True)], schema=_RUNS_ARROW)
+
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if held and size >= shard_bytes and row[3] != held[-1][3]:
+                        yield from matched()
+                        held, size = [], 0
+                    held.append(row)
+                    size += len(row[4])
+            if held:
+                yield from matched()
+
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts.append(_contents(known, wanted.where(F.col("contents") <= shard_contents), cut, slices).repartition(n, "key").sortWithinPartitions("key").mapInArrow(shards, _RUNS))
+        large = wanted.where(F.col("contents") > shard_contents)
+        if large.limit(1).count():
+            parts.append(_by_window(_contents(known, large, cut, slices), cut, symbols_of, smaller))
+        return written(reduce(DataFrame.unionByName, parts))
 
 
 def _by_window(contents: DataFrame, cut: Cut, symbols_of, smaller: bool) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fragments
-from .common import written
+from .common import Scratch, written
 from .components import components
 from .fragments import mix
 from .substrings import _hashed
@@ -108,7 +108,7 @@ def keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def _sharers(known: DataFrame, percent: int, size: int) -> DataFrame:
+def _sharers(scratch: Scratch, known: DataFrame, percent: int, size: int) -> DataFrame:
     """Who shares a key: key, hub (its least node) and the other nodes, for each key of several nodes; written.
 
     Keys that several texts of a batch have leave the batch as one row."""
@@ -132,7 +132,7 @@ def _sharers(known: DataFrame, percent: int, size: int) -> DataFrame:
     of = Window.partitionBy("key")
     shared = rows.withColumns({"hub": F.min("node").over(of), "n": F.count("*").over(of)}).where("n > 1 OR others IS NOT NULL")
     members = F.concat(F.when(F.col("node") != F.col("hub"), F.array("node")).otherwise(F.array().cast("array<long>")), F.coalesce("others", F.array().cast("array<long>")))
-    return written(shared.select("key", "hub", members.alias("members")))
+    return scratch.written(shared.select("key", "hub", members.alias("members")))
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -163,7 +163,7 @@ def sketches(known: DataFrame, size: int = SHINGLE) -> DataFrame:
     return written(known.select("node", "h", "text").mapInArrow(run, "node long, h binary, n_shingles long, sketch binary"))
 
 
-def _tested(known: DataFrame, drawn: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+def _tested(scratch: Scratch, known: DataFrame, drawn: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
     """a, b and linked of every pair (a, b): by their sketches where those differ too much, or else by the sets; written."""
     side = lambda s: drawn.select(F.col("node").alias(s), *(F.col(c).alias(c[0] + s) for c in ("h", "n_shingles", "sketch")))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
@@ -174,7 +174,7 @@ def _tested(known: DataFrame, drawn: DataFrame, pairs: DataFrame, percent: int,
             kept = [hamming(batch.column(6)[i].as_py(), batch.column(7)[i].as_py()) <= d for i, d in enumerate(sizes.tolist())]
             yield batch.select(["a", "b", "ha", "hb"]).filter(pa.array(kept, pa.bool_()))
 
-    close = written(both.select("a", "b", "ha", "hb", "na", "nb", F.col("sa"), F.col("sb")).mapInArrow(near, "a long, b long, ha binary, hb binary"))
+    close = scratch.written(both.select("a", "b", "ha", "hb", "na", "nb", F.col("sa"), F.col("sb")).mapInArrow(near, "a long, b long, ha binary, hb binary"))
     texts = known.select("h", "text")
     one = close.join(texts.withColumnsRenamed({"h": "hb", "text": "tb"}), "hb").drop("hb")
     whole = one.join(texts.withColumnsRenamed({"h": "ha", "text": "ta"}), "ha").select("a", "b", "ta", "tb")
@@ -197,37 +197,38 @@ def _tested(known: DataFrame, drawn: DataFrame, pairs: DataFrame, percent: int,
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    judged = written(whole.mapInArrow(run, "a long, b long, linked boolean").where("linked").select("a", "b"))
-    return written(pairs.select("a", "b").join(judged.withColumn("linked", F.lit(True)), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))))
+    judged = scratch.written(whole.mapInArrow(run, "a long, b long, linked boolean").where("linked").select("a", "b"))
+    return scratch.written(pairs.select("a", "b").join(judged.withColumn("linked", F.lit(True)), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))))
 
 
 def linked_components(known: DataFrame, drawn: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """node and component of every text (of ``fragments.texts``, with its ``sketches``) that links with another."""
-    sharers = _sharers(known, percent, size)
-    spokes = sharers.select("key", "hub", F.explode("members").alias("node"))
-    tested = _tested(known, drawn, spokes.groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b")), percent, size)
-    found = components(tested.where("linked").select("a", "b"))
-
-    def labelled(rows: DataFrame, node: str, name: str) -> DataFrame:
-        return rows.join(found.select(F.col("node").alias(node), F.col("component").alias("_c")), node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
-
-    # hubs against all members of other components
-    open_spokes = labelled(labelled(spokes, "node", "cn"), "hub", "ch").where("cn <> ch")
-    pairs = open_spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    second = _tested(known, drawn, pairs, percent, size)
-    links = tested.where("linked").unionByName(second.where("linked")).select("a", "b")
-    if second.where("linked").limit(1).count():
-        found = components(links)
-
-    # what is left: members of one key, both not the hub, in different components
-    several = labelled(labelled(spokes, "node", "cn"), "hub", "ch").where("cn <> ch").select("key").distinct()
-    members = labelled(spokes.join(several, "key").select("key", "node"), "node", "c")
-    x, y = (members.select("key", F.col("node").alias(n), F.col("c").alias(c)) for n, c in (("a", "ca"), ("b", "cb")))
-    pairs = x.join(y, "key").where("a < b AND ca <> cb").select("a", "b").distinct().join(tested.unionByName(second).select("a", "b"), ["a", "b"], "left_anti")
-    third = _tested(known, drawn, pairs, percent, size)
-    if third.where("linked").limit(1).count():
-        found = components(links.unionByName(third.where("linked").select("a", "b")))
-    return found
+    with Scratch(known.sparkSession) as scratch:
+        sharers = _sharers(scratch, known, percent, size)
+        spokes = sharers.select("key", "hub", F.explode("members").alias("node"))
+        tested = _tested(scratch, known, drawn, spokes.groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b")), percent, size)
+        found = components(tested.where("linked").select("a", "b"))
+
+        def labelled(rows: DataFrame, node: str, name: str) -> DataFrame:
+            return rows.join(found.select(F.col("node").alias(node), F.col("component").alias("_c")), node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
+
+        # hubs against all members of other components
+        open_spokes = labelled(labelled(spokes, "node", "cn"), "hub", "ch").where("cn <> ch")
+        pairs = open_spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        second = _tested(scratch, known, drawn, pairs, percent, size)
+        links = tested.where("linked").unionByName(second.where("linked")).select("a", "b")
+        if second.where("linked").limit(1).count():
+            found = components(links)
+
+        # what is left: members of one key, both not the hub, in different components
+        several = labelled(labelled(spokes, "node", "cn"), "hub", "ch").where("cn <> ch").select("key").distinct()
+        members = labelled(spokes.join(several, "key").select("key", "node"), "node", "c")
+        x, y = (members.select("key", F.col("node").alias(n), F.col("c").alias(c)) for n, c in (("a", "ca"), ("b", "cb")))
+        pairs = x.join(y, "key").where("a < b AND ca <> cb").select("a", "b").distinct().join(tested.unionByName(second).select("a", "b"), ["a", "b"], "left_anti")
+        third = _tested(scratch, known, drawn, pairs, percent, size)
+        if third.where("linked").limit(1).count():
+            found = components(links.unionByName(third.where("linked").select("a", "b")))
+        return found
 
 
 def one_of_each(docs: DataFrame, percent: int, size: int) -> DataFrame:

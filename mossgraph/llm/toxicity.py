@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import Scratch
 
 BINS = 1 << 18
 #: Features at most, and the least likelihood ratio (chi-square, one degree) of one.
@@ -75,7 +75,7 @@ class Machine:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, bins and toxic (0 or 1) of the labelled rows of the training folds, written."""
+    """doc_id, bins and toxic (0 or 1) of the labelled rows of the training folds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,11 +84,15 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("bins", T.ArrayType(T.IntegerType(), False))])
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("toxic"))
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text").mapInArrow(run, schema)
-    return written(rows.join(known.where(~held_out(F.col("doc_id"))).hint("merge"), "doc_id"))  # labels grow with the data
+    return rows.join(known.where(~held_out(F.col("doc_id"))).hint("merge"), "doc_id")  # labels grow with the data
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    rows = labelled(docs, labels)
+    with Scratch(docs.sparkSession) as scratch:
+        return _fitted(scratch, scratch.written(labelled(docs, labels)), sample)
+
+
+def _fitted(scratch: Scratch, rows: DataFrame, sample: int) -> Machine:
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
     base = (toxic + 1) / (n + 2)
     none = Machine({}, np.zeros(0), math.log(base / (1 - base)), np.zeros(0), np.zeros((0, FACTORS)))
@@ -111,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     vocabulary = CountVectorizerModel.from_vocabulary([str(b) for b in index], inputCol="terms", outputCol="found", minTF=1.0)
     scaled = ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="found", outputCol="features")
     held = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / n))).select(F.col("bins").cast("array<string>").alias("terms"), F.col("toxic").alias("label"))
-    ready = written(scaled.transform(vocabulary.transform(held)).select("features", "label")).cache()
+    ready = scratch.written(scaled.transform(vocabulary.transform(held)).select("features", "label")).cache()
     model = FMClassifier(factorSize=FACTORS, maxIter=60, stepSize=0.1, regParam=1e-4, initStd=0.05, seed=7).fit(ready)
     ready.unpersist()
     return Machine(index, scale, float(model.intercept), model.linear.toArray(), model.factors.toArray())
