@@ -201,6 +201,22 @@ def _tested(scratch: Scratch, known: DataFrame, drawn: DataFrame, pairs: DataFra
     return scratch.written(pairs.select("a", "b").join(judged.withColumn("linked", F.lit(True)), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))))
 
 
+def _own_shingles(known: DataFrame, drawn: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node, n (its shingles) and own (those that no other of ``nodes`` has)."""
+    placed = drawn.select("node", "h", F.col("n_shingles").alias("n")).join(nodes, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                sets = [shingles(t, size) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), [len(x) for x in sets]), pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["node", "token"])
+
+    rows = known.select("h", "text").join(placed.select("node", "h"), "h").select("node", "text").mapInArrow(run, "node long, token long")
+    single = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    return placed.select("node", "n").join(single.groupBy("node").agg(F.count("*").alias("own")), "node", "left").fillna(0, ["own"])
+
+
 def linked_components(known: DataFrame, drawn: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """node and component of every text (of ``fragments.texts``, with its ``sketches``) that links with another."""
     with Scratch(known.sparkSession) as scratch:
@@ -220,11 +236,16 @@ def linked_components(known: DataFrame, drawn: DataFrame, percent: int = PERCENT
         if second.where("linked").limit(1).count():
             found = components(links)
 
-        # what is left: members of one key, both not the hub, in different components
+        # what is left: members of one key, both not the hub, in different components. Shingles that only one of
+        # these documents has are differences to each other one, so two that both have many of them can't link
         several = labelled(labelled(spokes, "node", "cn"), "hub", "ch").where("cn <> ch").select("key").distinct()
         members = labelled(spokes.join(several, "key").select("key", "node"), "node", "c")
-        x, y = (members.select("key", F.col("node").alias(n), F.col("c").alias(c)) for n, c in (("a", "ca"), ("b", "cb")))
-        pairs = x.join(y, "key").where("a < b AND ca <> cb").select("a", "b").distinct().join(tested.unionByName(second).select("a", "b"), ["a", "b"], "left_anti")
+        sized = scratch.written(members.join(_own_shingles(known, drawn, members.select("node").distinct(), size), "node"))
+        x, y = (sized.select(*(F.col(c).alias(c + n) for c in ("key", "node", "c", "n", "own"))) for n in "xy")
+        low = F.col("ownx") * (100 + percent) <= F.col("nx") * (100 - percent)
+        may_link = (F.col("ownx") + F.col("owny")) * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
+        pairs = x.where(low).join(y, (F.col("keyx") == F.col("keyy")) & (F.col("cx") != F.col("cy")) & may_link).select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b"))
+        pairs = pairs.distinct().join(tested.unionByName(second).select("a", "b"), ["a", "b"], "left_anti")
         third = _tested(scratch, known, drawn, pairs, percent, size)
         if third.where("linked").limit(1).count():
             found = components(links.unionByName(third.where("linked").select("a", "b")))
