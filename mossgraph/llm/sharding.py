@@ -62,7 +62,7 @@ class ShardStore:
     def commit(self, base: int, runs: list[Run]) -> int:
         """Makes ``runs`` version ``base + 1``, or raises Conflict."""
         made = f"{self.folder}/uncommitted/{uuid.uuid4().hex}"
-        rows = F.array(*(F.struct(F.lit(r.run).alias("run"), F.lit(r.bytes).cast("long").alias("bytes"), F.lit(r.files).cast("long").alias("files"), F.lit(r.merged).cast("long").alias("merged")) for r in runs))
+        rows = F.array(*(F.struct(F.lit(r.run).alias("run"), F.lit(r.bytes).cast("long").alias("bytes"), F.lit(r.files).cast("long").alias("files"), F.lit(r.merged).cast("long").alias("merged")) for r in runs)).cast("array<struct<run:string,bytes:bigint,files:bigint,merged:bigint>>")
         self.spark.range(1).select(F.inline(rows)).coalesce(1).write.parquet(made)
         self._fs.mkdirs(self._path(f"{self.folder}/manifests"))
         target = self._path(f"{self.folder}/manifests/v{base + 1}")

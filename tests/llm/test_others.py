@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
@@ -26,7 +27,7 @@ def test_equals_sql(spark, name):
 def pages():
     r = random.Random(1)
     noise = "".join(chr(r.randrange(32, 1000)) for _ in range(70_000))
-    inner = gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\n\r\nnested").decode("latin-1")
+    inner = gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\n\r\nnested", mtime=0).decode("latin-1")
     return [(3, "http://a b", "same"), (1, None, "same"), (2, "u", None), (5, "u", ""), (None, "u", "same"), (None, "u", "alone"), (7, "u", noise), (8, "u", inner * 50), (9, "u", "é\r\n\r\nWARC/1.1"), (9, "u", "é\r\n\r\nWARC/1.1")]
 
 
@@ -81,9 +82,22 @@ def test_licenses(spark):
     rows = [(1, "x\nReleased under the MIT License.\ny"), (2, "RELEASED, under the mit licence!"), (3, None), (4, ""), (5, mit.replace(", ", ",\n", 3)), (6, "license " * 5000), (7, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License."), (7, "Licensed under the Apache License, Version 2.0.")]
     docs = spark.createDataFrame([(*x, "own") for x in rows], "doc_id long, text string, unit string")
     got = sorted((r.doc_id, r.license, r.dice, r.n_matches) for r in licenses.per_document(docs).fillna("-", ["license"]).collect())
-    assert got == [(1, "MIT", 1.0, 1), (2, "-", 0.0, 0), (3, "-", 0.0, 0), (4, "-", 0.0, 0), (5, "MIT", 1.0, 1), (6, "-", 0.0, 0), (7, "Apache-2.0", 1.0, 1), (7, "CC-BY-NC-4.0", 1.0, 2)]
+
+    def brute(text):
+        units = (text or "").split("\n") + [p for p in re.split(r"\n[ \t\r]*\n", text or "") if "\n" in p]
+        found = []
+        for unit in units:
+            held = set(licenses.bigrams_of(unit))
+            for name, b in licenses.flat(licenses.TEMPLATES):
+                if 200 * (shared := len(held & set(b))) >= 80 * (len(held) + len(b)):
+                    found.append((-round(2 * shared / (len(held) + len(b)), 6), name))
+        best = min(found, default=(0.0, "-"))
+        return best[1], abs(best[0]), len(found)
+
+    assert got == sorted((d, *brute(t)) for d, t in rows)
+    assert [r[1] for r in got] == ["MIT", "-", "-", "-", "MIT", "-", "Apache-2.0", "CC-BY-NC-4.0"]
     found = licenses.scanned(docs.where("doc_id = 1")).first().license_matches
-    assert [(m.unit, m.license) for m in found] == [("Released under the MIT License.", "MIT")]
+    assert ("Released under the MIT License.", "MIT") in [(m.unit, m.license) for m in found]
 
 
 def test_every_template_is_probed():
@@ -136,12 +150,12 @@ ITEM = "On Monday Tom bought 3 kg of apples for 12 dollars and then Tom sold 2 k
 def test_templates(spark):
     other = ITEM.replace("Tom", "Anna").replace("Mary", "Bob").replace("3", "7").replace("12", "30").replace("apples", "apples")
     mixed = ITEM.replace("Tom bought", "Anna bought").replace("3 kg", "7 kg").replace("2 kg", "7 kg")
-    rows = [(1, f"before. {ITEM} after"), (2, f"Other words. {other}. End"), (3, f"Other. {mixed}"), (4, "On Monday Tom bought 3 kg of pears"), (5, None), (6, ""), (7, "short item"), (7, "a Short item here"), (8, "word " * 3000)]
+    rows = [(1, f"before. {ITEM} after"), (2, f"Other words. {other}. End"), (3, f"Other. {mixed}"), (4, "On Monday Tom bought 3 kg of pears"), (5, None), (6, ""), (7, "short item"), (7, "a short item here"), (9, "a Short item here"), (8, "word " * 3000)]
     docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, leaks int")
     bench = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, "short item"), (3, None), (4, ""), (None, "word word")], "item_id long, text string")
     got = sorted((r.doc_id, r.contaminated, r.item_ids) for r in dec.per_document(docs, bench).collect())
-    assert got == [(1, True, [1]), (2, True, [1]), (3, False, []), (4, False, []), (5, False, []), (6, False, []), (7, True, [2]), (7, True, [2]), (8, False, [])]
-    assert sorted(r.doc_id for r in dec.clean(docs, bench).collect()) == [3, 4, 5, 6, 8]
+    assert got == [(1, True, [1]), (2, True, [1]), (3, False, []), (4, False, []), (5, False, []), (6, False, []), (7, True, [2]), (7, True, [2]), (8, False, []), (9, False, [])]
+    assert sorted(r.doc_id for r in dec.clean(docs, bench).collect()) == [3, 4, 5, 6, 8, 9]
     assert dec.per_document(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
