@@ -271,3 +271,17 @@ def per_document(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
     least = nodes.groupBy("component").agg(F.min("least_id").alias("component_id"))
     results = drawn.select("h", "n_shingles").join(nodes.join(least, "component").select("h", "component_id"), "h")
     return docs.select("doc_id", fragments.hash_of(F.col("text")).alias("h")).join(results, "h").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+#: ``per_document`` for DuckDB: all pairs that share a shingle, and what is reached by links.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p, len(w) AS n FROM d),
+runs AS (SELECT r, p, n, list(word) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS l FROM words),
+s AS (SELECT DISTINCT r, array_to_string(l, ' ') AS t FROM runs WHERE p <= n - 3 OR (n < 4 AND p = 1)),
+c AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+pair AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM s AS a JOIN s AS b ON a.t = b.t AND a.r < b.r GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN c AS x ON x.r = a JOIN c AS y ON y.r = b WHERE 100 * pair.n >= 85 * (x.n + y.n - pair.n)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b)
+SELECT d.doc_id, coalesce(any_value(c.n), 0) AS n_shingles, min(o.doc_id) AS component_id FROM d JOIN reach ON reach.a = d.r JOIN d AS o ON o.r = reach.b LEFT JOIN c ON c.r = d.r GROUP BY d.r, d.doc_id"""

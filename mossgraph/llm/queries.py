@@ -55,4 +55,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_licenses, op4_toxicity, op5_jaccard, op6_decontamination, op7_sharding, op8_anchor_dedup, op9_bpe, op10_quality)}
-ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_licenses": licenses.oracle(), "op7_sharding": sharding.ORACLE}
+ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_licenses": licenses.oracle(), "op5_jaccard": jaccard.ORACLE, "op7_sharding": sharding.ORACLE, "op8_anchor_dedup": substrings.WORDS_ORACLE}

@@ -183,3 +183,15 @@ def words_per_document(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame
         F.when(none, 0).when(copy, F.col("n_words")).otherwise(F.col("n_removed")).cast("long").alias("n_removed"),
         F.when(none, F.col("whole_sha256")).when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
     )
+
+
+#: ``words_per_document`` for DuckDB, window by window.
+WORDS_ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p, len(w) AS n FROM d),
+windows AS (SELECT r, doc_id, p, n, list(word) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS l FROM words),
+hashed AS (SELECT r, doc_id, p, md5(array_to_string(l, ' ')) AS h FROM windows WHERE p <= n - 49),
+first AS (SELECT h, min(doc_id) AS f FROM hashed GROUP BY h),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 50)) AS p FROM hashed JOIN first USING (h) WHERE doc_id > f),
+kept AS (SELECT words.r, string_agg(word, ' ' ORDER BY words.p) AS k, count(*) AS n FROM words LEFT JOIN gone ON gone.r = words.r AND gone.p = words.p WHERE gone.p IS NULL GROUP BY words.r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
