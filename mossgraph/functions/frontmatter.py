@@ -145,7 +145,7 @@ def fm_filter(fm_terms: Column, filters: dict[str, str]) -> Column:
 # YAML
 
 
-class _Loader(yaml.SafeLoader):
+class _Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
     """YAML whose plain scalars follow the filter literals; dates stay text, and duplicate keys are errors."""
 
 
@@ -191,7 +191,7 @@ def parse_yaml(block: str) -> tuple[dict[str, Any], str | None]:
     try:
         if len(block.encode()) > MAX_BYTES:
             raise yaml.YAMLError("too long")
-        if sum(isinstance(t, yaml.AliasToken) for t in yaml.scan(block)) > MAX_ALIASES:
+        if block.count("*") > MAX_ALIASES and sum(isinstance(e, yaml.AliasEvent) for e in yaml.parse(block, Loader=_Loader)) > MAX_ALIASES:
             raise yaml.YAMLError("too many aliases")
         loader = _Loader(block)
         node = loader.get_single_node()

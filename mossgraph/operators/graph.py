@@ -16,24 +16,26 @@ EDGE_KEY = ["src", "dst", "rel"]
 
 def resolved(references: DataFrame, documents: DataFrame, target: str = "target", id: str = "id") -> DataFrame:
     """``references`` with dst: the document of exactly that id, or else the least whose id ends in it; null if none."""
-    wanted = references.select(link_form(F.col(target)).alias("form")).distinct()
-    ends = documents.select(F.col(id).alias("dst"), F.explode(suffixes(F.col(id))).alias("form"))
-    best = wanted.join(ends, "form").groupBy("form").agg(F.min_by("dst", F.struct(F.col("dst") != F.col("form"), "dst")).alias("dst"))
+    ends = documents.select(F.col(id).alias("_to"), F.explode(suffixes(F.col(id))).alias("form"))
+    best = ends.groupBy("form").agg(F.min_by("_to", F.struct(F.col("_to") != F.col("form"), "_to")).alias("dst"))  # one row per suffix
     return references.withColumn("form", link_form(F.col(target))).join(best, "form", "left")
 
 
 def derived(parsed: DataFrame, documents: DataFrame) -> DataFrame:
     """The edges of parsed notes (id, links, refs, author): links, embeds, references and mentions. What resolves to nothing has no edge."""
-    links = parsed.select(F.col("id").alias("src"), F.inline("links"))
-    props = F.when(F.col("label").isNotNull(), F.create_map(F.lit("label"), F.col("label"))).otherwise(F.create_map().cast("map<string,string>"))
-    linked = links.select("src", (F.col("ordinal") * 2).alias("ordinal"), F.lit("links-to").alias("rel"), "target", props.alias("props"))
-    embedded = links.where("embed").select("src", (F.col("ordinal") * 2 + 1).alias("ordinal"), F.lit("embeds").alias("rel"), "target", F.create_map().cast("map<string,string>").alias("props"))
-    found = resolved(linked.unionByName(embedded), documents).where("dst IS NOT NULL").select("src", "dst", "rel", "props", "ordinal")
-    none = F.create_map().cast("map<string,string>").alias("props")
-    stated = parsed.select(F.col("id").alias("src"), F.inline("refs")).select("src", F.col("target").alias("dst"), "rel", none, (F.col("ordinal") + 1_000_000).alias("ordinal"))
-    mentions = parsed.where("author IS NOT NULL AND author <> ''").select(F.col("id").alias("src"), F.concat(F.lit("author/"), "author").alias("dst"), F.lit("mentions").alias("rel"), none, F.lit(2_000_000).alias("ordinal"))
+    none = F.create_map().cast("map<string,string>")
+
+    def made(ordinal: Column, rel: Column, target: Column, props: Column, link: bool) -> Column:
+        return F.struct(ordinal.cast("int").alias("ordinal"), rel.alias("rel"), target.alias("target"), props.alias("props"), F.lit(link).alias("link"))
+
+    linked = F.transform("links", lambda x: made(x["ordinal"] * 2, F.lit("links-to"), x["target"], F.when(x["label"].isNotNull(), F.create_map(F.lit("label"), x["label"])).otherwise(none), True))
+    embedded = F.transform(F.filter("links", lambda x: x["embed"]), lambda x: made(x["ordinal"] * 2 + 1, F.lit("embeds"), x["target"], none, True))
+    stated = F.transform("refs", lambda x: made(x["ordinal"] + 1_000_000, x["rel"], x["target"], none, False))
+    mentioned = F.when(F.coalesce(F.col("author"), F.lit("")) != "", F.array(made(F.lit(2_000_000), F.lit("mentions"), F.concat(F.lit("author/"), F.coalesce("author", F.lit(""))), none, False)))
+    drawn = parsed.select(F.col("id").alias("src"), F.explode(F.concat(linked, embedded, stated, F.coalesce(mentioned, F.filter(stated, lambda x: F.lit(False))))).alias("e")).select("src", "e.*")  # notes are parsed once
+    found = resolved(drawn, documents).withColumn("dst", F.when(F.col("link"), F.col("dst")).otherwise(F.col("target"))).where("dst IS NOT NULL")
     first = F.row_number().over(Window.partitionBy(*EDGE_KEY).orderBy("ordinal"))
-    return found.unionByName(stated).unionByName(mentions).withColumn("_n", first).where("_n = 1").drop("_n", "ordinal")
+    return found.withColumn("_n", first).where("_n = 1").select("src", "dst", "rel", "props")
 
 
 def unresolved(parsed: DataFrame, documents: DataFrame) -> DataFrame:
