@@ -13,6 +13,7 @@ checked windows cover at least half of the item's.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -41,6 +42,7 @@ UNITS = set(
 )
 _NUMBER = regex.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _EDGE = regex.compile(r"^[^\p{L}\p{N}$€£+-]+|[^\p{L}\p{N}%]+$")
+_LETTERS = regex.compile(r"\p{L}+").fullmatch
 _END = regex.compile(r"[.!?:;][^\p{L}\p{N}]*$")
 
 
@@ -58,6 +60,15 @@ def classified(raw: str) -> Word:
     return Word(low, kind, core[:1].isupper() and core[1:].islower(), bool(_END.search(raw)))
 
 
+def quickly(raw: str) -> Word:
+    """``classified``, without patterns for words of letters and at most one mark at the end."""
+    core = raw if raw.isalpha() else raw[:-1]
+    if not core.isalpha() or not core.isascii() and not _LETTERS(core) or len(core) < len(raw) and raw[-1] not in ",.!?:;":
+        return classified(raw)
+    low = core.lower()
+    return Word(low, UNIT if low in UNITS else 0, core[:1].isupper() and core[1:].islower(), len(core) < len(raw) and raw[-1] != ",")
+
+
 def tokens(words: list[Word]) -> list[tuple[int, str]]:
     """(placeholder or 0, value) of every word. A capitalised word is a name unless a sentence begins with it."""
     out, begins = [], True
@@ -74,6 +85,22 @@ class Item(NamedTuple):
     windows: int
 
 
+#: The code of words without a letter or digit.
+_NOTHING = 1 << 62
+
+
+class _Codes(dict):
+    """Raw words that have been met, and their codes."""
+
+    def __init__(self, index: Index):
+        super().__init__()
+        self.index = index
+
+    def __missing__(self, raw: str) -> int:
+        self[raw] = code = self.index.code(raw)
+        return code
+
+
 class Index:
     """The items of one block: codes of their words, and window hash -> (item, offset)."""
 
@@ -93,15 +120,19 @@ class Index:
             for at, h in enumerate(own.tolist()):
                 self.windows[n][h].append((k, at))
         self.sorted = {n: np.array(sorted(w), np.uint64) for n, w in self.windows.items()}
-        self.known: dict[str, tuple[int, int]] = {}
-
-    def code(self, raw: str) -> tuple[int, int]:
-        """What a raw word counts as: 2 * code as plain word + whether a sentence ends, and the same as a name."""
-        w = classified(raw)
+        self.marked = {}  #: by the upper 20 bits of a hash, whether a window may have it
+        for n, w in self.sorted.items():
+            self.marked[n] = np.zeros(1 << 20, bool)
+            self.marked[n][(w >> np.uint64(44)).astype(np.int64)] = True
+        self.known = _Codes(self)
+
+    def code(self, raw: str) -> int:
+        """What a raw word counts as, twice: as a plain word and, in the upper half, as a name. Each is 2 * its code + whether a sentence ends."""
+        w = quickly(raw)
         if not w.core:
-            return -2 + w.ends, -2 + w.ends
+            return _NOTHING + w.ends
         plain = w.kind or self.codes.get(w.core, 0)
-        return 2 * plain + w.ends, 2 * (NAME if w.capital and not w.kind else plain) + w.ends
+        return (2 * (NAME if w.capital and not w.kind else plain) + w.ends) << 32 | 2 * plain + w.ends
 
     def matches(self, text: str) -> list[tuple[int, int, int]]:
         """(item's number, its windows found with consistent slots, hits before the check)."""
@@ -110,22 +141,19 @@ class Index:
             return []
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        for w in {w for w in raw if w not in known}:
-            known[w] = self.code(w)
-        both = np.array([known[w] for w in raw], np.int64)
-        ends = both[:, 0] & 1
-        codes = np.where(np.concatenate([[1], ends[:-1]]), both[:, 0] >> 1, both[:, 1] >> 1)
-        there = np.flatnonzero(codes >= 0)
-        codes = codes[there].astype(np.uint64)
+        both = np.fromiter(map(self.known.__getitem__, raw), np.int64, len(raw))
+        begins = np.append(True, (both[:-1] & 1) == 1)
+        codes = np.where(begins, both & 0xFFFFFFFF, both >> 32) >> 1
+        codes = codes[both < _NOTHING].astype(np.uint64)
         hits: dict[tuple[int, int], list[int]] = defaultdict(list)
         for n, index in self.sorted.items():
             if len(codes) < n:
                 continue
             own = hashes(codes, n)
-            slot = np.searchsorted(index, own)
+            maybe = np.flatnonzero(self.marked[n][(own >> np.uint64(44)).astype(np.int64)])
+            slot = np.searchsorted(index, own[maybe])
             slot[slot == len(index)] = 0
-            for at in np.flatnonzero(index[slot] == own).tolist():
+            for at in maybe[index[slot] == own[maybe]].tolist():
                 for k, offset in self.windows[n][int(own[at])]:
                     hits[k, at - offset].append(offset)
         if not hits:
@@ -147,7 +175,8 @@ def hashes(codes: np.ndarray, n: int) -> np.ndarray:
     mixed *= np.uint64(0x94D049BB133111EB)
     out = np.zeros(len(codes) - n + 1, np.uint64)
     for i in range(n):
-        out = out * np.uint64(0x100000001B3) + mixed[i : i + len(out)]
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += mixed[i : i + len(out)]
     return out
 
 
@@ -175,6 +204,17 @@ def consistent(item: list[tuple[int, str]], doc: list[tuple[int, str]], shift: i
     return good
 
 
+_indexes: dict[str, Index] = {}
+
+
+def _index(token: str, shared, window: int) -> Index:
+    """A block's index, once per worker process, with the words that earlier tasks have met."""
+    if token not in _indexes:
+        _indexes.clear()
+        _indexes[token] = Index(shared.value, window)
+    return _indexes[token]
+
+
 _FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("windows", T.LongType()), T.StructField("of", T.LongType())]))
 _FOUND_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("windows", pa.int64()), ("of", pa.int64())]))
 
@@ -202,8 +242,8 @@ def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: i
     for block in blocks(benchmark, item, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, window)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = _index(token, shared, window)
             for batch in batches:
                 for k in range(0, batch.num_rows, 512):
                     part = batch.slice(k, 512)
