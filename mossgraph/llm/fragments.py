@@ -4,7 +4,8 @@ A window is a fixed number of consecutive symbols (bytes or words). Its key is t
 in it, so equal windows have equal keys wherever they stand. Consecutive windows of one key make a fragment.
 Keys that only one fragment has are out; of fragments with equal content one goes on; and those whose key has
 several contents meet in that key's shard, where the caller's matcher compares them. A key with more
-contents than a shard may hold is taken apart by hashes of its single windows instead.
+contents than a shard may hold is taken apart by hashes of its single windows instead. What is found
+in a content holds at every place that has it.
 
 Equal texts are collapsed before and counted, so a group of copies costs as much as one text.
 """
@@ -181,8 +182,9 @@ def _contents(known: DataFrame, wanted: DataFrame, cut: Cut, slices: Callable[[s
     return known.select("h", "text").join(lists, "h").select("h", "text", "want").mapInArrow(run, "h binary, mark long, at long, key long, content binary")
 
 
-_RUNS = "h binary, at long, n int"
-_RUNS_ARROW = pa.schema([("h", pa.binary()), ("at", pa.int64()), ("n", pa.int32())])
+#: Runs of windows and the first window of the fragment that each was found in.
+_RUNS = "h binary, start long, at long, n int"
+_RUNS_ARROW = pa.schema([("h", pa.binary()), ("start", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
 
 
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +215,11 @@ def repeats(known: DataFrame, cut: Cut, slices, symbols_of, match: Matcher, smal
         found = scratch.written(_cut(known, cut, mark, [*_FRAGMENT]).join(keys.select("key", (F.col("low") != F.col("high")).alias("several")), "key"))
         same = scratch.written(found.groupBy("key", "content").agg(combined.alias("mark"), F.count("*").alias("times"), F.min(F.struct("mark", "h", "at", "n")).alias("one"), F.first("several").alias("several")))
         if smaller:
-            sure = found.join(same.where("times > 1").select("key", "content", F.col("mark").alias("first_id")), ["key", "content"]).where((F.col("mark") > F.col("first_id")) & (F.col("mark") != NO_ID))
+            again = found.join(same.where("times > 1").select("key", "content", F.col("mark").alias("first_id"), "one", F.col("several").alias("met")), ["key", "content"]).where(F.col("mark") != NO_ID)
+            later, other = F.col("mark") > F.col("first_id"), (F.col("h") != F.col("one.h")) | (F.col("at") != F.col("one.at"))
+            of = lambda c: F.when(~later, F.col(f"one.{c}")).alias(c)
+            places = scratch.written(again.where(later | (F.col("met") & other)).select(F.col("h").alias("to"), F.col("at").alias("place"), F.col("n").alias("size"), of("h"), of("at")))
+            sure = places.where("h IS NULL").select(F.col("to").alias("h"), F.col("place").alias("at"), F.col("size").alias("n"))
         else:
             sure = found.join(same.where("mark > 1").select("key", "content"), ["key", "content"])
         parts = [sure.select("h", "at", "n")]
@@ -225,27 +231,34 @@ def repeats(known: DataFrame, cut: Cut, slices, symbols_of, match: Matcher, smal
             held: list[tuple] = []
             size = 0
 
-            def matched() -> Iterator[pa.RecordBatch]:
+            def of_held() -> Iterator[pa.RecordBatch]:
                 flags = match([x[4] for x in held], np.array([x[1] for x in held]))
-                out = [(x[0], x[2] + a, n) for x, f in zip(held, flags, strict=True) for a, n in zip(*map(np.ndarray.tolist, runs_of(f)), strict=True)]
+                out = [(x[0], x[2], x[2] + a, n) for x, f in zip(held, flags, strict=True) for a, n in zip(*map(np.ndarray.tolist, runs_of(f)), strict=True)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _RUNS_ARROW, strict=True)], schema=_RUNS_ARROW)
 
             for batch in batches:
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if held and size >= shard_bytes and row[3] != held[-1][3]:
-                        yield from matched()
+                        yield from of_held()
                         held, size = [], 0
                     held.append(row)
                     size += len(row[4])
             if held:
-                yield from matched()
+                yield from of_held()
 
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        parts.append(_contents(known, wanted.where(F.col("contents") <= shard_contents), cut, slices).repartition(n, "key").sortWithinPartitions("key").mapInArrow(shards, _RUNS))
+        matches = [_contents(known, wanted.where(F.col("contents") <= shard_contents), cut, slices).repartition(n, "key").sortWithinPartitions("key").mapInArrow(shards, _RUNS)]
         large = wanted.where(F.col("contents") > shard_contents)
         if large.limit(1).count():
-            parts.append(_by_window(_contents(known, large, cut, slices), cut, symbols_of, smaller))
+            matches.append(_by_window(_contents(known, large, cut, slices), cut, symbols_of, smaller))
+        matched = reduce(DataFrame.unionByName, matches)
+        if smaller:
+            # other places of the same content and mark have no match of their own
+            matched = scratch.written(matched)
+            others = places.where("h IS NOT NULL").select("h", F.col("at").alias("start"), "to", "place")
+            parts.append(matched.join(others, ["h", "start"]).select(F.col("to").alias("h"), (F.col("place") + F.col("at") - F.col("start")).alias("at"), "n"))
+        parts.append(matched.select("h", "at", "n"))
         return written(reduce(DataFrame.unionByName, parts))
 
 
@@ -255,16 +268,16 @@ def _by_window(contents: DataFrame, cut: Cut, symbols_of, smaller: bool) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                h, mark, at, content = (batch.column(i)[row].as_py() for i in (0, 1, 2, 4))
+                h, mark, start, content = (batch.column(i)[row].as_py() for i in (0, 1, 2, 4))
                 one, two = cut.windows(symbols_of(content))
-                yield pa.RecordBatch.from_arrays([pa.array([h] * len(one), pa.binary()), pa.array(np.arange(at, at + len(one))), pa.array(np.full(len(one), mark)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["h", "at", "mark", "one", "two"])
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(one), pa.binary()), pa.array(np.full(len(one), start)), pa.array(np.arange(start, start + len(one))), pa.array(np.full(len(one), mark)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["h", "start", "at", "mark", "one", "two"])
 
-    rows = contents.mapInArrow(run, "h binary, at long, mark long, one long, two long")
+    rows = contents.mapInArrow(run, "h binary, start long, at long, mark long, one long, two long")
     groups = rows.groupBy("one", "two").agg(F.count("*").alias("times"), F.sum(F.when(F.lit(not smaller), F.col("mark"))).alias("copies"), F.min("mark").alias("first_id"))
     hit = rows.join(groups.where("times > 1" if smaller else "copies > 1"), ["one", "two"])
     if smaller:
         hit = hit.where((F.col("mark") > F.col("first_id")) & (F.col("mark") != NO_ID))
-    return hit.select("h", "at", F.lit(1).alias("n"))
+    return hit.select("h", "start", "at", F.lit(1).alias("n"))
 
 
 def covered(known: DataFrame, runs: DataFrame, schema: str, finish: Callable[[str, list[tuple[int, int]]], tuple]) -> DataFrame:

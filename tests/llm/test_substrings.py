@@ -73,6 +73,18 @@ def test_words(spark):
     assert mine == sorted((i or -1, *b) for i, b in zip(ids, brute_words(ids, [t for _, t in rows], 50)))
 
 
+@pytest.mark.parametrize("limits", [{}, {"shard_contents": 1}])
+def test_words_at_every_place_of_a_content(spark, limits):
+    block = [f"w{i}" for i in range(400)]
+    fill = lambda name, n: [f"{name}{i}" for i in range(n)]
+    part, whole = block[100:250], block
+    rows = [(1, fill("a", 30) + part + fill("b", 30)), (2, whole + whole), (2, fill("c", 7) + whole + fill("d", 9)), (3, fill("e", 5) + whole), (None, whole + fill("f", 3))]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    mine = sorted((r.n_words, r.n_removed, r.kept_sha256) for r in substrings.word_repeats(docs, **limits).collect())
+    assert mine == sorted(brute_words([d for d, _ in rows], [t for _, t in rows], 50))
+
+
 def test_split_keys_by_window(spark):
     rows = corpus()
     docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
