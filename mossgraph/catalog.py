@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import frontmatter, markdown, text
@@ -393,9 +393,8 @@ def blobs_verified(spark, sf):
 
 @query("SELECT user_id, event_id, CASE WHEN row_number() OVER w = 1 OR ts >= first_value(ts) OVER w + INTERVAL 24 HOUR THEN 'reserve' WHEN event_type <> first_value(event_type) OVER w THEN 'conflict' ELSE 'replay' END AS outcome FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type) QUALIFY count(*) OVER (PARTITION BY user_id, ts) = 1")
 def request_idempotency(spark, sf):
-    e = table(spark, sf, "events").withColumn("_c", F.count("*").over(Window.partitionBy("user_id", "ts")))
-    requests = e.where("_c = 1").select(F.col("user_id").alias("key"), F.col("event_type").alias("payload_hash"), F.col("ts").alias("at"), F.lit(True).alias("completed"), "event_id")
-    return store.deduplicated_requests(requests).select(F.col("key").alias("user_id"), "event_id", "outcome")
+    requests = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("payload_hash"), F.col("ts").alias("at"), F.lit(True).alias("completed"), "event_id")
+    return store.deduplicated_requests(requests, ties=("event_id",)).select(F.col("key").alias("user_id"), "event_id", "outcome")
 
 
 # changes

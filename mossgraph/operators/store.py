@@ -6,10 +6,14 @@ conflicts are rows. Timestamps come in as literal columns, so a replay gives the
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import sha256
 from ..functions.markdown import retargeted
@@ -131,15 +135,37 @@ def relink(state: State, moves: DataFrame, now: Column) -> State:
     return _applied(state, rows, "UPSERT", "relink", rows.select("id", F.lit("").alias("reason")).limit(0))
 
 
-def deduplicated_requests(requests: DataFrame, ttl_hours: int = 24, capacity: int = 1000) -> DataFrame:
+def deduplicated_requests(requests: DataFrame, ttl_hours: int = 24, capacity: int = 1000, ties: Sequence[str] = ("payload_hash",)) -> DataFrame:
     """requests (key, payload_hash, at, completed) with their outcome: reserve, replay, conflict or in-flight.
 
-    The first of a key within its time to live is reserved. Of more reservations than ``capacity``, the oldest completed are dropped, so their keys may be reserved again."""
-    w = Window.partitionBy("key").orderBy("at", "payload_hash")
-    first = lambda c: F.first(c).over(w)
-    alive = F.col("at") < first("at") + F.make_interval(hours=F.lit(ttl_hours))
-    outcome = F.when((F.row_number().over(w) == 1) | ~alive, "reserve").when(F.col("payload_hash") != first("payload_hash"), "conflict").when(first("completed"), "replay").otherwise("in-flight")
-    kept = F.row_number().over(Window.orderBy(F.col("completed"), F.desc("at"), "key")) <= capacity
-    out = requests.withColumn("outcome", outcome)
-    reserved = out.where("outcome = 'reserve'").withColumn("kept", kept).select("key", "at", "kept")
-    return out.join(reserved, ["key", "at"], "left")
+    A reservation holds its key until it is older than its time to live; the next request then reserves anew. A store
+    that holds ``capacity`` keys drops its oldest completed one for a new key, and refuses (conflict) where all are in
+    flight. Requests of one time come in the order of ``ties`` and key. Each outcome depends on all before it, whatever
+    the key, so one task reads all requests in order; it holds ``capacity`` keys."""
+    schema = T.StructType([*requests.schema, T.StructField("outcome", T.StringType())])
+    ttl = ttl_hours * 3_600_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, OrderedDict] = {True: OrderedDict(), False: OrderedDict()}  # by completed; oldest first
+
+        def outcome(key, payload, at: int, completed: bool) -> str:
+            for entries in held.values():
+                while entries and at - next(iter(entries.values()))[1] > ttl:
+                    entries.popitem(last=False)
+            for done, entries in held.items():
+                if key in entries:
+                    return "conflict" if entries[key][0] != payload else "replay" if done else "in-flight"
+            if sum(map(len, held.values())) >= capacity:
+                if not held[True]:
+                    return "conflict"
+                held[True].popitem(last=False)
+            held[completed][key] = payload, at
+            return "reserve"
+
+        for batch in batches:
+            keys, payloads, completed = (batch.column(c).to_pylist() for c in ("key", "payload_hash", "completed"))
+            times = batch.column("at").cast(pa.int64()).to_pylist()
+            made = [outcome(k, p, t, bool(c)) for k, p, t, c in zip(keys, payloads, times, completed, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], schema.fieldNames())
+
+    return requests.repartition(1).sortWithinPartitions("at", *ties, "key").mapInArrow(run, schema)

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from mossgraph.model import InvalidRequest, Unsupported
@@ -162,3 +162,17 @@ def test_blobs(spark):
     held = blobs.put(none, data)
     assert held.count() == 1 and blobs.put(held, data).count() == 1
     assert blobs.verified(held, F.lit(-1)).first().ok and not blobs.verified(held, F.lit(5)).first().ok
+
+
+def test_requests_reserve_anew_after_their_time_to_live(spark):
+    rows = [("a", "p", 0, True), ("a", "p", 1, True), ("a", "q", 24, True), ("a", "q", 25, True), ("a", "q", 26, True), ("a", "p", 49, True), ("a", "p", 50, False), ("a", "p", 51, True)]
+    rows = [(n, k, p, T0 + timedelta(hours=h), c) for n, (k, p, h, c) in enumerate(rows)]
+    got = store.deduplicated_requests(spark.createDataFrame(rows, "n int, key string, payload_hash string, at timestamp, completed boolean"), ties=["n"])
+    assert [r.outcome for r in got.orderBy("n").collect()] == ["reserve", "replay", "conflict", "reserve", "replay", "conflict", "reserve", "in-flight"]
+
+
+def test_requests_beyond_capacity_and_at_one_time(spark):
+    rows = [("a", "p", True), ("a", "q", True), ("b", "p", False), ("c", "p", False), ("a", "p", True), ("b", "p", True), ("d", "p", True)]
+    rows = [(n, k, p, T0, c) for n, (k, p, c) in enumerate(rows)]
+    got = store.deduplicated_requests(spark.createDataFrame(rows, "n int, key string, payload_hash string, at timestamp, completed boolean"), capacity=2, ties=["n"])
+    assert [r.outcome for r in got.orderBy("n").collect()] == ["reserve", "conflict", "reserve", "reserve", "conflict", "in-flight", "conflict"]
