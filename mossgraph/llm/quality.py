@@ -113,8 +113,9 @@ def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]
 
 
 def script(text: str) -> str:
-    letters = [c for c in text[:4096] if c.isalpha()]  # a hint at the band only
-    share = lambda low, high: sum(low <= c <= high for c in letters) > 0.5 * len(letters)
+    letters = [(c, n) for c, n in Counter(text).items() if c.isalpha()]
+    half = 0.5 * sum(n for _, n in letters)
+    share = lambda low, high: sum(n for c, n in letters if low <= c <= high) > half
     return "latin" if share("A", "ɏ") else "cjk" if share("぀", "鿿") else "other"
 
 

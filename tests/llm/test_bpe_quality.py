@@ -61,3 +61,10 @@ def test_bands_keep_good_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     rows = quality.measured(docs.select("doc_id", "text", "lang", "quality"), [PIECES]).where("quality = 1 AND NOT base_failed").collect()
     assert len(rows) > 20 and all(x.kept for x in rows)
+
+
+def test_script_of_the_whole_text(spark):
+    body = "这是一个很长的中文正文" * 2000
+    assert quality.script("Menu licence " * 400 + body) == quality.script("- 1 " * 2000 + body) == "cjk"
+    assert quality.script("你好" * 2100 + "plain words " * 3000) == quality.script("= " * 3000 + "plain words") == "latin"
+    assert quality.script("") == quality.script("123 " * 2000) == "other"
