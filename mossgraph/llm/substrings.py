@@ -65,15 +65,18 @@ def _byte_slices(text: str, wanted: list[tuple[int, int]]) -> list[bytes]:
     return [data[a : a + n] for a, n in wanted]
 
 
-def byte_repeats(docs: DataFrame, window: int = WINDOW_BYTES, gram: int = 32, **limits) -> DataFrame:
-    """Of every distinct text: h, n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes that are left."""
+def byte_repeats(docs: DataFrame, window: int = WINDOW_BYTES, gram: int = 32, characters: bool = False, **limits) -> DataFrame:
+    """Of every distinct text: h, n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes that are left; with ``characters`` those of whole characters."""
     known = fragments.texts(docs)
     runs = fragments.repeats(known, Cut(window, gram, _byte_symbols), _byte_slices, lambda content: _BYTES[np.frombuffer(content, np.uint8)], lambda contents, marks: repeated_starts(contents, window), smaller=False, **limits)
 
     def finish(text: str, found: list[tuple[int, int]]) -> tuple:
         data, gone = text.encode(), merged(found, window)
-        kept = b"".join(without(data, gone))
-        return len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept
+        parts = without(data, gone)
+        kept = b"".join(parts)
+        # only the edges of a part can be broken
+        left = b"".join(p.decode(errors="ignore").encode() for p in parts) if characters and gone else kept
+        return len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), left
 
     return fragments.covered(known, runs, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", finish)
 
@@ -86,7 +89,7 @@ def bytes_per_document(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with what is left of each text; characters that a removal has cut apart go too."""
-    kept = byte_repeats(docs).select("h", whole_characters("kept").alias("kept"))
+    kept = byte_repeats(docs, characters=True).select("h", F.col("kept").cast("string").alias("kept"))
     rows = docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns))).select("_row", fragments.hash_of(F.col("text")).alias("h"))
     return rows.join(kept, "h").select(*(F.col("kept").alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns))
 

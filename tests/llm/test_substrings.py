@@ -102,6 +102,13 @@ def test_whole_characters(spark):
     assert [r.t for r in made.collect()] == ["éab", ""]
 
 
+def test_replacement_characters_of_a_text_stay(spark):
+    passage = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, "no \ufffd repeat \ufffd"), (2, "x\ufffd\u00e0" + passage), (3, "y\u3060" + passage + "\ufffd."), (4, None)]
+    left = {r.doc_id: r.text for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {1: "no \ufffd repeat \ufffd", 2: "x\ufffd", 3: "y\ufffd.", 4: ""}
+
+
 def test_suffix_arrays():
     r = random.Random(5)
     for _ in range(200):
