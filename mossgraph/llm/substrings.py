@@ -5,10 +5,10 @@ that fragments meet in are suffix arrays, made by induced sorting; neighbours wi
 window mark the repeats.
 
 Words (``word_repeats``): whatever a window of 50 words covers that also starts in a document of a smaller id
-goes. In a shard, the non-overlapping blocks of half a window are indexed by hash with the smallest id that
-has each; every rolling window of block size probes them; and a probe that hits a smaller id's block is
-extended to the whole windows around it, which must be equal word by word. Adjacent windows join to maximal
-repeats.
+goes. In a shard, every window is hashed twice (64 bits each) and the smallest id of each found by sorting;
+this decides. The non-overlapping blocks of half a window are also indexed by hash and probed by every rolling
+window of block size, but each window that a smaller id has lies around such a hit, so this changes no result,
+and nothing is compared word by word. Adjacent windows join to maximal repeats.
 
 All texts are whole and judged as given. Null texts count as empty; texts shorter than a window lose nothing.
 Equal texts get equal results, but for words the copies of a larger id lose all. Rows without an id lose no
@@ -143,7 +143,7 @@ def anchored(contents: list[bytes], ids: np.ndarray, window: int = WINDOW_WORDS)
     prober = np.repeat(ids, [len(g) for g in own])
     hit = (index[at] == probes) & (least_id[at] < prober) & (prober != NO_ID)
 
-    # a hit is extended to the windows that hold it; equal ones are found by both of two hashes
+    # windows that hold a hit, a superset of the equal ones, which both of two hashes find
     starts = np.cumsum([0, *(len(g) for g in own)])
     near = np.concatenate([np.convolve(hit[a:b], np.ones(window - block + 1, int), "valid") > 0 for a, b in zip(starts, starts[1:], strict=False)])  # noqa: RUF007
     one = np.concatenate([fragments.grams(h, window) for h in hashed])
