@@ -3,26 +3,31 @@
 A set is dealt by hash into segments, and every shingle flips one of 2^20 bits of its segment. Two sketches
 differ in no more bits than the sets have unshared shingles, and a link of sizes a and b leaves at most
 D = (a + b) * (100 - p) / (100 + p) of those. Sketches are made per size band, with D + 1 segments for the
-band's largest D: of these, one at least is equal in both, and segments are joined by it (pigeonhole).
+band's largest D: of these, one at least has no unshared shingle, and segments are joined by it (pigeonhole).
 
-* Empty segments are equal in unrelated documents too. A document has them only beside a few following
-  segments with one bit left out or none: if only empty segments are equal, of 2e - 1 others after one of e
-  such, one differs by a bit exactly (else there were more than D differences).
+* That one may have no shingle at all, and then it says nothing. In bands of many segments it would have to be
+  so with each of a third of the segments: ``missed`` bounds the chance, and from 2^-64 on, that of two shingles
+  with one hash, nothing is done about it. In bands below, a set has its empty segments only beside a few
+  following segments with one bit left out or none: if only empty segments are equal, of 2e - 1 others after one
+  of e such, one differs by a bit exactly (else there were more than D differences).
 * Bands of small sets have D / 2 + 1 segments, one of which differs by a bit at most, with the same variants.
 
 Sharers of a segment are tested against the segment's least document, exactly, and what links is one component;
-members of one segment that are still in several components are then tested against each other. A test
-compares two plain parity sketches first, whose Hamming distance is never more than the difference, and the sets
-only if it is small enough. So groups
-of copies cost a test for each copy, and no link between different texts is lost.
+sharers outside it get a new least document, twice. Members of one segment that are still in several components
+are then compared with each other, in blocks of bounded size: first plain parity sketches, whose Hamming distance
+is never more than the difference, by bit operations on whole blocks; only pairs near enough become rows and are
+tested exactly. So groups of copies cost a few tests for each copy, documents that merely share a passage cost
+no row, and no link between different texts is lost.
 
 Null texts count as empty. Documents without words have size 0 and component of their own. Equal texts link
-if they have words. Rows without an id take part, and do not count in a component's least id.
+if they have words. Rows without an id take part, and do not count in a component's least id. An empty table
+gives no rows. Columns other than ``doc_id`` and ``text`` are not looked at by ``per_document``.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,30 +37,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import fragments
+from . import fragments, words
 from .common import Scratch, written
 from .components import components
 from .fragments import mix
-from .substrings import _hashed
 
 SHINGLE = 4
 PERCENT = 85
 BAND_RATIO = 1.3
 #: Bands up to this size use variants instead of more segments.
 SMALL = 96
+#: Binary logarithm of the chance of a missed pair that is as good as none.
+NEVER = -64.0
+#: New least documents for the sharers of a segment that are outside the component of the one before.
+HUBS = 2
+#: Members of one segment that a task compares with each other, and 64-bit words of their sketches that it looks at.
+BLOCK, BLOCK_WORDS = 1024, 1024
 _BIT = np.uint64(44)
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     """The sorted hashes of the distinct shingles; with fewer words than one, of the whole sequence."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashed = _hashed(words)
-    if len(words) < size:
-        return fragments.grams(hashed, len(words)) ^ np.uint64(len(words))
-    return np.unique(fragments.grams(hashed, size))
+    return words.shingle_sets([text], size)[0]
 
 
 @lru_cache(maxsize=8)
@@ -78,89 +82,187 @@ def most_differences(band: int, percent: int) -> int:
     return 2 * (band_edges()[band + 1] - 1) * (100 - percent) // (100 + percent)
 
 
-def keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The pigeonhole keys of a set: two sets that link share one."""
+def missed(segments: int, unshared: int, shared: int) -> float:
+    """Binary logarithm of the chance that every segment without an unshared shingle has no shared one either, dealt at random."""
+    occupied = np.zeros(segments + 1)  # chance of so many segments with unshared shingles
+    occupied[0] = 1
+    k = np.arange(segments + 1)
+    for _ in range(unshared):
+        now = occupied * k / segments
+        now[1:] += occupied[:-1] * (segments - k[:-1]) / segments
+        occupied = now
+    return math.log2(max(float((occupied * (k / segments) ** shared).sum()), 1e-300))
+
+
+@lru_cache(maxsize=4096)
+def empties_count(band: int, percent: int) -> bool:
+    """Whether empty segments of this band need keys of their own. The sets of a pair in it have at least the sizes of the band below."""
+    d = most_differences(band, percent)
+    if d > 1000:
+        return percent < 10
+    largest, least = 2 * (band_edges()[band + 1] - 1), band_edges()[band] * (100 + percent) // 100
+    return any(missed(d + 1, u, (size - u) // 2) > NEVER for size in (largest, (largest + least) // 2, least) for u in [min(d, size * (100 - percent) // (100 + percent))])
+
+
+def _beside_empties(flip: np.ndarray, segment: np.ndarray, found: np.ndarray, tag: np.ndarray) -> list[np.ndarray]:
+    """The keys of the empty segments of one set."""
+    m = len(found)
+    empty = np.flatnonzero(np.bincount(segment, minlength=m) == 0)
     out = []
+    for i in empty.tolist():
+        for step in range(1, min(m - 1, 2 * len(empty) - 1) + 1):
+            j = (i + step) % m
+            variants = np.append(found[j], found[j] ^ flip[segment == j])
+            out.append(mix(mix(variants ^ tag[j]) ^ tag[i]))
+    return out
+
+
+def keys_of(tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The pigeonhole keys of sets given one after the other, each with the number of its set: two sets that link share one."""
+    of = [bands(n, percent) if n else [] for n in counts.tolist()]
     bits = mix(tokens ^ _SEED)
-    for band in bands(len(tokens), percent) if len(tokens) else ():
-        d = most_differences(band, percent)
-        small = band_edges()[band + 1] <= SMALL
-        m = d // 2 + 1 if small else d + 1
-        tag = mix(np.uint64(band) << np.uint64(40) | np.arange(m, dtype=np.uint64))
-        if d == 0:
-            out.append(np.array([np.bitwise_xor.reduce(bits)]) ^ tag)
-            continue
-        segment = (bits % np.uint64(m)).astype(np.int64)
-        flip = mix((mix(bits) >> _BIT) + _SEED)
-        words = np.zeros(m, np.uint64)
-        np.bitwise_xor.at(words, segment, flip)
-        if small:
-            out += [mix(words ^ tag), mix(words[segment] ^ flip ^ tag[segment])]
-            continue
-        empty = np.flatnonzero(words == 0)
-        full = words != 0 if 2 * len(empty) <= m else np.ones(m, bool)
-        out.append(mix(words[full] ^ tag[full]))
-        for i in empty.tolist():
-            for step in range(1, min(m - 1, 2 * len(empty) - 1) + 1):
-                j = (i + step) % m
-                variants = np.append(words[j], words[j] ^ flip[segment == j])
-                out.append(mix(mix(variants ^ tag[j]) ^ tag[i]))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
-
-
-def _sharers(scratch: Scratch, known: DataFrame, percent: int, size: int) -> DataFrame:
-    """Who shares a key: key, hub (its least node) and the other nodes, for each key of several nodes; written.
+    flips = mix((mix(bits) >> _BIT) + _SEED)
+    ends = np.cumsum(counts)
+    made, owner = [], []
+    for k in range(max(map(len, of), default=0)):
+        sets = np.array([i for i, b in enumerate(of) if len(b) > k])
+        band = np.array([of[i][k] for i in sets])
+        d = np.array([most_differences(b, percent) for b in band.tolist()])
+        small = np.array([band_edges()[b + 1] <= SMALL for b in band.tolist()])
+        m = np.where(small, d // 2 + 1, d + 1)
+        base = np.cumsum(m) - m
+        n = counts[sets]
+        at = np.arange(int(n.sum())) + np.repeat((ends - counts)[sets] - (np.cumsum(n) - n), n)
+        which = np.repeat(np.arange(len(sets)), n)
+        flip = np.where(d[which] == 0, bits[at], flips[at])
+        segment = ((bits[at] >> np.uint64(32)) * m[which].astype(np.uint64) >> np.uint64(32)).astype(np.int64) + base[which]
+        found = np.zeros(int(m.sum()), np.uint64)
+        np.bitwise_xor.at(found, segment, flip)
+        set_of = np.repeat(np.arange(len(sets)), m)
+        tag = mix((band[set_of].astype(np.uint64) << np.uint64(40)) | (np.arange(len(found)) - base[set_of]).astype(np.uint64))
+        full = small[set_of] | (np.bincount(segment, minlength=len(found)) > 0)
+        made.append(mix(found[full] ^ tag[full]))
+        owner.append(sets[set_of[full]])
+        varied = small[which] & (d[which] > 0)
+        made.append(mix(found[segment[varied]] ^ flip[varied] ^ tag[segment[varied]]))
+        owner.append(sets[which[varied]])
+        for i in np.flatnonzero(~small & (np.bincount(set_of[full], minlength=len(sets)) < m)).tolist():
+            if empties_count(int(band[i]), percent):
+                own, part = which == i, slice(int(base[i]), int(base[i] + m[i]))
+                more = _beside_empties(flip[own], segment[own] - base[i], found[part], tag[part])
+                made += more
+                owner += [np.full(len(x), sets[i]) for x in more]
+    if not made:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(made), np.concatenate(owner)
 
-    Keys that several texts of a batch have leave the batch as one row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [keys(shingles(t, size), percent) for t in batch.column(1).to_pylist()]
-            node = np.repeat(batch.column(0).to_numpy(), [len(k) for k in made])
-            key = np.concatenate(made).view(np.int64) if made else np.zeros(0, np.int64)
-            order = np.argsort(key)
-            key, node = key[order], node[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(key))) - 1
-            more = np.ones(len(key), bool)
-            more[first] = False
-            others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32(), mask=np.append(count == 0, False)), pa.array(node[more], pa.int64()))
-            for k in range(0, len(first), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[first[k : k + 50_000]]), pa.array(node[first[k : k + 50_000]]), others.slice(k, 50_000)], ["key", "node", "others"])
-
-    rows = known.select("node", "text").mapInArrow(run, "key long, node long, others array<long>")
-    of = Window.partitionBy("key")
-    shared = rows.withColumns({"hub": F.min("node").over(of), "n": F.count("*").over(of)}).where("n > 1 OR others IS NOT NULL")
-    members = F.concat(F.when(F.col("node") != F.col("hub"), F.array("node")).otherwise(F.array().cast("array<long>")), F.coalesce("others", F.array().cast("array<long>")))
-    return scratch.written(shared.select("key", "hub", members.alias("members")))
+def keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The pigeonhole keys of one set."""
+    return np.unique(keys_of(tokens, np.array([len(tokens)]), percent)[0])
+
+
+def sketch_words(n: int) -> int:
+    """64-bit words of a sketch with at least four bits for each of n shingles; a power of two."""
+    return 1 << max(0, int(4 * n - 1).bit_length() - 6) if n > 16 else 1
+
+
+def sketches_of(tokens: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The parity of every set's hashes over ``sketch_words``."""
+    size = np.array([sketch_words(n) for n in counts.tolist()], np.int64)
+    base = np.cumsum(size) - size
+    hashed = mix(tokens + _SEED)
+    of = np.repeat(np.arange(len(counts)), counts)
+    out = np.zeros(int(size.sum()), np.uint64)
+    np.bitwise_xor.at(out, ((hashed >> np.uint64(6)) & (size[of] - 1).astype(np.uint64)).astype(np.int64) + base[of], np.uint64(1) << (hashed & np.uint64(63)))
+    return [out[b : b + n].tobytes() for b, n in zip(base.tolist(), size.tolist(), strict=True)]
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """The parity of a set's hashes over at least four bits for each, a power of two."""
-    n = 1 << max(6, int(4 * len(tokens) - 1).bit_length()) if len(tokens) else 64
-    bits = np.bincount((mix(tokens + _SEED) & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+    """The parity sketch of one set."""
+    return sketches_of(tokens, np.array([len(tokens)]))[0]
+
+
+def folded(sketch: bytes | np.ndarray, size: int) -> np.ndarray:
+    """A sketch at ``size`` 64-bit words, no more than it has."""
+    x = np.frombuffer(sketch, np.uint64) if isinstance(sketch, bytes) else sketch
+    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
 
 
 def hamming(a: bytes, b: bytes) -> int:
     """Bits in which two sketches differ, the longer one folded to the length of the other; the sets differ in as many elements or more."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    size = min(len(a), len(b)) // 8
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+
+
+def near_pairs(nodes: np.ndarray, of: np.ndarray, side: np.ndarray, counts: np.ndarray, drawn: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of nodes of different components (``of``) that their sketches don't rule out, least first; of two sides only those across."""
+    size = min(BLOCK_WORDS, min(len(x) for x in drawn) // 8)
+    matrix = np.stack([folded(x, size) for x in drawn])
+    two = side.min() != side.max()
+    a, b = [], []
+    for i in range(len(nodes) - 1):
+        j = np.arange(i + 1, len(nodes))
+        j = j[(of[j] != of[i]) & (100 * np.minimum(counts[j], counts[i]) >= percent * np.maximum(counts[j], counts[i])) & (~two | (side[j] != side[i]))]
+        if len(j):
+            j = j[(100 + percent) * np.bitwise_count(matrix[j] ^ matrix[i]).sum(axis=1, dtype=np.int64) <= (counts[j] + counts[i]) * (100 - percent)]
+            a.append(np.full(len(j), nodes[i]))
+            b.append(nodes[j])
+    if not a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y = np.concatenate(a), np.concatenate(b)
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def drawn_sets(known: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """node, h, n_shingles, sketch and keys of every text of ``fragments.texts``; written."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in words.chunks(batch.column(2).to_pylist()):
+                tokens, counts = words.shingle_sets(texts, size)
+                key, owner = keys_of(tokens, counts, percent)
+                order = np.argsort(owner, kind="stable")
+                ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(texts))))
+                part = batch.slice(at, len(texts))
+                at += len(texts)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(sketches_of(tokens, counts), pa.binary()), lists], ["node", "h", "n_shingles", "sketch", "keys"])
+
+    return written(known.select("node", "h", "text").mapInArrow(run, "node long, h binary, n_shingles long, sketch binary, keys array<long>"))
 
-def sketches(known: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """node, h, n_shingles and sketch of every text; written."""
+
+def _sharers(scratch: Scratch, drawn: DataFrame) -> DataFrame:
+    """Who shares a key: key, hub (its least node) and the other nodes, for each key of several nodes; written.
+
+    Keys that several texts of a batch have leave the batch as one row, so a key of very many texts is few rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, size) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary())], ["node", "h", "n_shingles", "sketch"])
-
-    return written(known.select("node", "h", "text").mapInArrow(run, "node long, h binary, n_shingles long, sketch binary"))
+            ends = batch.column(1).offsets.to_numpy()
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + 2_000_000, "right")) - 1)
+                part = batch.slice(at, stop - at)
+                at = stop
+                node = np.repeat(part.column(0).to_numpy(), np.diff(part.column(1).offsets.to_numpy()))
+                key = part.column(1).flatten().to_numpy()
+                order = np.argsort(key)
+                key, node = key[order], node[order]
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+                count = np.diff(np.append(first, len(key))) - 1
+                more = np.ones(len(key), bool)
+                more[first] = False
+                others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32(), mask=np.append(count == 0, False)), pa.array(node[more], pa.int64()))
+                for k in range(0, len(first), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[first[k : k + 50_000]]), pa.array(node[first[k : k + 50_000]]), others.slice(k, 50_000)], ["key", "node", "others"])
+
+    rows = drawn.select("node", "keys").mapInArrow(run, "key long, node long, others array<long>")
+    of = Window.partitionBy("key")
+    shared = rows.withColumns({"hub": F.min("node").over(of), "n": F.count("*").over(of)}).where("n > 1 OR others IS NOT NULL")
+    members = F.concat(F.when(F.col("node") != F.col("hub"), F.array("node")).otherwise(F.array().cast("array<long>")), F.coalesce("others", F.array().cast("array<long>")))
+    return scratch.written(shared.select("key", "hub", members.alias("members")))
 
 
 def _tested(scratch: Scratch, known: DataFrame, drawn: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
@@ -201,61 +303,85 @@ def _tested(scratch: Scratch, known: DataFrame, drawn: DataFrame, pairs: DataFra
     return scratch.written(pairs.select("a", "b").join(judged.withColumn("linked", F.lit(True)), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))))
 
 
-def _own_shingles(known: DataFrame, drawn: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node, n (its shingles) and own (those that no other of ``nodes`` has)."""
-    placed = drawn.select("node", "h", F.col("n_shingles").alias("n")).join(nodes, "node")
+def _labelled(rows: DataFrame, found: DataFrame, node: str, name: str) -> DataFrame:
+    """``rows`` with the component of the column ``node``, by default the node itself."""
+    return rows.join(found.select(F.col("node").alias(node), F.col("component").alias("_c")), node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
+
+
+def _block_pairs(members: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """a and b: members (key, node, c) of one key and of different components whose sketches are near enough.
+
+    Keys with the same members are looked at once. The members of a key are dealt into blocks, and each two blocks meet in one group."""
+    spark = members.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = members.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"))
+    once = every.where("low <> high").groupBy("n", "one", "two").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(once, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "c").join(drawn.select("node", "n_shingles", "sketch"), "node")
+    rows = rows.select("key", "low", "high", "own", "node", "c", "n_shingles", "sketch").repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                sets = [shingles(t, size) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), [len(x) for x in sets]), pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["node", "token"])
+        held: list[pa.RecordBatch] = []
+        group = None
 
-    rows = known.select("h", "text").join(placed.select("node", "h"), "h").select("node", "text").mapInArrow(run, "node long, token long")
-    single = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    return placed.select("node", "n").join(single.groupBy("node").agg(F.count("*").alias("own")), "node", "left").fillna(0, ["own"])
+        def of_held() -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held)
+            if whole.num_rows > 1:
+                own, node, c, count = (whole.column(k).to_numpy() for k in range(3, 7))
+                a, b = near_pairs(node, c, own, count, whole.column(7).to_pylist(), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            key = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for p, q in zip(edges, edges[1:]):  # noqa: B905, RUF007
+                if p == q:
+                    continue
+                now = tuple(key[:, p].tolist())
+                if held and now != group:
+                    yield from of_held()
+                    held = []
+                group = now
+                held.append(batch.slice(p, q - p))
+        if held:
+            yield from of_held()
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def linked_components(known: DataFrame, drawn: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """node and component of every text (of ``fragments.texts``, with its ``sketches``) that links with another."""
+    """node and component of every text (of ``fragments.texts``, with its ``drawn_sets``) that links with another."""
     with Scratch(known.sparkSession) as scratch:
-        sharers = _sharers(scratch, known, percent, size)
-        spokes = sharers.select("key", "hub", F.explode("members").alias("node"))
+        sharers = _sharers(scratch, drawn)
+        spokes = sharers.select("key", "hub", F.explode("members").alias("node")).where("node <> hub")
         tested = _tested(scratch, known, drawn, spokes.groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b")), percent, size)
         found = components(tested.where("linked").select("a", "b"))
 
-        def labelled(rows: DataFrame, node: str, name: str) -> DataFrame:
-            return rows.join(found.select(F.col("node").alias(node), F.col("component").alias("_c")), node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
-
-        # hubs against all members of other components
-        open_spokes = labelled(labelled(spokes, "node", "cn"), "hub", "ch").where("cn <> ch")
-        pairs = open_spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        second = _tested(scratch, known, drawn, pairs, percent, size)
-        links = tested.where("linked").unionByName(second.where("linked")).select("a", "b")
-        if second.where("linked").limit(1).count():
-            found = components(links)
-
-        # what is left: members of one key, both not the hub, in different components. Shingles that only one of
-        # these documents has are differences to each other one, so two that both have many of them can't link
-        several = labelled(labelled(spokes, "node", "cn"), "hub", "ch").where("cn <> ch").select("key").distinct()
-        members = labelled(spokes.join(several, "key").select("key", "node"), "node", "c")
-        sized = scratch.written(members.join(_own_shingles(known, drawn, members.select("node").distinct(), size), "node"))
-        x, y = (sized.select(*(F.col(c).alias(c + n) for c in ("key", "node", "c", "n", "own"))) for n in "xy")
-        low = F.col("ownx") * (100 + percent) <= F.col("nx") * (100 - percent)
-        may_link = (F.col("ownx") + F.col("owny")) * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
-        pairs = x.where(low).join(y, (F.col("keyx") == F.col("keyy")) & (F.col("cx") != F.col("cy")) & may_link).select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b"))
-        pairs = pairs.distinct().join(tested.unionByName(second).select("a", "b"), ["a", "b"], "left_anti")
-        third = _tested(scratch, known, drawn, pairs, percent, size)
-        if third.where("linked").limit(1).count():
-            found = components(links.unionByName(third.where("linked").select("a", "b")))
+        def more(pairs: DataFrame) -> bool:
+            """Tests pairs that were not tested yet; whether some link."""
+            nonlocal tested, found
+            new = _tested(scratch, known, drawn, pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), percent, size)
+            tested = tested.unionByName(new)
+            linked = new.where("linked").limit(1).count() > 0
+            if linked:
+                found = components(tested.where("linked").select("a", "b"))
+            return linked
+
+        now = spokes
+        for k in range(1 + HUBS):
+            if k:
+                now = now.select("key", "node").join(now.groupBy("key").agg(F.min("node").alias("hub")), "key").where("node <> hub")
+            now = scratch.written(_labelled(_labelled(now, found, "node", "cn"), found, "hub", "ch").where("cn <> ch").select("key", "hub", "node"))
+            if not more(now.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()) and k:
+                break
+        more(_block_pairs(scratch.written(_labelled(spokes.select("key", "node"), found, "node", "c")), drawn, percent))
         return found
 
 
 def one_of_each(docs: DataFrame, percent: int, size: int) -> DataFrame:
     """``docs`` with one row of every component, one of its least id. Texts without words stay, one row for each such text."""
     known = fragments.texts(docs, others=[c for c in docs.columns if c != "text"])
-    found = linked_components(known, sketches(known, size), percent, size)
+    found = linked_components(known, drawn_sets(known, percent, size), percent, size)
     nodes = known.select("node", "least_id").join(found, "node")
     kept = nodes.groupBy("component").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "node")).alias("best")).select(F.col("best.node").alias("node"))
     gone = written(nodes.join(kept, "node", "left_anti").join(known.select("node", "h"), "node").select("h"))
@@ -265,7 +391,7 @@ def one_of_each(docs: DataFrame, percent: int, size: int) -> DataFrame:
 def per_document(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     known = fragments.texts(docs)
-    drawn = sketches(known, size)
+    drawn = drawn_sets(known, percent, size)
     found = linked_components(known, drawn, percent, size)
     nodes = written(known.select("h", "node", "least_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = nodes.groupBy("component").agg(F.min("least_id").alias("component_id"))
