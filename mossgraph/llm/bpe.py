@@ -2,17 +2,22 @@
 
 Every batch's distinct pieces are dealt into matrices by length. In each round every row of a matrix
 merges its leftmost pair of least rank; a hash table holds the pairs' ranks, and the matrix is compacted
-by one column. Rows without a further pair leave the matrix.
+by one column. Rows without a further pair leave the matrix. A piece wider than the widest shared matrix has a
+matrix of its own, whose row merges with the leftmost pair its later equals that don't overlap, so
+that it takes as many rounds as it has different pairs merged, not as many as it has bytes.
 
-Null texts count as empty; an empty text has no ids and decodes to no bytes. Equal texts give equal ids.
+The ids of all pieces a worker remembers are one flat array; texts gather theirs from it by numpy.
+
+Null texts count as empty; an empty text has no ids and decodes to no bytes. Equal texts give equal ids. An empty
+table gives no rows. Other columns stay; one with the output's name is replaced.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces up to these lengths share a matrix; longer pieces are merged by a heap, as the matrix's work is quadratic in the width.
+from .words import chunks
+
+#: Pieces up to these lengths share a matrix.
 WIDTHS = (4, 8, 16, 32, 64, 128, 256)
-#: Distinct pieces that a worker remembers before it starts anew.
+#: Distinct pieces that a worker remembers; the first half stays when there are more.
 REMEMBERED = 400_000
 #: Pieces in one matrix, so that its temporaries stay at a few MB.
 ROWS = 16_384
@@ -84,76 +91,132 @@ class Codec:
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         halves = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self.pairs = PairTable(*np.array(halves, np.int64).reshape(-1, 3).T)
-        self.known: dict[str, list[int]] = {}
-
-    def pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece."""
-        out: list[list[int]] = [[]] * len(pieces)
+        self.size = np.array([len(t) for t in self.tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.known: dict[str, int] = {}
+        self.known_ids, self.known_ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and how many each has."""
+        counts = np.zeros(len(pieces), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # ids, and the piece of each
         groups: dict[int, list[int]] = {}
+        whole, ranks = [], []
         for i, piece in enumerate(pieces):
             if (rank := self.ranks.get(piece)) is not None:
-                out[i] = [rank]
+                whole.append(i)
+                ranks.append(rank)
             elif len(piece) > WIDTHS[-1]:
-                out[i] = self._heap(piece)
+                ids = self._row(piece)
+                parts.append((ids, np.full(len(ids), i)))
             elif piece:
                 groups.setdefault(next(w for w in WIDTHS if len(piece) <= w), []).append(i)
+        parts.append((np.array(ranks, np.int32), np.array(whole, np.int64)))
         for width, members in groups.items():
             for k in range(0, len(members), ROWS):
-                self._matrix([pieces[i] for i in members[k : k + ROWS]], members[k : k + ROWS], width, out)
-        return out
+                parts += self._matrix([pieces[i] for i in members[k : k + ROWS]], np.array(members[k : k + ROWS]), width)
+        ids, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+        counts = np.bincount(of, minlength=len(pieces))
+        return ids[np.argsort(of, kind="stable")], counts
 
-    def _matrix(self, pieces: list[bytes], where: list[int], width: int, out: list[list[int]]) -> None:
+    def _matrix(self, pieces: list[bytes], rows: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
         lengths = np.array([len(p) for p in pieces])
         flat = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
         ids = np.where(np.arange(width) < lengths[:, None], self.bytes[flat], np.int32(-1))
-        rows = np.array(where)
-        while len(rows):
-            left, right = ids[:, :-1], ids[:, 1:]
-            ranks = self.pairs.find(left, right)
-            at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), int)
-            best = ranks[np.arange(len(rows)), at] if ranks.shape[1] else np.full(len(rows), _NONE)
-            for i in np.flatnonzero(done := best == _NONE):
-                out[rows[i]] = ids[i][ids[i] >= 0].tolist()
-            ids, at, best, rows = ids[~done], at[~done], best[~done], rows[~done]
-            if len(rows):
+        ranks = self.pairs.find(ids[:, :-1], ids[:, 1:])
+        out = []
+        while True:
+            n = np.arange(len(rows))
+            at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
+            best = ranks[n, at] if ranks.shape[1] else np.full(len(rows), _NONE)
+            if (done := best == _NONE).any():
+                there = ids[done] >= 0
+                out.append((ids[done][there], np.repeat(rows[done], there.sum(axis=1))))
+                ids, ranks, at, best, rows = ids[~done], ranks[~done], at[~done], best[~done], rows[~done]
                 n = np.arange(len(rows))
-                ids[n, at] = best
-                keep = np.ones(ids.shape, bool)
-                keep[n, at + 1] = False
-                ids = ids[keep].reshape(len(rows), -1)
-
-    def _heap(self, piece: bytes) -> list[int]:
-        """The same merges for one long piece in n log n steps: least rank first, leftmost among equals."""
-        ids: list[int] = [self.ranks[piece[i : i + 1]] for i in range(len(piece))]
-        size = [1] * len(piece)
-        before, after = list(range(-1, len(piece) - 1)), [*range(1, len(piece)), -1]
-        joined = lambda i, j: self.ranks.get(piece[i : j + size[j]]) if j >= 0 else None
-        heap = [(r, i, 1, 1) for i in range(len(piece) - 1) if (r := joined(i, i + 1)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, n, m = heapq.heappop(heap)
-            j = after[i]
-            if size[i] != n or j < 0 or size[j] != m:
-                continue
-            ids[i], size[i], size[j], after[i] = rank, n + m, 0, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for a in (before[i], i):
-                if a >= 0 and (r := joined(a, after[a])) is not None:
-                    heapq.heappush(heap, (r, a, size[a], size[after[a]]))
-        return [x for x, s in zip(ids, size, strict=True) if s]
+            if not len(rows):
+                return out
+            ids[n, at] = best
+            keep = np.ones(ids.shape, bool)
+            keep[n, at + 1] = False
+            ids = ids[keep].reshape(len(rows), -1)
+            keep = np.ones(ranks.shape, bool)
+            keep[n, at] = False
+            ranks = ranks[keep].reshape(len(rows), -1)
+            for pair in (at - 1, at):  # only the pairs beside the new token change
+                k = np.flatnonzero((pair >= 0) & (pair < ranks.shape[1]))
+                ranks[k, pair[k]] = self.pairs.find(ids[k, pair[k]], ids[k, pair[k] + 1])
+
+    def _row(self, piece: bytes) -> np.ndarray:
+        """The ids of one long piece. Equal pairs merge in one round, unless the first merge makes a pair of a lesser rank."""
+        ids = self.bytes[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.find(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == best)
+            run = np.maximum.accumulate(np.where(np.append(True, at[1:] != at[:-1] + 1), at, 0))
+            at = at[(at - run) % 2 == 0]
+            after = self._joined(ids, ranks, at, best)
+            if len(at) > 1 and len(after[1]) and after[1].min() < best:
+                after = self._joined(ids, ranks, at[:1], best)
+            ids, ranks = after
+        return ids
+
+    def _joined(self, ids: np.ndarray, ranks: np.ndarray, at: np.ndarray, token: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and ranks after the merges at these places."""
+        ids, keep = ids.copy(), np.ones(len(ids), bool)
+        ids[at] = token
+        keep[at + 1] = False
+        ids, keep_ranks = ids[keep], np.ones(len(ranks), bool)
+        keep_ranks[at] = False
+        ranks = ranks[keep_ranks]
+        now = at - np.arange(len(at))
+        beside = np.unique(np.concatenate([now - 1, now]))
+        beside = beside[(beside >= 0) & (beside < len(ranks))]
+        ranks[beside] = self.pairs.find(ids[beside], ids[beside + 1])
+        return ids, ranks
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remembers the ids of pieces."""
+        known = self.known
+        if len(known) > REMEMBERED:
+            self.known = known = dict(islice(known.items(), REMEMBERED // 2))
+            self.known_ends = self.known_ends[: len(known) + 1].copy()
+            self.known_ids = self.known_ids[: self.known_ends[-1]].copy()
+        new = [p for p in set(pieces) if p not in known]
+        if new:
+            ids, counts = self.pieces([p.encode() for p in new])
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self.known_ids = np.concatenate([self.known_ids, ids])
+            self.known_ends = np.concatenate([self.known_ends, self.known_ends[-1] + np.cumsum(counts)])
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        split = [self.split(t) for t in texts]
+        pieces = list(chain.from_iterable(split))
+        self._learn(pieces)
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        start, counts = self.known_ends[at], self.known_ends[at + 1] - self.known_ends[at]
+        ends = np.append(0, np.cumsum(counts))
+        ids = self.known_ids[np.repeat(start - ends[:-1], counts) + np.arange(ends[-1])]
+        return ids, np.diff(ends[np.cumsum([0, *map(len, split)])])
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        split = [self.split(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [p for p in {p for ps in split for p in ps} if p not in self.known]
-        self.known.update(zip(new, self.pieces([p.encode() for p in new]), strict=True))
-        known = self.known
-        return [[i for p in ps for i in known[p]] for ps in split]
+        ids, counts = self.encode_flat([t or "" for t in texts])
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
+
+    def decode_flat(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids, one after the other."""
+        parts = []
+        for k in range(0, len(ids), 1 << 20):
+            part = ids[k : k + (1 << 20)]
+            size = self.size[part]
+            ends = np.cumsum(size)
+            parts.append(self.data[np.repeat(self.start[part] - (ends - size), size) + np.arange(ends[-1])])
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return self.decode_flat(np.array(ids, np.int64)).tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -162,8 +225,8 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, arrow: pa.DataType, each) -> DataFrame:
-    """``df`` with the column ``out`` (an earlier one of that name goes), made from ``column`` batch by batch."""
+def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, each) -> DataFrame:
+    """``df`` with the column ``out`` (an earlier one of that name goes), made from ``column``: ``each`` yields an array for the next rows."""
     kept = [c for c in df.columns if c != out]
     at = kept.index(column) if column in kept else None
     if at is None:
@@ -172,26 +235,40 @@ def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, arrow: pa.Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):  # texts in hand stay few, however wide the batch
-                part = batch.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(each(part.column(at)), arrow)], [*kept, out])
+            k = 0
+            for made in each(batch.column(at)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, len(made)).columns, made], [*kept, out])
+                k += len(made)
 
     return df.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` and the ids of ``text``, without special tokens; null counts as empty."""
-    return _mapped(df, text, out, T.ArrayType(T.IntegerType(), False), pa.list_(pa.int32()), lambda column: codec(path, pattern).encode(column.to_pylist()))
+
+    def each(column: pa.Array) -> Iterator[pa.Array]:
+        own = codec(path, pattern)
+        for texts in chunks(column.to_pylist()):
+            ids, counts = own.encode_flat(texts)
+            yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
+
+    return _mapped(df, text, out, T.ArrayType(T.IntegerType(), False), each)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` and the bytes that ``ids`` stand for; null counts as no ids."""
 
-    def each(column: pa.Array) -> list[bytes]:
+    def each(column: pa.Array) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        return [own.decode(x or []) for x in column.to_pylist()]
-
-    return _mapped(df, ids, out, T.BinaryType(), pa.binary(), each)
+        for k in range(0, len(column), 256):
+            part = column.slice(k, 256)
+            flat = part.flatten().to_numpy()
+            counts = part.value_lengths().fill_null(0).to_numpy()
+            size = np.append(0, np.cumsum(own.size[flat]))
+            ends = size[np.append(0, np.cumsum(counts))]
+            yield pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(own.decode_flat(flat))])
+
+    return _mapped(df, ids, out, T.BinaryType(), each)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -68,3 +68,17 @@ def test_script_of_the_whole_text(spark):
     assert quality.script("Menu licence " * 400 + body) == quality.script("- 1 " * 2000 + body) == "cjk"
     assert quality.script("你好" * 2100 + "plain words " * 3000) == quality.script("= " * 3000 + "plain words") == "latin"
     assert quality.script("") == quality.script("123 " * 2000) == "other"
+
+
+def test_long_pieces_are_merged_in_matrices():
+    """Pieces of several widths' lengths, one letter or random ones, as the library splits them; and the time of a long one."""
+    codec = bpe.codec(RANKS, PATTERN)
+    theirs = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=codec.ranks, special_tokens={})
+    r = random.Random(5)
+    for n in (2, 3, 255, 256, 257, 300, 1000, 5000):
+        for letters in ("a", "ab", "aé", "abcdefghijklmnopqrstuvwxyz", "the nation of\n", "日本語文字列"):
+            for piece in ("".join(r.choice(letters) for _ in range(n)), (letters * n)[:n]):
+                ids, counts = codec.pieces([piece.encode()])
+                assert ids.tolist() == theirs.encode_ordinary(piece) and counts.tolist() == [len(ids)]
+    ids, _ = codec.pieces([b"a" * 4_000_000, b"x"])
+    assert codec.decode(ids.tolist()) == b"a" * 4_000_000 + b"x"
