@@ -12,8 +12,9 @@ band's largest D: of these, one at least has no unshared shingle, and segments a
   of e such, one differs by a bit exactly (else there were more than D differences).
 * Bands of small sets have D / 2 + 1 segments, one of which differs by a bit at most, with the same variants.
 
-Sharers of a segment are tested against the segment's least document, exactly, and what links is one component;
-sharers outside it get a new least document, twice. Members of one segment that are still in several components
+Sharers of a segment are tested against one of them, exactly, and what links is one component; sharers outside it
+get a new one to be tested against, twice. It is the one that shares most segments: of near copies, that which has
+changed least. Members of one segment that are still in several components
 are then compared with each other, in blocks of bounded size: first plain parity sketches, whose Hamming distance
 is never more than the difference, by bit operations on whole blocks; only pairs near enough become rows and are
 tested exactly. So groups of copies cost a few tests for each copy, documents that merely share a passage cost
@@ -49,7 +50,7 @@ BAND_RATIO = 1.3
 SMALL = 96
 #: Binary logarithm of the chance of a missed pair that is as good as none.
 NEVER = -64.0
-#: New least documents for the sharers of a segment that are outside the component of the one before.
+#: New hubs for the sharers of a segment that are outside the component of the one before.
 HUBS = 2
 #: Members of one segment that a task compares with each other, and 64-bit words of their sketches that it looks at.
 BLOCK, BLOCK_WORDS = 1024, 1024
@@ -234,7 +235,7 @@ def drawn_sets(known: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
 
 
 def _sharers(scratch: Scratch, drawn: DataFrame) -> DataFrame:
-    """Who shares a key: key, hub (its least node) and the other nodes, for each key of several nodes; written.
+    """Who shares a key: key, node and degree (how many keys the node shares), for each key of several nodes; written.
 
     Keys that several texts of a batch have leave the batch as one row, so a key of very many texts is few rows."""
 
@@ -248,8 +249,10 @@ def _sharers(scratch: Scratch, drawn: DataFrame) -> DataFrame:
                 at = stop
                 node = np.repeat(part.column(0).to_numpy(), np.diff(part.column(1).offsets.to_numpy()))
                 key = part.column(1).flatten().to_numpy()
-                order = np.argsort(key)
+                order = np.lexsort((node, key)) if (node[1:] < node[:-1]).any() else np.argsort(key, kind="stable")
                 key, node = key[order], node[order]
+                new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]
+                key, node = key[new], node[new]
                 first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
                 count = np.diff(np.append(first, len(key))) - 1
                 more = np.ones(len(key), bool)
@@ -260,9 +263,16 @@ def _sharers(scratch: Scratch, drawn: DataFrame) -> DataFrame:
 
     rows = drawn.select("node", "keys").mapInArrow(run, "key long, node long, others array<long>")
     of = Window.partitionBy("key")
-    shared = rows.withColumns({"hub": F.min("node").over(of), "n": F.count("*").over(of)}).where("n > 1 OR others IS NOT NULL")
-    members = F.concat(F.when(F.col("node") != F.col("hub"), F.array("node")).otherwise(F.array().cast("array<long>")), F.coalesce("others", F.array().cast("array<long>")))
-    return scratch.written(shared.select("key", "hub", members.alias("members")))
+    shared = rows.withColumn("n", F.count("*").over(of)).where("n > 1 OR others IS NOT NULL")
+    members = scratch.written(shared.select("key", F.concat(F.array("node"), F.coalesce("others", F.array().cast("array<long>"))).alias("members")))
+    each = members.select("key", F.explode("members").alias("node"))
+    return scratch.written(each.join(each.groupBy("node").agg(F.count("*").alias("degree")), "node"))
+
+
+def _spokes(sharers: DataFrame) -> DataFrame:
+    """key, node, hub and hub_degree for each sharer but the hub of a key, which has the greatest degree (of equal ones the least node)."""
+    top = sharers.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("less"))).alias("top"))
+    return sharers.join(top, "key").select("key", "node", "degree", (-F.col("top.less")).alias("hub"), F.col("top.degree").alias("hub_degree")).where("node <> hub")
 
 
 def _tested(scratch: Scratch, known: DataFrame, drawn: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
@@ -353,8 +363,9 @@ def linked_components(known: DataFrame, drawn: DataFrame, percent: int = PERCENT
     """node and component of every text (of ``fragments.texts``, with its ``drawn_sets``) that links with another."""
     with Scratch(known.sparkSession) as scratch:
         sharers = _sharers(scratch, drawn)
-        spokes = sharers.select("key", "hub", F.explode("members").alias("node")).where("node <> hub")
-        tested = _tested(scratch, known, drawn, spokes.groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b")), percent, size)
+        ordered = [F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")]
+        first = _spokes(sharers).groupBy("node").agg((-F.max(F.struct("hub_degree", (-F.col("hub")).alias("less")))["less"]).alias("hub"))
+        tested = _tested(scratch, known, drawn, first.select(*ordered).distinct(), percent, size)
         found = components(tested.where("linked").select("a", "b"))
 
         def more(pairs: DataFrame) -> bool:
@@ -367,14 +378,13 @@ def linked_components(known: DataFrame, drawn: DataFrame, percent: int = PERCENT
                 found = components(tested.where("linked").select("a", "b"))
             return linked
 
-        now = spokes
+        now = sharers
         for k in range(1 + HUBS):
-            if k:
-                now = now.select("key", "node").join(now.groupBy("key").agg(F.min("node").alias("hub")), "key").where("node <> hub")
-            now = scratch.written(_labelled(_labelled(now, found, "node", "cn"), found, "hub", "ch").where("cn <> ch").select("key", "hub", "node"))
-            if not more(now.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()) and k:
+            spokes = _labelled(_labelled(_spokes(now), found, "node", "cn"), found, "hub", "ch").where("cn <> ch")
+            now = scratch.written(spokes.select("key", "node", "degree", "hub"))
+            if not more(now.select(*ordered).distinct()) and k:
                 break
-        more(_block_pairs(scratch.written(_labelled(spokes.select("key", "node"), found, "node", "c")), drawn, percent))
+        more(_block_pairs(scratch.written(_labelled(sharers.select("key", "node"), found, "node", "c")), drawn, percent))
         return found
 
 
