@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +9,13 @@ from pyspark.sql import functions as F
 
 from .functions import frontmatter, markdown, text
 from .model import DEFAULT_COLLECTION
-from .operators import changes, graph, listing, metrics, search, store, sync
+from .operators import changes, graph, listing, metrics, rebuild, search, store, sync
+from .operators.index import StoredIndex
 from .operators.search import Filters
-from .plans.search import SearchRequest, plan
+from .plans.search import SearchRequest, answer, plan, total
+from .shared import shared_folder as _folder
 from .sources import blobs
+from .shared import written
 from .sources.adapters import history, links, operations, records, table, texts, vectors
 from .streaming import drain
 
@@ -34,10 +35,16 @@ def query(sql: str | None = None):
     return add
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+_built: dict[tuple, StoredIndex] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> StoredIndex:
+    """The stored index of the documents, built once for a session; the first six words stand in for a title."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _built:
+        docs = texts(spark, sf).withColumn("title", F.array_join(F.slice(F.split("text", " ", -1), 1, 6), " "))
+        _built[key] = StoredIndex(spark, _folder(spark), ("title", "text"), "text").add(docs)
+    return _built[key]
 
 
 REC = """WITH rec AS (SELECT o_orderkey AS id, o_orderpriority AS collection, 'customer_' || o_custkey || '/' || o_orderkey || '.md' AS path,
@@ -134,25 +141,81 @@ sc AS (SELECT doc_id, lang, source, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) *
 
 @query(_LEX + "SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 20")
 def lexical_topk(spark, sf):
+    scored = _index(spark, sf).scores(QUERY, fields=["text"])
+    return search.top(scored, 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(_LEX + "SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 20")
+def scan_topk(spark, sf):
     return plan(SearchRequest(QUERY, limit=20), texts(spark, sf)).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(_LEX + "SELECT doc_id, round(score, 6) AS score FROM sc WHERE lang = 'en' AND source IN ('src1') ORDER BY sc.score DESC, doc_id LIMIT 20")
 def lexical_filtered_topk(spark, sf):
-    request = SearchRequest(QUERY, Filters(frozenset(["en"]), frozenset(["src1"])), limit=20)
-    return plan(request, texts(spark, sf)).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    keep = Filters(frozenset(["en"]), frozenset(["src1"])).predicate()
+    return search.top(_index(spark, sf).scores(QUERY, keep, ["text"]), 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(_LEX + "SELECT doc_id, round(score, 6) AS score, (SELECT count(*) > 30 FROM sc) AS has_more FROM sc ORDER BY sc.score DESC, doc_id LIMIT 10 OFFSET 20")
 def lexical_page_has_more(spark, sf):
-    scored = search.scan_scores(texts(spark, sf), QUERY)
-    return search.top_with_more(scored.select("id", "score"), 10, 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "has_more")
+    return search.top_with_more(_index(spark, sf).scores(QUERY, fields=["text"]), 10, 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "has_more")
 
 
 @query(_LEX + "SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 20")
 def index_topk(spark, sf):
-    posted = search.postings(texts(spark, sf), ["text"], tags=None)
-    return search.top(search.index_scores(posted, QUERY), 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    posted = _index(spark, sf).hits(search.query_terms(QUERY), ["text"])
+    lengths = F.broadcast(spark.read.parquet(f"{_index(spark, sf).folder}/statistics/version=0"))
+    return search.top(search.weighted(posted, lengths), 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+_FIELDS = r"""WITH f AS (SELECT doc_id, lang, source, text, 'text' AS field, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents
+  UNION ALL SELECT doc_id, lang, source, text, 'title', regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:6], ' ')), '[\p{L}\p{N}]+') FROM documents),
+tok AS (SELECT doc_id, field, len(t) AS n, unnest(t) AS term FROM f UNION ALL SELECT doc_id, 'tags', 1, source FROM documents),
+ln AS (SELECT field, doc_id, count(*) AS n FROM tok GROUP BY ALL), st AS (SELECT field, count(*) AS docs, avg(n) AS avgl FROM ln GROUP BY 1),
+tf AS (SELECT doc_id, field, n, term, count(*) AS tf FROM tok WHERE term IN ('src3', 'thation', 'erinable') GROUP BY ALL), df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
+sc AS (SELECT doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * n / avgl))) AS score FROM tf JOIN df USING (field, term) JOIN st USING (field) GROUP BY 1) """
+_SHOWN = r""", p AS (SELECT text, doc_id, score, length(regexp_extract(lower(text), '(?s)^(|.*?[^\p{L}\p{N}])(?:src3|thation|erinable)(?:[^\p{L}\p{N}]|$)', 1)) + 1 AS pos,
+  regexp_matches(lower(text), '(?s)(^|[^\p{L}\p{N}])(?:src3|thation|erinable)([^\p{L}\p{N}]|$)') AS hit FROM page JOIN documents USING (doc_id)) """
+MULTI = "src3 Thation, erinable"
+
+
+@query(_FIELDS + "SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 30")
+def indexed_search_fields(spark, sf):
+    """Title, text and tags."""
+    return search.top(_index(spark, sf).scores(MULTI), 30).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(_FIELDS + ", page AS (SELECT * FROM sc JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY score DESC, doc_id LIMIT 10 OFFSET 5), page2 AS (SELECT count(*) > 15 AS m FROM sc JOIN documents USING (doc_id) WHERE lang = 'en')" + _SHOWN.replace("FROM page JOIN documents USING (doc_id)", "FROM page") + "SELECT doc_id, round(score, 6) AS score, CASE WHEN hit THEN substr(text, greatest(pos - 40, 1)::BIGINT, 200) ELSE substr(text, 1, 200) END AS snippet, m AS has_more FROM p, page2")
+def indexed_search_page(spark, sf):
+    page = answer(SearchRequest(MULTI, Filters(frozenset(["en"])), limit=10, offset=5), _index(spark, sf))
+    return page.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "snippet", "has_more")
+
+
+@query(_FIELDS + """, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), ve AS (SELECT vec_id AS doc_id, (1 + list_cosine_similarity(embedding::DOUBLE[], q.v)) / 2 AS score FROM embeddings, q),
+r AS (SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS part, row_number() OVER (ORDER BY score DESC, doc_id) AS n FROM sc
+  UNION ALL SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)), row_number() OVER (ORDER BY score DESC, doc_id) FROM ve)
+SELECT doc_id, round(sum(part), 6) AS score FROM r WHERE n <= 50 GROUP BY 1 ORDER BY sum(part) DESC, doc_id LIMIT 20""")
+def indexed_hybrid(spark, sf):
+    vector = [float(x) for x in vectors(spark, sf).where("id = 0").first()["vector"]]  # the request's vector
+    page = answer(SearchRequest(MULTI, mode="hybrid", vector=vector, limit=20, candidates=50), _index(spark, sf), vectors(spark, sf))
+    return page.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(_FIELDS + """, pending AS (SELECT doc_id, 'pending ' || text AS text, lang = 'fr' AS deleted FROM documents WHERE lang IN ('es', 'fr')),
+h AS (SELECT doc_id, score FROM sc WHERE doc_id NOT IN (SELECT doc_id FROM pending) UNION ALL SELECT doc_id, 1.7976931348623157e308 FROM pending WHERE NOT deleted AND contains(lower(text), 'src3 thation, erinable'))
+SELECT doc_id, round(score, 6) AS score FROM h ORDER BY h.score DESC, doc_id LIMIT 40""")
+def indexed_overlay(spark, sf):
+    """Spanish documents have pending writes, French ones are pending deletions."""
+    pending = texts(spark, sf).where("collection IN ('es', 'fr')").withColumns({"text": F.concat(F.lit("pending "), "text"), "deleted": F.col("collection") == "fr"})
+    return answer(SearchRequest(MULTI, limit=40), _index(spark, sf), pending=pending).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT count(*) FILTER (lang <> 'fr') + count(*) FILTER (lang = 'es' AND source = 'src1') AS n FROM documents")
+def overlay_total(spark, sf):
+    """French documents are pending deletions; Spanish ones of a source are pending under new ids too."""
+    t = texts(spark, sf)
+    new = t.where("collection = 'es' AND array_contains(tags, 'src1')").withColumn("id", -1 - F.col("id"))
+    return total(_index(spark, sf), pending=t.where("collection = 'fr'").withColumn("deleted", F.lit(True)).unionByName(new))
 
 
 @query(r"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY 1")
@@ -190,7 +253,7 @@ r AS (SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)
   UNION ALL SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)), row_number() OVER (ORDER BY score DESC, doc_id) FROM ve)
 SELECT doc_id, round(sum(part), 6) AS score FROM r WHERE n <= 50 GROUP BY 1 ORDER BY sum(part) DESC, doc_id LIMIT 20""")
 def hybrid_rrf(spark, sf):
-    lexical = search.scan_scores(texts(spark, sf), QUERY).select("id", "score")
+    lexical = _index(spark, sf).scores(QUERY, fields=["text"])
     near = search.vector_scores_like(vectors(spark, sf), 0)
     return search.fused([lexical, near], 20, 50).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
@@ -206,7 +269,7 @@ SELECT doc_id, score FROM (SELECT doc_id, round(score, 6) AS score FROM sc WHERE
   UNION ALL SELECT doc_id, 1.7976931348623157e308 FROM pending WHERE contains(lower(text), 'para')) ORDER BY score DESC, doc_id LIMIT 60""")
 def overlay_search(spark, sf):
     d = texts(spark, sf)
-    hits = search.scan_scores(d, QUERY).withColumn("score", F.round("score", 6))
+    hits = _index(spark, sf).scores(QUERY, fields=["text"]).withColumn("score", F.round("score", 6))
     return search.top(search.overlaid(hits, d.where("collection = 'es'"), "para"), 60).select(F.col("id").alias("doc_id"), "score")
 
 
@@ -222,14 +285,22 @@ _EDGES = """WITH RECURSIVE e AS (
 
 @query(_EDGES + ", w(id, depth) AS (SELECT dst, 1 FROM e WHERE src = 'orders/1' UNION SELECT e.dst, depth + 1 FROM w JOIN e ON e.src = w.id WHERE depth < 3) SELECT id, min(depth) AS depth FROM w GROUP BY 1")
 def traverse_depth3(spark, sf):
-    return graph.traverse(links(spark, sf), ["orders/1"], 3, rel=None)
+    return graph.traverse(links(spark, sf, distinct=False), ["orders/1"], 3, rel=None).select("id", "depth")
+
+
+@query(_EDGES + ", b AS (SELECT dst AS src, src AS dst FROM e WHERE rel = 'links-to' UNION SELECT src, dst FROM e WHERE rel = 'links-to' UNION SELECT dst, src FROM e WHERE rel = 'references'), w(id, depth) AS (SELECT dst, 1 FROM b WHERE src = 'region/0' UNION SELECT b.dst, depth + 1 FROM w JOIN b ON b.src = w.id WHERE depth < 6) SELECT id, min(depth) AS depth FROM w GROUP BY 1")
+def traverse_depth6(spark, sf):
+    """From a region to the customers and suppliers of all nations and their orders, and back."""
+    e = links(spark, sf, distinct=False).where("rel <> 'embeds'")
+    both = e.where("rel = 'links-to'").select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graph.traverse(both, ["region/0"], 6, rel=None, fanout=1 << 30).select("id", "depth")
 
 
 @query(_EDGES + ", b AS (SELECT dst AS src, src AS dst FROM e WHERE rel = 'links-to' UNION SELECT src, dst FROM e WHERE rel = 'links-to'), w(id, depth) AS (SELECT dst, 1 FROM b WHERE src = 'region/0' UNION SELECT b.dst, depth + 1 FROM w JOIN b ON b.src = w.id WHERE depth < 3) SELECT id, min(depth) AS depth FROM w GROUP BY 1")
 def traverse_cycle(spark, sf):
-    e = links(spark, sf).where("rel = 'links-to'")
+    e = links(spark, sf, distinct=False).where("rel = 'links-to'")
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel"))
-    return graph.traverse(both, ["region/0"], 3)
+    return graph.traverse(both, ["region/0"], 3).select("id", "depth")
 
 
 @query(_EDGES + "SELECT DISTINCT src FROM e WHERE dst = 'nation/7' AND rel = 'links-to'")
@@ -266,8 +337,8 @@ def _parsed(spark, sf) -> DataFrame:
     return _notes(spark, sf).select("id", markdown.parsed(F.col("content")).alias("p")).select("id", "p.*")
 
 
-def _parts(spark, sf) -> DataFrame:
-    return table(spark, sf, "part").select(F.concat(F.lit("shop/part/"), "p_partkey").alias("id"))
+def _parts(spark, sf, condition: str = "true") -> DataFrame:
+    return table(spark, sf, "part").where(condition).select(F.concat(F.lit("shop/part/"), "p_partkey").alias("id"))
 
 
 @query("SELECT DISTINCT 'orders/' || l_orderkey AS src, 'shop/part/' || l_partkey AS dst, rel FROM lineitem, (VALUES ('links-to'), ('embeds')) AS r(rel) UNION ALL SELECT 'orders/' || o_orderkey, 'author/clerk-' || o_custkey, 'mentions' FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
@@ -300,10 +371,32 @@ def suffix_resolution(spark, sf):
     return graph.resolved(refs, _parts(spark, sf)).select("target", "dst")
 
 
-@query("SELECT DISTINCT 'orders/' || l_orderkey AS id FROM lineitem WHERE l_partkey < 10")
+@query("SELECT DISTINCT 'orders/' || l_orderkey AS id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 40")
 def repair_candidates(spark, sf):
     refs = _parsed(spark, sf).select(F.col("id").alias("src"), F.inline("links"))
-    return graph.repair_candidates(refs, _parts(spark, sf).where("cast(substring_index(id, '/', -1) as int) < 10"))
+    return graph.repair_candidates(refs, _parts(spark, sf, "p_size > 40"))
+
+
+@query("SELECT DISTINCT 'orders/' || l_orderkey AS src, 'shop/part/' || l_partkey AS dst, rel FROM lineitem, (VALUES ('links-to'), ('embeds')) AS r(rel) UNION ALL SELECT 'orders/' || o_orderkey, 'author/clerk-' || o_custkey, 'mentions' FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def edge_repair(spark, sf):
+    """Edges derived while large parts were missing, repaired once those have come."""
+    notes = written(_parsed(spark, sf))
+    before = graph.derived(notes, _parts(spark, sf, "p_size <= 25"))
+    return graph.repaired(before, notes, _parts(spark, sf), _parts(spark, sf, "p_size > 25")).select("src", "dst", "rel")
+
+
+_KEPT = "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem)"
+
+
+@query(f"SELECT DISTINCT 'orders/' || l_orderkey AS src, 'shop/part/' || l_partkey AS dst, rel FROM lineitem, (VALUES ('links-to'), ('embeds')) AS r(rel) WHERE l_orderkey IN ({_KEPT}) UNION ALL SELECT 'orders/' || o_orderkey, 'author/clerk-' || o_custkey, 'mentions' FROM orders WHERE o_orderkey IN ({_KEPT})")
+def full_rebuild(spark, sf):
+    """A store rebuilt after its finished orders, which were all of the version before, have gone."""
+    folder, o = _folder(spark), table(spark, sf, "orders")
+    notes = _notes(spark, sf).withColumn("collection", F.lit(DEFAULT_COLLECTION))
+    ids = lambda condition: o.where(condition).select(F.concat(F.lit("orders/"), "o_orderkey").alias("id"))
+    rebuild.rebuild(notes.join(ids("o_orderstatus = 'F'"), "id", "left_semi"), folder, _parts(spark, sf))
+    rebuild.rebuild(notes.join(ids("o_orderstatus <> 'F'"), "id", "left_semi"), folder, _parts(spark, sf))
+    return rebuild.edges(spark, folder).select("src", "dst", "rel")
 
 
 @query("SELECT DISTINCT 'orders/' || l_orderkey AS id FROM lineitem WHERE l_linenumber = 1 AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 1 AND l_partkey = -1) AND l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) > count(DISTINCT l_partkey) FILTER (l_linenumber > 1))")
@@ -313,10 +406,10 @@ def changed_edge_sets(spark, sf):
     return graph.changed_sources(e, e.where("l_linenumber > 1"))
 
 
-@query("SELECT 'orders/' || l_orderkey AS src, count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_orderkey >= 100 GROUP BY 1 UNION ALL SELECT 'orders/' || o_orderkey, 1 FROM orders WHERE o_orderkey < 100")
+@query("SELECT 'orders/' || l_orderkey AS src, count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1 UNION ALL SELECT 'orders/' || o_orderkey, 1 FROM orders WHERE o_orderpriority = '1-URGENT'")
 def edge_replace(spark, sf):
     e = links(spark, sf).where("rel = 'embeds'")
-    o = table(spark, sf, "orders").where("o_orderkey < 100")
+    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
     new = o.select(F.concat(F.lit("orders/"), "o_orderkey").alias("src"), F.lit("part/1").alias("dst"), F.lit("embeds").alias("rel"))
     return graph.replaced(e, new.unionByName(new), new.select(F.col("src").alias("id"))).groupBy("src").agg(F.count("*").alias("n"))
 
@@ -336,46 +429,47 @@ NOW = "timestamp '2030-01-01 00:00:00'"
 _OREC = "WITH d AS (SELECT o_orderkey AS k, 'o' || o_orderkey AS id, o_orderkey || '|' || o_custkey || '|' || o_orderstatus AS content, o_orderstatus = 'F' AS deleted, o_orderpriority AS collection FROM orders) "
 
 
-@query(_OREC + """SELECT id, CASE WHEN k < 200 THEN content || '!' ELSE content END AS content, deleted AND NOT (k < 200) AS deleted FROM d
-UNION ALL SELECT 'new' || k, content, false FROM d WHERE k < 50""")
+@query(_OREC + """SELECT id, CASE WHEN collection = '1-URGENT' THEN content || '!' ELSE content END AS content, deleted AND collection <> '1-URGENT' AS deleted FROM d
+UNION ALL SELECT 'new' || k, content, false FROM d WHERE collection = '5-LOW'""")
 def apply_changes(spark, sf):
     s = _state(spark, sf)
     d = s.documents.withColumn("k", F.substring("id", 2, 20).cast("long"))
-    changes_ = d.where("k < 200").select("id", "collection", F.concat("content", F.lit("!")).alias("content")).unionByName(d.where("k >= 200 AND k < 300 AND NOT deleted").select("id", "collection", "content")).unionByName(d.where("k < 50").select(F.concat(F.lit("new"), "k").alias("id"), "collection", "content"))
+    urgent = d.where("collection = '1-URGENT'").select("id", "collection", F.concat("content", F.lit("!")).alias("content"))
+    same = d.where("collection = '2-HIGH' AND NOT deleted").select("id", "collection", "content")
+    changes_ = urgent.unionByName(same).unionByName(d.where("collection = '5-LOW'").select(F.concat(F.lit("new"), "k").alias("id"), "collection", "content"))
     return store.upsert(s, changes_, F.expr(NOW)).documents.select("id", "content", "deleted")
 
 
-@query(_OREC + "SELECT id, CASE WHEN k < 100 THEN 'revision' ELSE 'collection' END AS reason FROM d WHERE k < 150")
+@query(_OREC + "SELECT id, CASE WHEN collection = '1-URGENT' THEN 'revision' ELSE 'collection' END AS reason FROM d")
 def write_conflicts(spark, sf):
     s = _state(spark, sf)
-    d = s.documents.withColumn("k", F.substring("id", 2, 20).cast("long")).where("k < 150")
-    changes_ = d.select("id", F.lit("other").alias("collection"), F.lit("x").alias("content"), F.when(F.col("k") < 100, "wrong").alias("expected_revision"))
+    changes_ = s.documents.select("id", F.lit("other").alias("collection"), F.lit("x").alias("content"), F.when(F.col("collection") == "1-URGENT", "wrong").alias("expected_revision"))
     return store.upsert(s, changes_, F.expr(NOW)).conflicts
 
 
-@query(_OREC + "SELECT id, CASE WHEN k < 500 AND NOT deleted THEN 'deleted-rev-' ELSE 'rev-' END || k AS revision, deleted OR k < 500 AS deleted FROM d")
+@query(_OREC + "SELECT id, CASE WHEN collection = '1-URGENT' AND NOT deleted THEN 'deleted-rev-' ELSE 'rev-' END || k AS revision, deleted OR collection = '1-URGENT' AS deleted FROM d")
 def tombstone_delete(spark, sf):
     s = _state(spark, sf)
-    return store.delete(s, s.documents.where("cast(substring(id, 2) as long) < 500").select("id"), F.expr(NOW)).documents.select("id", "revision", "deleted")
+    return store.delete(s, s.documents.where("collection = '1-URGENT'").select("id"), F.expr(NOW)).documents.select("id", "revision", "deleted")
 
 
-@query(_OREC + "SELECT id, CASE WHEN k < 500 AND deleted THEN 'restored-rev-' ELSE 'rev-' END || k AS revision, deleted AND k >= 500 AS deleted FROM d")
+@query(_OREC + "SELECT id, CASE WHEN collection = '1-URGENT' AND deleted THEN 'restored-rev-' ELSE 'rev-' END || k AS revision, deleted AND collection <> '1-URGENT' AS deleted FROM d")
 def restore(spark, sf):
     s = _state(spark, sf)
-    return store.restore(s, s.documents.where("cast(substring(id, 2) as long) < 500").select("id"), F.expr(NOW)).documents.select("id", "revision", "deleted")
+    return store.restore(s, s.documents.where("collection = '1-URGENT'").select("id"), F.expr(NOW)).documents.select("id", "revision", "deleted")
 
 
-@query(_OREC + ", m AS (SELECT id, 'moved/' || k AS n FROM d WHERE k < 100 AND NOT deleted) SELECT coalesce(m.n, d.id) AS src, coalesce(t.n, 'o' || (d.k + 1)) AS dst FROM d LEFT JOIN m USING (id) LEFT JOIN m AS t ON t.id = 'o' || (d.k + 1)")
+@query(_OREC + ", m AS (SELECT id, 'moved/' || k AS n FROM d WHERE collection = '1-URGENT' AND NOT deleted) SELECT coalesce(m.n, d.id) AS src, coalesce(t.n, 'o' || (d.k + 1)) AS dst FROM d LEFT JOIN m USING (id) LEFT JOIN m AS t ON t.id = 'o' || (d.k + 1)")
 def rename_edges(spark, sf):
     s = _state(spark, sf)
-    moves = s.documents.where("cast(substring(id, 2) as long) < 100 AND NOT deleted").select(F.col("id").alias("old_id"), F.concat(F.lit("moved/"), F.substring("id", 2, 20)).alias("new_id"))
+    moves = s.documents.where("collection = '1-URGENT' AND NOT deleted").select(F.col("id").alias("old_id"), F.concat(F.lit("moved/"), F.substring("id", 2, 20)).alias("new_id"))
     return store.rename(s, moves, F.expr(NOW)).edges.select("src", "dst")
 
 
-@query(_OREC + ", m AS (SELECT id, 'moved/' || k AS n FROM d WHERE k < 100 AND NOT deleted) SELECT coalesce(n, id) AS id, coalesce(n, id) || '.md' AS path, deleted FROM d LEFT JOIN m USING (id)")
+@query(_OREC + ", m AS (SELECT id, 'moved/' || k AS n FROM d WHERE collection = '1-URGENT' AND NOT deleted) SELECT coalesce(n, id) AS id, coalesce(n, id) || '.md' AS path, deleted FROM d LEFT JOIN m USING (id)")
 def rename_documents(spark, sf):
     s = _state(spark, sf)
-    moves = s.documents.where("cast(substring(id, 2) as long) < 100 AND NOT deleted").select(F.col("id").alias("old_id"), F.concat(F.lit("moved/"), F.substring("id", 2, 20)).alias("new_id"))
+    moves = s.documents.where("collection = '1-URGENT' AND NOT deleted").select(F.col("id").alias("old_id"), F.concat(F.lit("moved/"), F.substring("id", 2, 20)).alias("new_id"))
     return store.rename(s, moves, F.expr(NOW)).documents.select("id", "path", "deleted")
 
 
@@ -391,10 +485,15 @@ def blobs_verified(spark, sf):
     return blobs.verified(blobs.put(none, data)).select("hash", "size", "ok")
 
 
-@query("SELECT user_id, event_id, CASE WHEN row_number() OVER w = 1 OR ts >= first_value(ts) OVER w + INTERVAL 24 HOUR THEN 'reserve' WHEN event_type <> first_value(event_type) OVER w THEN 'conflict' ELSE 'replay' END AS outcome FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type) QUALIFY count(*) OVER (PARTITION BY user_id, ts) = 1")
+@query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r(user_id, n, ts, event_type) AS (SELECT user_id, n, ts, event_type FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.n, e.ts, e.event_type FROM r JOIN e ON e.user_id = r.user_id AND e.n = (SELECT min(x.n) FROM e AS x WHERE x.user_id = r.user_id AND x.ts > r.ts + INTERVAL 24 HOUR)),
+h AS (SELECT e.user_id, e.event_id, e.event_type, e.n, max(r.n) AS held FROM e JOIN r ON r.user_id = e.user_id AND r.n <= e.n GROUP BY ALL)
+SELECT h.user_id, h.event_id, CASE WHEN h.n = h.held THEN 'reserve' WHEN h.event_type <> r.event_type THEN 'conflict' ELSE 'replay' END AS outcome FROM h JOIN r ON r.user_id = h.user_id AND r.n = h.held""")
 def request_idempotency(spark, sf):
+    """A store without a bound on its keys, so that they are dealt over tasks."""
     requests = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("payload_hash"), F.col("ts").alias("at"), F.lit(True).alias("completed"), "event_id")
-    return store.deduplicated_requests(requests, ties=("event_id",)).select(F.col("key").alias("user_id"), "event_id", "outcome")
+    return store.deduplicated_requests(requests, capacity=None, ties=("event_id",)).select(F.col("key").alias("user_id"), "event_id", "outcome")
 
 
 # changes
@@ -425,6 +524,19 @@ def lease_claims(spark, sf):
     return changes.claimed(o, "w1", F.lit("t1"), F.expr(NOW), 64).select("id", "lease_owner")
 
 
+@query(_OPS + "SELECT count(*) FILTER (NOT dead) AS pending, count(*) FILTER (NOT dead AND attempts > 0) AS stuck, min(created_at) FILTER (NOT dead) AS oldest, min(created_at) FILTER (NOT dead AND attempts > 0) AS oldest_stuck, count(*) FILTER (dead) AS dead, 0 AS corrupt FROM o WHERE document_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def scoped_backlog(spark, sf):
+    scope = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"))
+    return metrics.scoped_backlog(operations(spark, sf), scope)
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'")
+def vanished_files(spark, sf):
+    """Files of open orders are gone, and events tell of urgent ones; finished orders are tombstones already."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("deleted"), "o_orderstatus", "o_orderpriority")
+    return changes.vanished(o.where("o_orderstatus <> 'O'"), o.where("o_orderpriority = '1-URGENT'"), o)
+
+
 @query(_OPS + "SELECT id, document_id, CASE WHEN kind = 'UPSERT' THEN EXISTS (SELECT 1 FROM customer WHERE c_custkey = document_id) ELSE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = document_id) END AS apply FROM o")
 def stale_operations(spark, sf):
     o = operations(spark, sf)
@@ -627,10 +739,10 @@ def whitespace_tokens(spark, sf):
 
 @query("SELECT label, round(list_sum(list_transform(range(1, 65), lambda i: list_avg(list_transform(vs, lambda v: v[i])))), 5) AS total FROM (SELECT label, list(embedding::DOUBLE[]) AS vs FROM embeddings GROUP BY 1)")
 def mean_pooling(spark, sf):
-    from .functions.tokenizers import mean_pool
+    from .functions.tokenizers import mean_vectors
 
-    pooled = vectors(spark, sf).groupBy("collection").agg(F.collect_list("vector").alias("v")).select(F.col("collection").alias("label"), mean_pool(F.col("v")).alias("m"))
-    return pooled.select("label", F.round(F.aggregate("m", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+    pooled = mean_vectors(vectors(spark, sf), "collection")
+    return pooled.select(F.col("collection").alias("label"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
 # streams

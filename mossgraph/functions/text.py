@@ -17,7 +17,7 @@ MEDIA = {
 
 def terms(text: Column) -> Column:
     """Lower-case runs of letters and digits; each ideograph is a term of its own."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{IsHan}|(?:(?!\p{IsHan})[\p{L}\p{N}])+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
 
 
 def whitespace_tokens(text: Column) -> Column:

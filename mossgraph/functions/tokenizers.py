@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,10 @@ def mean_pool(vectors: Column) -> Column:
     total = F.aggregate(F.slice(vectors, 2, F.greatest(F.size(vectors), F.lit(1))), F.transform(vectors[0], lambda x: x.cast("double")), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
     mean = F.transform(total, lambda x: x / F.size(vectors))
     return F.when(F.forall(mean, lambda x: ~F.isnan(x) & (F.abs(x) != float("inf"))), mean)
+
+
+def mean_vectors(rows: DataFrame, by: str, vector: str = "vector") -> DataFrame:
+    """``by`` and the mean of each group's vectors. Components are averaged by position, so a group is never in one row before it is a single vector; null where a mean is not finite."""
+    means = rows.select(by, F.posexplode(vector).alias("_i", "_x")).groupBy(by, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
+    whole = means.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda p: p["_m"]).alias("_v"))  # one entry per position
+    return whole.select(by, F.when(F.forall("_v", lambda x: ~F.isnan(x) & (F.abs(x) != float("inf"))), F.col("_v")).alias(vector))

@@ -27,10 +27,15 @@ OUTBOX = (
 CHANGES = ("sequence long, document_id string, collection string, kind string, revision string, content_hash string")
 
 #: Limits of requests.
-MAX_PAGE, MAX_OFFSET, MAX_DEPTH, MAX_BATCH, MAX_TAGS, MAX_QUERY_BYTES, MAX_CONTENT_BYTES, MAX_DELETED_PAGE = 500, 10_000, 10, 100, 64, 4096, 1 << 20, 200
+MAX_PAGE, MAX_OFFSET, MAX_DEPTH, MAX_BATCH, MAX_TAGS, MAX_QUERY_BYTES, MAX_CONTENT_BYTES, MAX_DELETED_PAGE, MAX_FANOUT = 500, 10_000, 10, 100, 64, 4096, 1 << 20, 200, 1000
 #: Relations that edges may have, and other spellings of them.
 RELATIONS = ("links-to", "references", "embeds", "mentions")
-RELATION_ALIASES = {"links": "links-to", "links_to": "links-to", "refs": "references", "embed": "embeds", "mention": "mentions"}
+RELATION_ALIASES = {
+    "links-to": "links-to", "link": "links-to", "links": "links-to", "wikilink": "links-to", "backlink": "links-to",
+    "references": "references", "reference": "references", "ref": "references",
+    "embeds": "embeds", "embed": "embeds", "attachment": "embeds", "file": "embeds", "files": "embeds",
+    "mentions": "mentions", "mention": "mentions", "author": "mentions",
+}
 #: Typed fields that extra front matter may not name.
 CONTRACT_KEYS = ("title", "author", "tags", "aliases", "updated_at", "content_hash")
 DEFAULT_COLLECTION = "vault"
@@ -38,10 +43,9 @@ DEFAULT_COLLECTION = "vault"
 
 def relation(name: str) -> str:
     """The relation of that name or alias; anything else is an error, not an empty answer."""
-    name = RELATION_ALIASES.get(name, name)
-    if name not in RELATIONS:
+    if name not in RELATION_ALIASES:
         raise InvalidRequest(f"unknown relation {name!r}")
-    return name
+    return RELATION_ALIASES[name]
 
 
 def document_id(value: str) -> str:

@@ -38,10 +38,10 @@ def settled(outbox: DataFrame, results: DataFrame, now: Column) -> DataFrame:
 def claimed(outbox: DataFrame, owner: str, token: Column, now: Column, limit: int) -> DataFrame:
     """``outbox`` after ``owner`` takes the oldest operations whose lease is free, expired or its own; the token tells a later taker from it."""
     free = F.col("lease_owner").isNull() | (F.col("lease_expires_at") <= now) | (F.col("lease_owner") == owner)
-    rank = F.row_number().over(Window.partitionBy("_free").orderBy("created_at", "id"))
-    rows = outbox.withColumn("_free", free & ~F.col("dead_lettered")).withColumn("_take", F.col("_free") & (rank <= limit))
-    take = F.col("_take")
-    return rows.withColumns({"lease_owner": F.when(take, owner).otherwise(F.col("lease_owner")), "lease_token": F.when(take, token).otherwise(F.col("lease_token")), "lease_expires_at": F.when(take, now + F.make_interval(secs=F.lit(LEASE_S))).otherwise(F.col("lease_expires_at"))}).drop("_free", "_take")
+    taken = outbox.where(free & ~F.col("dead_lettered")).orderBy("created_at", "id").limit(limit).select("id", F.lit(True).alias("_take"))
+    take = F.col("_take").isNotNull()
+    rows = outbox.join(F.broadcast(taken), "id", "left")  # ``limit`` rows
+    return rows.select(*(F.when(take, new).otherwise(F.col(c)).alias(c) if (new := {"lease_owner": F.lit(owner), "lease_token": token, "lease_expires_at": now + F.make_interval(secs=F.lit(LEASE_S))}.get(c)) is not None else F.col(c) for c in outbox.columns))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, id: str = "id", token: str = "change_token") -> DataFrame:
@@ -108,3 +108,9 @@ def undecodable(lines: DataFrame, schema: str, column: str = "value") -> tuple[D
 def to_embed(chunks: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
     """The chunks whose content has no vector of the model yet, each content once."""
     return chunks.join(vectors.where(F.col("model") == model).select("content_hash"), "content_hash", "left_anti").dropDuplicates(["content_hash", "chunk"])
+
+
+def vanished(snapshot: DataFrame, events: DataFrame, documents: DataFrame) -> DataFrame:
+    """id of the live documents to delete: those that an event (id) is about and whose file the snapshot (id) lacks."""
+    gone = events.select("id").distinct().join(snapshot.select("id"), "id", "left_anti")
+    return documents.where(~F.col("deleted")).select("id").join(gone, "id", "left_semi")

@@ -7,9 +7,11 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import link_form, suffixes
-from ..model import MAX_DEPTH, bounded, relation
+from ..model import MAX_DEPTH, MAX_FANOUT, bounded, relation
+from ..shared import shared_folder, written
 
 EDGE_KEY = ["src", "dst", "rel"]
 
@@ -60,26 +62,31 @@ def backlinks(edges: DataFrame, node: Any, rel: str | None = None) -> DataFrame:
     return neighbors_in(edges, node, rel).select("src").distinct()
 
 
-def traverse(edges: DataFrame, starts: DataFrame | Sequence[Any], depth: int, rel: str | None = "links-to", fanout: int | None = None, visible: DataFrame | None = None) -> DataFrame:
-    """id and depth of first discovery, breadth first along out-edges. The start itself is found again only on a cycle.
+def traverse(edges: DataFrame, starts: DataFrame | Sequence[Any], depth: int, rel: str | None = "links-to", fanout: int = MAX_FANOUT, visible: DataFrame | None = None) -> DataFrame:
+    """id, depth and path of first discovery, breadth first along out-edges. The start itself is found again only on a cycle.
 
-    ``fanout``: edges of one node that are followed at most, in order of their ends. ``visible``: ids that may be returned."""
+    Ordered by (depth, path) the rows are in the order of discovery, where a node's edges are followed in order of
+    their ends; ``fanout`` of them at most. ``visible``: ids that may be returned. Every level is written, so each
+    costs one scan of the edges and two joins, however deep it is; a level without new nodes is the last."""
     bounded("depth", depth, 0, MAX_DEPTH)
     spark = edges.sparkSession
-    steps = _of(edges, rel).select("src", "dst").distinct()
-    if fanout is not None:
-        steps = steps.withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("_n") <= fanout).drop("_n")
+    steps = _of(edges, rel).select("src", "dst")
     kind = steps.schema["dst"].dataType
-    frontier = starts if isinstance(starts, DataFrame) else spark.range(1).select(F.explode(F.array(*(F.lit(s).cast(kind) for s in starts))).alias("id"))
-    found: DataFrame | None = None
+    frontier = starts.select("id") if isinstance(starts, DataFrame) else spark.range(1).select(F.explode(F.array(*(F.lit(s).cast(kind) for s in starts))).alias("id"))
+    frontier = frontier.distinct().select("id", F.array("id").alias("path"))
+    folder, found = shared_folder(spark), spark.createDataFrame([], T.StructType([T.StructField("id", kind), T.StructField("depth", T.IntegerType()), T.StructField("path", T.ArrayType(kind))]))
+    schema = found.schema
     for level in range(1, depth + 1):
-        near = steps.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        fresh = near if found is None else near.join(found, "id", "left_anti")
-        fresh = fresh.select("id", F.lit(level).alias("depth"))
-        found = fresh if found is None else found.unionByName(fresh)
-        frontier = fresh
-    out = found if found is not None else spark.range(0).select(F.col("id").cast(kind), F.lit(0).alias("depth"))
-    return out if visible is None else out.join(visible.select("id"), "id", "left_semi")
+        near = steps.join(frontier.select(F.col("id").alias("src"), "path"), "src").distinct()
+        ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("_n") <= fanout)
+        first = ranked.groupBy(F.col("dst").alias("id")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        fresh = first if level == 1 else first.join(found.select("id"), "id", "left_anti")
+        written(fresh.select("id", F.lit(level).alias("depth"), "path"), f"{folder}/{level}")
+        found = spark.read.schema(schema).parquet(*(f"{folder}/{k}" for k in range(1, level + 1)))
+        frontier = spark.read.schema(schema).parquet(f"{folder}/{level}").select("id", "path")
+        if level < depth and frontier.isEmpty():
+            break
+    return found if visible is None else found.join(visible.select("id"), "id", "left_semi")
 
 
 def replaced(edges: DataFrame, new: DataFrame, sources: DataFrame) -> DataFrame:
@@ -110,6 +117,13 @@ def repair_candidates(references: DataFrame, changed: DataFrame, queued: DataFra
     return out if queued is None else out.join(queued.select("id"), "id", "left_anti")
 
 
+def repaired(edges: DataFrame, parsed: DataFrame, documents: DataFrame, changed: DataFrame, queued: DataFrame | None = None) -> DataFrame:
+    """``edges`` after ``changed`` (id) came or went: the out-edges of the parsed notes whose links may resolve otherwise are derived anew."""
+    references = parsed.select(F.col("id").alias("src"), F.inline("links")).select("src", "target")
+    sources = repair_candidates(references, changed, queued)
+    return replaced(edges, derived(parsed.join(sources, "id", "left_semi"), documents), sources)
+
+
 def masked(answer: DataFrame, pending: DataFrame, deleted: DataFrame, start: Any) -> DataFrame:
     """An answer without tombstones; none at all while its start is pending."""
     return answer.join(deleted.select("id"), "id", "left_anti").join(F.broadcast(pending.where(F.col("id") == F.lit(start)).agg(F.count("*").alias("_p"))).where("_p = 0")).drop("_p")

@@ -100,6 +100,17 @@ def scan_scores(docs: DataFrame, query: str, text: str = "text", id: str = "id",
     return rows.withColumn("score", score).select(*docs.columns, "score")
 
 
+def weighted(hits: DataFrame, statistics: DataFrame, id: str = "id") -> DataFrame:
+    """id and score of postings (field, term, id, tf, length) of a query's words, all of those words; statistics: field, docs, avg_length. Fields add up."""
+    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))  # a row per word and field at most
+    return scores_of(hits, df, statistics, id)
+
+
+def scores_of(hits: DataFrame, df: DataFrame, statistics: DataFrame, id: str = "id") -> DataFrame:
+    rows = hits.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(statistics), "field")
+    return rows.groupBy(id).agg(F.sum(_idf(F.col("df"), F.col("docs")) * _weight(F.col("tf"), F.col("length"), F.col("avg_length"))).alias("score"))
+
+
 def index_scores(posted: DataFrame, query: str, id: str = "id") -> DataFrame:
     """id and score from an index; fields add up."""
     words = query_terms(query)

@@ -82,8 +82,11 @@ def upsert(state: State, changes: DataFrame, now: Column) -> State:
     judged = joined.withColumn("reason", reason)
     fresh = judged.where(F.col("reason").isNull() & (F.col("content_hash").isNull() | (F.col("content_hash") != F.col("_hash")) | F.col("deleted")))
     rows = fresh.select("id", F.col("_collection").alias("collection"), F.concat("id", F.lit(".md")).alias("path"), F.col("_content").alias("content"), F.col("_hash").alias("content_hash"), F.col("_hash").alias("revision"), F.when(F.col("updated_at").isNull(), now).otherwise(next_timestamp(now, F.col("updated_at"), F.col("updated_at"))).alias("updated_at"), F.lit(False).alias("deleted"))
+    live = state.documents.where(~F.col("deleted")).select("path", F.col("id").alias("_holder"))
+    held = rows.join(live, "path").where(F.col("_holder") != F.col("id")).select("id").distinct()
+    rows = rows.join(held, "id", "left_anti")
     known = rows.join(state.revisions.select(F.col("doc_id").alias("id"), "revision"), ["id", "revision"], "left_semi")
-    conflicts = judged.where("reason IS NOT NULL").select("id", "reason").unionByName(known.select("id", F.lit("revision exists").alias("reason")))
+    conflicts = judged.where("reason IS NOT NULL").select("id", "reason").unionByName(known.select("id", F.lit("revision exists").alias("reason"))).unionByName(held.select("id", F.lit("path held").alias("reason")))
     return _applied(state, rows.join(known.select("id"), "id", "left_anti"), "UPSERT", "upsert", conflicts)
 
 
@@ -135,13 +138,14 @@ def relink(state: State, moves: DataFrame, now: Column) -> State:
     return _applied(state, rows, "UPSERT", "relink", rows.select("id", F.lit("").alias("reason")).limit(0))
 
 
-def deduplicated_requests(requests: DataFrame, ttl_hours: int = 24, capacity: int = 1000, ties: Sequence[str] = ("payload_hash",)) -> DataFrame:
+def deduplicated_requests(requests: DataFrame, ttl_hours: int = 24, capacity: int | None = 1000, ties: Sequence[str] = ("payload_hash",)) -> DataFrame:
     """requests (key, payload_hash, at, completed) with their outcome: reserve, replay, conflict or in-flight.
 
     A reservation holds its key until it is older than its time to live; the next request then reserves anew. A store
     that holds ``capacity`` keys drops its oldest completed one for a new key, and refuses (conflict) where all are in
-    flight. Requests of one time come in the order of ``ties`` and key. Each outcome depends on all before it, whatever
-    the key, so one task reads all requests in order; it holds ``capacity`` keys."""
+    flight. Requests of one time come in the order of ``ties`` and key. With a capacity each outcome depends on all before
+    it, whatever the key, so one task reads all requests in order; it holds ``capacity`` keys. Without one keys are
+    dealt over tasks, each of which reads its keys one after the other."""
     schema = T.StructType([*requests.schema, T.StructField("outcome", T.StringType())])
     ttl = ttl_hours * 3_600_000_000
 
@@ -155,17 +159,27 @@ def deduplicated_requests(requests: DataFrame, ttl_hours: int = 24, capacity: in
             for done, entries in held.items():
                 if key in entries:
                     return "conflict" if entries[key][0] != payload else "replay" if done else "in-flight"
-            if sum(map(len, held.values())) >= capacity:
+            if capacity is not None and sum(map(len, held.values())) >= capacity:
                 if not held[True]:
                     return "conflict"
                 held[True].popitem(last=False)
             held[completed][key] = payload, at
             return "reserve"
 
+        last = None
         for batch in batches:
             keys, payloads, completed = (batch.column(c).to_pylist() for c in ("key", "payload_hash", "completed"))
             times = batch.column("at").cast(pa.int64()).to_pylist()
-            made = [outcome(k, p, t, bool(c)) for k, p, t, c in zip(keys, payloads, times, completed, strict=True)]
+            made = []
+            for k, p, t, c in zip(keys, payloads, times, completed, strict=True):
+                if capacity is None and k != last:
+                    held[True].clear()
+                    held[False].clear()
+                    last = k
+                made.append(outcome(k, p, t, bool(c)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], schema.fieldNames())
 
+    if capacity is None:
+        n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return requests.repartition(n, "key").sortWithinPartitions("key", "at", *ties).mapInArrow(run, schema)
     return requests.repartition(1).sortWithinPartitions("at", *ties, "key").mapInArrow(run, schema)

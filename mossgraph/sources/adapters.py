@@ -25,8 +25,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("collection"), F.concat(F.lit("customer_"), F.col("o_custkey"), F.lit("/"), F.col("o_orderkey"), F.lit(".md")).alias("path"), content.alias("content"), F.sha2(content, 256).alias("content_hash"), F.concat(F.lit("rev-"), "o_orderkey").alias("revision"), F.col("o_orderdate").cast("timestamp").alias("updated_at"), (F.col("o_orderstatus") == "F").alias("deleted"))
 
 
-def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Foreign keys as edges: src, dst, rel."""
+def links(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+    """Foreign keys as edges: src, dst, rel; some come twice unless ``distinct``."""
 
     def of(name: str, src: str, src_key: str, dst: str, dst_key: str, rel: str) -> DataFrame:
         return table(spark, sf_dir, name).select(F.concat(F.lit(src + "/"), src_key).alias("src"), F.concat(F.lit(dst + "/"), dst_key).alias("dst"), F.lit(rel).alias("rel"))
@@ -38,7 +38,8 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
         of("orders", "orders", "o_orderkey", "customer", "o_custkey", "references"),
         of("lineitem", "orders", "l_orderkey", "part", "l_partkey", "embeds"),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4]).distinct()
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+    return rows.distinct() if distinct else rows
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,13 +14,28 @@ TOKEN_WINDOW = 64 << 10
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    """path (relative), size, modified and bytes of every file below ``folder``; Spark's readers pass over files of length 0."""
+    """path (relative), size, modified and bytes of every file below ``folder``.
+
+    Spark's readers pass over files of length 0, so those come from a listing on the driver."""
     root = F.lit(folder.rstrip("/") + "/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    if empty := _empty_files(spark, folder):
+        found = found.unionByName(spark.createDataFrame(empty, "path string, modified long").select("path", F.timestamp_millis("modified").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
     relative = F.substring_index(F.col("path"), root, -1) if "://" in folder else F.regexp_replace("path", "^(file:)?/*" + _quoted(folder.strip("/")) + "/", "")
     return found.select(relative.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.col("content").alias("bytes"))
 
 
+def _empty_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """Path and modification time of the files of length 0, but for those that Spark's readers hide."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    listed, out = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0 and not status.getPath().getName().startswith(("_", ".")):
+            out.append((status.getPath().toString(), status.getModificationTime()))
+    return out
+
+
 def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 

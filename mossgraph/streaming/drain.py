@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.changes import MAX_ATTEMPTS
+from ..shared import exists
 
 ATTEMPTS = "document_id long, attempts int, dead boolean, last_id long"
 
@@ -26,15 +27,16 @@ def source(spark: SparkSession, path: str, schema: str | None = None, files_per_
 
 
 def attempts(operations: DataFrame) -> DataFrame:
-    """Per document: failed deliveries in a row so far, dead once there are too many; a delivery sets it back. Operations: id, document_id, failed."""
+    """Per document: failed deliveries in a row so far, dead once there are too many; a delivery sets it back. Operations: id, document_id, failed.
+
+    Those of a batch count in order of id, after those of earlier batches whatever their ids: a late file counts
+    when it comes. A batch that is run again starts from the state before it, so nothing counts twice."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, dead, last = state.get if state.exists else (0, False, -1)
         rows = pd.concat(list(batches)).sort_values("id")
         for failed, id in zip(rows["failed"], rows["id"], strict=True):
-            if id <= last:  # a replayed row
-                continue
-            n, last = (n + 1 if failed else 0), int(id)
+            n, last = (n + 1 if failed else 0), max(last, int(id))
             dead = dead or n >= MAX_ATTEMPTS
         state.update((int(n), bool(dead), int(last)))
         yield pd.DataFrame({"document_id": [key[0]], "attempts": [n], "dead": [dead], "last_id": [last]})
@@ -69,14 +71,16 @@ def updated(spark: SparkSession, out: str, schema: str, keys: list[str]) -> Data
 
 
 def feed_to(stream: DataFrame, out: str, checkpoint: str, order: list[str]) -> StreamingQuery:
-    """The change feed: each batch's rows numbered on from those before. A batch that is run again gets the same numbers."""
+    """The change feed: each batch's rows numbered on from those before. A batch that is run again gets the same numbers.
+
+    A row beside each batch holds its last number; the next batch reads that row alone."""
     from ..operators.changes import sequenced
 
     def write(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-        there = made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(made)
-        start = spark.read.option("basePath", out).parquet(out).where(F.col("batch") < batch).agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0] if there else 0
+        last = lambda b: f"{out}_last/{b}"
+        start = spark.read.parquet(last(batch - 1)).first()[0] if exists(spark, f"{last(batch - 1)}/_SUCCESS") else 0
         sequenced(rows, order, start).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        spark.read.parquet(f"{out}/batch={batch}").agg(F.coalesce(F.max("sequence"), F.lit(start).cast("long")).alias("last")).write.mode("overwrite").parquet(last(batch))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

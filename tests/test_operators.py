@@ -149,9 +149,9 @@ def test_files(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(content)
     good, bad = files.notes(spark, str(tmp_path))
-    assert rows(good, "id", "content") == [("a", "x"), ("café", "c"), ("sub/B", "é")]
+    assert rows(good, "id", "content") == [("a", "x"), ("café", "c"), ("empty", ""), ("sub/B", "é")]
     assert rows(bad, "path") == [("bad .md",)]
-    assert rows(files.import_candidates(spark, str(tmp_path)), "id") == [("a",), ("bad",), ("café",), ("sub/B",)]
+    assert rows(files.import_candidates(spark, str(tmp_path)), "id") == [("a",), ("bad",), ("café",), ("empty",), ("sub/B",)]
     with pytest.raises(Unsupported):
         files.PlainDirectory(spark, str(tmp_path)).upsert()
 
