@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import shared_folder
+
 #: ASCII white space; words are the runs of anything else. ``bytes.split()`` splits by the same six.
 WHITE = " \t\n\r\x0b\x0c"
 
@@ -15,13 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+#: A new folder below ``spark.checkpoint.dir``.
+shared_dir = shared_folder
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -389,13 +389,15 @@ def linked_components(known: DataFrame, drawn: DataFrame, percent: int = PERCENT
 
 
 def one_of_each(docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """``docs`` with one row of every component, one of its least id. Texts without words stay, one row for each such text."""
-    known = fragments.texts(docs, others=[c for c in docs.columns if c != "text"])
+    """``docs`` with one row of every component, one of its least id. Texts without words, which link with nothing, all stay."""
+    worded = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    known = fragments.texts(docs.where(worded), others=[c for c in docs.columns if c != "text"])
     found = linked_components(known, drawn_sets(known, percent, size), percent, size)
     nodes = known.select("node", "least_id").join(found, "node")
     kept = nodes.groupBy("component").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "node")).alias("best")).select(F.col("best.node").alias("node"))
     gone = written(nodes.join(kept, "node", "left_anti").join(known.select("node", "h"), "node").select("h"))
-    return known.select("h", "text", "row").join(gone, "h", "left_anti").select(*("text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    rest = known.select("h", "text", "row").join(gone, "h", "left_anti").select(*("text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    return rest.unionByName(docs.where(~worded))
 
 
 def per_document(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:

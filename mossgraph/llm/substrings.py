@@ -18,14 +18,13 @@ words and take none from others. An empty table returns no rows; other columns a
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fragments
+from . import words as words_of
 from .fragments import NO_ID, Cut
 from .suffixes import repeated_starts
 
@@ -102,24 +101,6 @@ def whole_characters(data: str) -> Column:
 # words
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-@lru_cache(maxsize=1)
-def _hashes() -> _WordHashes:
-    """One per worker process."""
-    return _WordHashes()
-
-
-def _hashed(words: list[bytes]) -> np.ndarray:
-    return fragments.mix(np.fromiter(map(_hashes().__getitem__, words), np.uint64, len(words)))
-
-
 def _word_slices(text: str, wanted: list[tuple[int, int]]) -> list[bytes]:
     words = text.encode().split()
     return [b" ".join(words[a : a + n]) for a, n in wanted]
@@ -128,8 +109,7 @@ def _word_slices(text: str, wanted: list[tuple[int, int]]) -> list[bytes]:
 def anchored(contents: list[bytes], ids: np.ndarray, window: int = WINDOW_WORDS) -> list[np.ndarray]:
     """Of each content, which windows also stand in a content of a smaller id."""
     block = window // 2
-    words = [c.split() for c in contents]
-    hashed = [_hashed(w) for w in words]
+    hashed = [words_of.hashed(c) for c in contents]
     own = [fragments.grams(h, block) for h in hashed]
     blocks = np.concatenate([g[::block] for g in own])
     holder = np.repeat(ids, [len(g[::block]) for g in own])
@@ -162,8 +142,8 @@ def anchored(contents: list[bytes], ids: np.ndarray, window: int = WINDOW_WORDS)
 def word_repeats(docs: DataFrame, window: int = WINDOW_WORDS, **limits) -> DataFrame:
     """Of every distinct text, as the row of its least id has it: h, least_id, n_words, n_removed, kept_sha256, whole_sha256 and kept."""
     known = fragments.texts(docs)
-    cut = Cut(window, window // 2, lambda text: _hashed(text.encode().split()))
-    runs = fragments.repeats(known, cut, _word_slices, lambda content: _hashed(content.split()), lambda contents, marks: anchored(contents, marks, window), smaller=True, **limits)
+    cut = Cut(window, window // 2, lambda text: words_of.hashed(text.encode()))
+    runs = fragments.repeats(known, cut, _word_slices, words_of.hashed, lambda contents, marks: anchored(contents, marks, window), smaller=True, **limits)
 
     def finish(text: str, found: list[tuple[int, int]]) -> tuple:
         words = text.encode().split()

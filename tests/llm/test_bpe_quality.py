@@ -82,3 +82,24 @@ def test_long_pieces_are_merged_in_matrices():
                 assert ids.tolist() == theirs.encode_ordinary(piece) and counts.tolist() == [len(ids)]
     ids, _ = codec.pieces([b"a" * 4_000_000, b"x"])
     assert codec.decode(ids.tolist()) == b"a" * 4_000_000 + b"x"
+
+
+def test_fertility_by_brute_force(spark):
+    import math
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    r = random.Random(6)
+    rows = [(k, " ".join("".join(r.choice("tion er the an日é€b 12") for _ in range(r.randint(1, 6))) for _ in range(r.choice([3, 60, 150]))), r.choice(["en", "de", None, "xx"])) for k in range(40)]
+    for x in quality.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string"), [PIECES]).collect():
+        words = re.findall("[^\x20\x09-\x0d]+", x.text)
+        ids = [i for w in words for i in model.encode(w)]
+        counts = Counter(ids)
+        fallback = sum(model.is_byte(i) or model.is_unknown(i) for i in ids) / len(ids)
+        entropy = -sum(n / len(ids) * math.log2(n / len(ids)) for n in counts.values())
+        chars = sum(map(len, words)) / len(ids)
+        assert math.isclose(x.chars_per_token, chars) and math.isclose(x.fallback_share, fallback) and math.isclose(x.token_entropy, entropy, abs_tol=1e-9)
+        band = quality.LANGUAGES.get(x.lang) or quality.SCRIPTS[quality.script(x.text)]
+        good = band.chars_low <= chars <= band.chars_high and fallback <= band.fallback_high and entropy >= band.entropy_low
+        assert x.kept == (good and not brute_base(x.text)[-1])

@@ -56,6 +56,42 @@ def test_one_of_each(spark):
     kept = [r.doc_id for r in jaccard.one_of_each(docs, 80, 5).collect()]
     expected = {c for d, n, c in brute(rows, 80, 5) if n}
     assert {d for d in kept if d not in (1000, 1001, 1002)} == expected and len(kept) == len(set(kept))
+    wordless = [r.doc_id for r in jaccard.one_of_each(docs.union(spark.createDataFrame([(2000, " ", 1), (2001, " ", 1), (2001, None, 1)], docs.schema)), 80, 5).collect() if r.doc_id in (1000, 1001, 1002, 2000, 2001)]
+    assert sorted(wordless) == [1000, 1001, 1002, 2000, 2001, 2001]
+
+
+def test_large_sets_share_a_key():
+    """Sets of up to 20,000 shingles with as many differences as a link may have."""
+    r = np.random.default_rng(3)
+    for percent in (80, 85):
+        for n in (300, 1000, 3000, 10_000, 20_000):
+            for _ in range(4):
+                lost = n * (100 - percent) // (100 + percent)  # replaced: the intersection is n - lost, the union n + lost
+                base = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+                other = np.unique(np.concatenate([base[lost:], r.integers(0, 2**64, lost, dtype=np.uint64)]))
+                made = jaccard.keys(base, percent)
+                assert len(np.intersect1d(made, jaccard.keys(other, percent)))
+                assert len(made) < 1.5 * n  # linear
+    assert jaccard.missed(3, 2, 0) == 0 and jaccard.missed(163, 162, 900) < jaccard.NEVER < jaccard.missed(16, 15, 88)
+
+
+def test_group_of_near_copies_that_do_not_link(spark):
+    """A base with so many changes in each copy that few link, in more than one block of members."""
+    r = random.Random(8)
+    base = ["w%d" % i for i in range(60)]
+    rows = []
+    for d in range(260):
+        copy = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4])):
+            copy[r.randrange(60)] = "x%d" % r.randrange(40)
+        rows.append((d, " ".join(copy)))
+    before = jaccard.BLOCK
+    jaccard.BLOCK = 50
+    try:
+        got = jaccard.per_document(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        jaccard.BLOCK = before
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(brute(rows))
 
 
 @pytest.mark.parametrize("percent", [80, 85, 95])
