@@ -1,4 +1,9 @@
-"""The corpus pipeline: every stage works on all that the one before kept."""
+"""The corpus pipeline: every stage works on all that the one before kept.
+
+Documents of no id are documents like others; null texts count as empty and fail the quality rules, as empty texts do.
+Repeated rows are copies, of which one stays. Columns beside those of ``documents`` stay up to the last stage, and an
+empty table passes as an empty one. Texts are judged whole, however long.
+"""
 
 from __future__ import annotations
 
@@ -15,27 +20,27 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go; null and empty texts, and those of fewer words than the rules ask for, are among them."""
     return quality.filtered(docs, [PIECES])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document of the least id stays."""
+    """Of every group of near copies the document of the least id stays; texts without words all stay."""
     return jaccard.one_of_each(docs, NEAR_PERCENT, NEAR_SHINGLE)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose what strings of 200 bytes that stand elsewhere too cover; every document stays."""
+    """Texts lose what strings of 200 bytes that stand elsewhere too cover; every document stays, with n_chars of what is left."""
     return substrings.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark's item go."""
+    """Documents with a benchmark's item go; null and empty texts have none."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """doc_id, token count and digests of what is left; null texts have no tokens."""
     return bpe.digests(docs, RANKS, public_tokenizers.PATTERN)
 
 
