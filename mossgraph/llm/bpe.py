@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import chunks
+from .words import chunks, values
 
 #: Pieces up to these lengths share a matrix.
 WIDTHS = (4, 8, 16, 32, 64, 128, 256)
 #: Distinct pieces that a worker remembers; the first half stays when there are more.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Pieces in one matrix, so that its temporaries stay at a few MB.
 ROWS = 16_384
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -248,7 +248,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     def each(column: pa.Array) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        for texts in chunks(column.to_pylist()):
+        for texts in chunks(values(column)):
             ids, counts = own.encode_flat(texts)
             yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
 

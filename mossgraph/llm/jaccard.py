@@ -221,7 +221,7 @@ def drawn_sets(known: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in words.chunks(batch.column(2).to_pylist()):
+            for texts in words.chunks(words.values(batch.column(2))):
                 tokens, counts = words.shingle_sets(texts, size)
                 key, owner = keys_of(tokens, counts, percent)
                 order = np.argsort(owner, kind="stable")
@@ -244,7 +244,7 @@ def _sharers(scratch: Scratch, drawn: DataFrame) -> DataFrame:
             ends = batch.column(1).offsets.to_numpy()
             at = 0
             while at < batch.num_rows:
-                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + 2_000_000, "right")) - 1)
+                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + 1_000_000, "right")) - 1)
                 part = batch.slice(at, stop - at)
                 at = stop
                 node = np.repeat(part.column(0).to_numpy(), np.diff(part.column(1).offsets.to_numpy()))

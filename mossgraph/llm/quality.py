@@ -14,7 +14,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -28,8 +28,8 @@ from .common import WHITE
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-#: Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+#: Distinct words that a worker remembers; the first half stays when there are more.
+REMEMBERED = 100_000
 
 
 class Band(NamedTuple):
@@ -74,7 +74,7 @@ class Vocabulary:
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         new = [w for w in words if w not in self.known]
         self.known.update(zip(new, self.model.encode([w.decode() for w in new], num_threads=1), strict=True))
 
@@ -154,4 +154,6 @@ def measured(df: DataFrame, paths: list[str], languages: dict[str, Band] = LANGU
 
 def filtered(df: DataFrame, paths: list[str], **options) -> DataFrame:
     """The rows of ``df`` that pass, with its columns."""
-    return measured(df.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in df.columns))).select("_row", "text", "lang"), paths, **options).where("kept").select("_row.*")
+    own = {c: f"_{i}" for i, c in enumerate(df.columns)}  # no measure has such a name
+    judged = measured(df.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())), paths, text=own["text"], lang=own["lang"], **options)
+    return judged.where("kept").select(*(F.col(n).alias(c) for c, n in own.items()))

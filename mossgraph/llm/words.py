@@ -5,9 +5,10 @@ Words are the runs of anything but ASCII white space. Equal words have equal 64-
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from .common import WHITE
@@ -57,7 +58,13 @@ def hashed(data: bytes) -> np.ndarray:
     return hashes(data)[0]
 
 
-def chunks(texts: list[str | None], most: int = 1 << 19) -> Iterator[list[str]]:
+def values(column: pa.Array, rows: int = 256) -> Iterator:
+    """The values of a column as Python objects, a few rows at a time."""
+    for k in range(0, len(column), rows):
+        yield from column.slice(k, rows).to_pylist()
+
+
+def chunks(texts: Iterable[str | None], most: int = 1 << 19) -> Iterator[list[str]]:
     """``texts`` (null: empty) in lists of about ``most`` characters."""
     held: list[str] = []
     size = 0
