@@ -31,7 +31,7 @@ from .words import chunks, values
 #: Pieces up to these lengths share a matrix.
 WIDTHS = (4, 8, 16, 32, 64, 128, 256)
 #: Distinct pieces that a worker remembers; the first half stays when there are more.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Pieces in one matrix, so that its temporaries stay at a few MB.
 ROWS = 16_384
 _MIX = np.uint64(0x9E3779B97F4A7C15)

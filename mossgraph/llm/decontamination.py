@@ -31,7 +31,7 @@ COVERED_PERCENT = 50
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 16 << 20
 #: Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 NUMBER, NAME, UNIT = 1, 2, 3  #: codes of placeholders; words have greater ones, what no item has is 0
 
 #: Units of measure and money.

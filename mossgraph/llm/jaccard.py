@@ -215,53 +215,56 @@ def near_pairs(nodes: np.ndarray, of: np.ndarray, side: np.ndarray, counts: np.n
     return np.minimum(x, y), np.maximum(x, y)
 
 
-def drawn_sets(known: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """node, h, n_shingles, sketch and keys of every text of ``fragments.texts``; written."""
+def drawn_sets(known: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """node, h, n_shingles and sketch of every text of ``fragments.texts``; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for texts in words.chunks(words.values(batch.column(2))):
                 tokens, counts = words.shingle_sets(texts, size)
-                key, owner = keys_of(tokens, counts, percent)
-                order = np.argsort(owner, kind="stable")
-                ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(texts))))
                 part = batch.slice(at, len(texts))
                 at += len(texts)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(sketches_of(tokens, counts), pa.binary()), lists], ["node", "h", "n_shingles", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(sketches_of(tokens, counts), pa.binary())], ["node", "h", "n_shingles", "sketch"])
 
-    return written(known.select("node", "h", "text").mapInArrow(run, "node long, h binary, n_shingles long, sketch binary, keys array<long>"))
+    return written(known.select("node", "h", "text").mapInArrow(run, "node long, h binary, n_shingles long, sketch binary"))
 
 
-def _sharers(scratch: Scratch, drawn: DataFrame) -> DataFrame:
+def _sharers(scratch: Scratch, known: DataFrame, percent: int, size: int) -> DataFrame:
     """Who shares a key: key, node and degree (how many keys the node shares), for each key of several nodes; written.
 
-    Keys that several texts of a batch have leave the batch as one row, so a key of very many texts is few rows."""
+    Keys that several texts of about a million keys have leave as one row, so a key of very many texts is few rows.
+    The keys themselves are not written: that costs shingling twice, and the larger part of the disk less."""
+
+    def combined(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((node, key)) if (node[1:] < node[:-1]).any() else np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]
+        key, node = key[new], node[new]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        count = np.diff(np.append(first, len(key))) - 1
+        more = np.ones(len(key), bool)
+        more[first] = False
+        others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32(), mask=np.append(count == 0, False)), pa.array(node[more], pa.int64()))
+        for k in range(0, len(first), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(key[first[k : k + 50_000]]), pa.array(node[first[k : k + 50_000]]), others.slice(k, 50_000)], ["key", "node", "others"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            ends = batch.column(1).offsets.to_numpy()
-            at = 0
-            while at < batch.num_rows:
-                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + 1_000_000, "right")) - 1)
-                part = batch.slice(at, stop - at)
-                at = stop
-                node = np.repeat(part.column(0).to_numpy(), np.diff(part.column(1).offsets.to_numpy()))
-                key = part.column(1).flatten().to_numpy()
-                order = np.lexsort((node, key)) if (node[1:] < node[:-1]).any() else np.argsort(key, kind="stable")
-                key, node = key[order], node[order]
-                new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]
-                key, node = key[new], node[new]
-                first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-                count = np.diff(np.append(first, len(key))) - 1
-                more = np.ones(len(key), bool)
-                more[first] = False
-                others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32(), mask=np.append(count == 0, False)), pa.array(node[more], pa.int64()))
-                for k in range(0, len(first), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[first[k : k + 50_000]]), pa.array(node[first[k : k + 50_000]]), others.slice(k, 50_000)], ["key", "node", "others"])
-
-    rows = drawn.select("node", "keys").mapInArrow(run, "key long, node long, others array<long>")
+            nodes, at = batch.column(0).to_numpy(), 0
+            for texts in words.chunks(words.values(batch.column(1))):
+                key, owner = keys_of(*words.shingle_sets(texts, size), percent)
+                order = np.argsort(owner, kind="stable")
+                held.append((key[order].view(np.int64), nodes[at + owner[order]]))
+                at += len(texts)
+                if sum(len(k) for k, _ in held) > 1_000_000:
+                    yield from combined(*map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+        if held:
+            yield from combined(*map(np.concatenate, zip(*held, strict=True)))
+
+    rows = known.select("node", "text").mapInArrow(run, "key long, node long, others array<long>")
     of = Window.partitionBy("key")
     shared = rows.withColumn("n", F.count("*").over(of)).where("n > 1 OR others IS NOT NULL")
     members = scratch.written(shared.select("key", F.concat(F.array("node"), F.coalesce("others", F.array().cast("array<long>"))).alias("members")))
@@ -359,10 +362,11 @@ def _block_pairs(members: DataFrame, drawn: DataFrame, percent: int) -> DataFram
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def linked_components(known: DataFrame, drawn: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """node and component of every text (of ``fragments.texts``, with its ``drawn_sets``) that links with another."""
+def linked_components(known: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """node and component of every text of ``fragments.texts`` that links with another, and node, h, n_shingles and sketch of all; written."""
     with Scratch(known.sparkSession) as scratch:
-        sharers = _sharers(scratch, drawn)
+        drawn = drawn_sets(known, size)
+        sharers = _sharers(scratch, known, percent, size)
         ordered = [F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")]
         first = _spokes(sharers).groupBy("node").agg((-F.max(F.struct("hub_degree", (-F.col("hub")).alias("less")))["less"]).alias("hub"))
         tested = _tested(scratch, known, drawn, first.select(*ordered).distinct(), percent, size)
@@ -385,14 +389,14 @@ def linked_components(known: DataFrame, drawn: DataFrame, percent: int = PERCENT
             if not more(now.select(*ordered).distinct()) and k:
                 break
         more(_block_pairs(scratch.written(_labelled(sharers.select("key", "node"), found, "node", "c")), drawn, percent))
-        return found
+        return found, drawn
 
 
 def one_of_each(docs: DataFrame, percent: int, size: int) -> DataFrame:
     """``docs`` with one row of every component, one of its least id. Texts without words, which link with nothing, all stay."""
     worded = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
     known = fragments.texts(docs.where(worded), others=[c for c in docs.columns if c != "text"])
-    found = linked_components(known, drawn_sets(known, percent, size), percent, size)
+    found, _ = linked_components(known, percent, size)
     nodes = known.select("node", "least_id").join(found, "node")
     kept = nodes.groupBy("component").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "node")).alias("best")).select(F.col("best.node").alias("node"))
     gone = written(nodes.join(kept, "node", "left_anti").join(known.select("node", "h"), "node").select("h"))
@@ -403,8 +407,7 @@ def one_of_each(docs: DataFrame, percent: int, size: int) -> DataFrame:
 def per_document(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     known = fragments.texts(docs)
-    drawn = drawn_sets(known, percent, size)
-    found = linked_components(known, drawn, percent, size)
+    found, drawn = linked_components(known, percent, size)
     nodes = written(known.select("h", "node", "least_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = nodes.groupBy("component").agg(F.min("least_id").alias("component_id"))
     results = drawn.select("h", "n_shingles").join(nodes.join(least, "component").select("h", "component_id"), "h")

@@ -148,6 +148,8 @@ def measured(df: DataFrame, paths: list[str], languages: dict[str, Band] = LANGU
                 rows = [judge(*x, own, languages) for x in zip(texts, langs, words, strict=True)]
                 made = [pa.array(column, _ARROW[kind]) for column, kind in zip(zip(*rows, strict=True), _FIELDS.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], schema.fieldNames())
+        for v in own:  # the worker may do other work next
+            v.known.clear()
 
     return df.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
 
