@@ -107,8 +107,11 @@ def weighted(hits: DataFrame, statistics: DataFrame, id: str = "id") -> DataFram
 
 
 def scores_of(hits: DataFrame, df: DataFrame, statistics: DataFrame, id: str = "id") -> DataFrame:
+    """id and score. The parts of a document, one per word and field, are added in order of size, so that copies have equal scores to the last bit."""
     rows = hits.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(statistics), "field")
-    return rows.groupBy(id).agg(F.sum(_idf(F.col("df"), F.col("docs")) * _weight(F.col("tf"), F.col("length"), F.col("avg_length"))).alias("score"))
+    part = _idf(F.col("df"), F.col("docs")) * _weight(F.col("tf"), F.col("length"), F.col("avg_length"))
+    parts = rows.groupBy(id).agg(F.array_sort(F.collect_list(part)).alias("_parts"))
+    return parts.select(id, F.aggregate("_parts", F.lit(0.0), lambda s, x: s + x).alias("score"))
 
 
 def index_scores(posted: DataFrame, query: str, id: str = "id") -> DataFrame:
