@@ -3,7 +3,8 @@
 Suffixes are classified as smaller (S) or larger (L) than the next one. The substrings between leftmost S
 suffixes (LMS) are sorted by inducing, named by rank, and the string of their names is sorted in turn, by
 recursion or, once its alphabet is wide, by doubling ranks. Two linear passes then induce all
-suffixes from the sorted LMS ones. A pass goes bucket by bucket, and handles a bucket's entries at once.
+suffixes from the sorted LMS ones. A pass goes bucket by bucket, and handles a bucket's entries at once, those
+of a run of one symbol included, so that a long run is no more steps than a short one.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import numpy as np
 
 #: Reduced strings with more symbols than this are sorted by doubling: inducing pays per bucket.
 WIDE = 512
+#: What is still equal after so many symbols is compared in slices, pair by pair; few texts but periodic ones get there.
+SLICED = 1024
 
 
 def smaller_than_next(s: np.ndarray) -> np.ndarray:
@@ -22,9 +25,23 @@ def smaller_than_next(s: np.ndarray) -> np.ndarray:
     return less[nearest]
 
 
+def shared_prefix(s: np.ndarray, a: int, b: int, most: int) -> int:
+    """How many symbols from ``a`` and from ``b`` on are equal, ``most`` at most."""
+    most, done, step = min(most, len(s) - max(a, b)), 0, SLICED
+    while done < most:
+        n = min(step, most - done)
+        differ = s[a + done : a + done + n] != s[b + done : b + done + n]
+        if differ.any():
+            return done + int(differ.argmax())
+        done, step = done + n, 2 * step
+    return done
+
+
 class _Buckets:
     def __init__(self, s: np.ndarray, small: np.ndarray, symbols: int):
         self.s, self.small, self.symbols = s, small, symbols
+        at = np.arange(len(s))
+        self.ahead = at - np.maximum.accumulate(np.where(np.append(True, s[1:] != s[:-1]), at, 0))  # equal symbols right before
         self.size = np.bincount(s, minlength=symbols)
         self.end = np.cumsum(self.size)
         self.start = self.end - self.size
@@ -52,35 +69,41 @@ class _Buckets:
         lms_of = dict(zip(symbol[first].tolist(), zip(first.tolist(), count.tolist(), strict=True), strict=True))
         edge = self.start.copy()
         for c in self.present.tolist():  # larger suffixes, from the least bucket up
-            at = int(self.start[c])
-            while at < edge[c]:
-                block, at = out[at : edge[c]], int(edge[c])
-                self._induce_large(out, block, edge)
+            if edge[c] > (at := int(self.start[c])):
+                block = self._with_runs(out[at : edge[c]])
+                edge[c] = at + len(block)
+                out[at : edge[c]] = block
+                self._induce(out, block, c, edge, 1)
             if c in lms_of:
                 k, n = lms_of[c]
-                self._induce_large(out, lms[k : k + n], edge)
+                self._induce(out, lms[k : k + n], c, edge, 1)
         edge = self.end - 1
         for c in self.present[::-1].tolist():  # smaller suffixes, from the greatest bucket down
-            at = int(self.end[c]) - 1
-            while at > edge[c]:
-                block, at = out[edge[c] + 1 : at + 1][::-1], int(edge[c])
-                self._induce_small(out, block, edge)
+            if edge[c] + 1 < (end := int(self.end[c])):
+                block = self._with_runs(out[edge[c] + 1 : end][::-1])
+                edge[c] = end - 1 - len(block)
+                out[edge[c] + 1 : end] = block[::-1]
+                self._induce(out, block, c, edge, -1)
             if n := int(self.larges[c]):
-                self._induce_small(out, out[self.start[c] : self.start[c] + n][::-1], edge)
+                self._induce(out, out[self.start[c] : self.start[c] + n][::-1], c, edge, -1)
         out[0] = len(s) - 1
         return out
 
-    def _induce_large(self, out: np.ndarray, block: np.ndarray, edge: np.ndarray) -> None:
-        before = block[block > 0] - 1
-        before = before[~self.small[before]]
-        if len(before):
-            self._spread(out, before, edge, 1)
-
-    def _induce_small(self, out: np.ndarray, block: np.ndarray, edge: np.ndarray) -> None:
+    def _with_runs(self, block: np.ndarray) -> np.ndarray:
+        """A bucket's suffixes and those of the same symbol right before them: all one symbol away, then all two away, and so on."""
+        n = self.ahead[block] + 1
+        if len(block) == int(n.sum()):
+            return block.copy()
+        away = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        order = np.argsort(away, kind="stable")
+        return (np.repeat(block, n) - away)[order]
+
+    def _induce(self, out: np.ndarray, block: np.ndarray, symbol: int, edge: np.ndarray, step: int) -> None:
+        """Puts what stands before ``block`` into other buckets: larger suffixes upwards, smaller ones downwards."""
         before = block[block > 0] - 1
-        before = before[self.small[before]]
+        before = before[(self.small[before] == (step < 0)) & (self.s[before] != symbol)]
         if len(before):
-            self._spread(out, before, edge, -1)
+            self._spread(out, before, edge, step)
 
 
 def _names(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -91,13 +114,16 @@ def _names(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     a, b = ordered[:-1], ordered[1:]
     same = length[:-1] == length[1:]
     alive = np.flatnonzero(same)
-    for d in range(int(length.max()) + 1):
+    for d in range(min(int(length.max()), SLICED) + 1):
         alive = alive[d <= length[alive]]
         if not len(alive):
             break
         differ = s[a[alive] + d] != s[b[alive] + d]
         same[alive[differ]] = False
         alive = alive[~differ]
+    for k in alive[length[alive] > SLICED].tolist():
+        whole = int(length[k]) + 1
+        same[k] = shared_prefix(s, int(a[k]), int(b[k]), whole) == whole
     name = np.zeros(len(s), np.int64)
     name[ordered] = np.concatenate([[0], np.cumsum(~same)])
     return name[lms]
@@ -157,13 +183,15 @@ def common_prefixes(s: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     need = np.zeros(n, np.int64)
     np.maximum.at(need, head, np.arange(n) - head + least)
     d = 0
-    while len(alive):
+    while len(alive) and d < SLICED:
         inside = (a + d < n) & (b + d < n) & (d < need[alive])
         alive, a, b = alive[inside], a[inside], b[inside]
         equal = s[a + d] == s[b + d]
         alive, a, b = alive[equal], a[equal], b[equal]
         length[alive] += 1
         d += 1
+    for i, x, y in zip(alive.tolist(), a.tolist(), b.tolist(), strict=True):
+        length[i] += shared_prefix(s, x + d, y + d, int(need[i]) - d)
     return np.maximum(length[head] - (np.arange(n) - head), 0)
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -128,3 +129,29 @@ def test_repeated_starts():
         contents = list({bytes(r.choice(b"ab c") for _ in range(r.randint(w, 60))) for _ in range(r.randint(1, 6))})
         counts = Counter(c[i : i + w] for c in contents for i in range(len(c) - w + 1))
         assert [g.tolist() for g in repeated_starts(contents, w)] == [[counts[c[i : i + w]] > 1 for i in range(len(c) - w + 1)] for c in contents]
+
+
+def test_long_periodic_texts(monkeypatch):
+    from mossgraph.llm import suffixes
+
+    r, s = random.Random(8), None
+    monkeypatch.setattr(suffixes, "SLICED", 4)
+    for _ in range(80):
+        period = bytes(r.choice(b"abc") for _ in range(r.randint(1, 5)))
+        contents = list({(period * 60)[: r.randint(9, 200)] + bytes(r.choice(b"abz") for _ in range(r.randint(0, 3))) for _ in range(3)})
+        counts = Counter(c[i : i + 9] for c in contents for i in range(len(c) - 8))
+        assert [g.tolist() for g in repeated_starts(contents, 9)] == [[counts[c[i : i + 9]] > 1 for i in range(len(c) - 8)] for c in contents]
+        s = np.concatenate([np.frombuffer(b"\1".join(contents), np.uint8).astype(np.int64), [0]])
+        assert suffix_array(s, 130, 10**6).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_two_megabytes_of_one_letter_take_few_steps():
+    n = 2_000_000
+    for contents in ([b"x" * n], [b"x" * n + b"a", b"bx" * (n // 4)]):
+        steps, before = [], sys.getprofile()
+        sys.setprofile(lambda frame, event, arg: steps.append(1) if event == "c_call" else None)  # noqa: B023
+        try:
+            flags = repeated_starts(contents, 200)
+        finally:
+            sys.setprofile(before)
+        assert all(f[:-1].all() for f in flags) and len(steps) < 100_000
