@@ -5,10 +5,10 @@ that fragments meet in are suffix arrays, made by induced sorting; neighbours wi
 window mark the repeats.
 
 Words (``word_repeats``): whatever a window of 50 words covers that also starts in a document of a smaller id
-goes. In a shard, every window is hashed twice (64 bits each) and the smallest id of each found by sorting;
-this decides. The non-overlapping blocks of half a window are also indexed by hash and probed by every rolling
-window of block size, but each window that a smaller id has lies around such a hit, so this changes no result,
-and nothing is compared word by word. Adjacent windows join to maximal repeats.
+goes. In a shard, the non-overlapping blocks of half a window are indexed by hash and probed by every rolling
+window of block size. The hits of a block are extended together, word by word (as 64-bit hashes of words) to both
+sides, for as long as any two of them agree; the windows inside such exact repeats go where one of them has a
+smaller id. Adjacent windows join to maximal repeats.
 
 All texts are whole and judged as given. Null texts count as empty; texts shorter than a window lose nothing.
 Equal texts get equal results, but for words the copies of a larger id lose all. Rows without an id lose no
@@ -18,6 +18,7 @@ words and take none from others. An empty table returns no rows; other columns a
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -106,37 +107,71 @@ def _word_slices(text: str, wanted: list[tuple[int, int]]) -> list[bytes]:
     return [b" ".join(words[a : a + n]) for a, n in wanted]
 
 
+def extended(words: np.ndarray, place: np.ndarray, room: np.ndarray, group: np.ndarray, steps: int, right: bool) -> Iterator[np.ndarray]:
+    """Extends the hits of every group word by word to one side: after 0, 1, ... ``steps`` words, the class of each place.
+
+    Places of a class agree in all words so far; -1 where a place agrees with no other, so that its repeat ends there.
+    ``room`` is how many words there are on that side. Classes only ever split, and only those that do are sorted."""
+    held = group.astype(np.int32)
+    yield held
+    order = np.argsort(held, kind="stable")
+    for d in range(1, steps + 1):
+        order = order[room[order] >= d]
+        word, last = words[place[order] + d - 1 if right else place[order] - d], held[order]
+        new = np.append(True, last[1:] != last[:-1])[: len(order)]
+        number = np.cumsum(new) - 1
+        differs = word != word[np.flatnonzero(new)[number]]
+        if differs.any():
+            split = np.zeros(len(order), bool)
+            split[number[differs]] = True
+            some = np.flatnonzero(split[number])
+            by_word = some[np.lexsort((word[some], number[some]))]
+            order[some], word[some] = order[by_word], word[by_word]
+            new[1:] |= word[1:] != word[:-1]
+            number = np.cumsum(new) - 1
+        several = np.bincount(number)[number] > 1
+        order = order[several]
+        held = np.full(len(place), -1, np.int32)
+        held[order] = number[several]
+        yield held
+
+
 def anchored(contents: list[bytes], ids: np.ndarray, window: int = WINDOW_WORDS) -> list[np.ndarray]:
-    """Of each content, which windows also stand in a content of a smaller id."""
+    """Of each content, which windows also stand in a content of a smaller id.
+
+    A window holds a whole block of the content it first stands in; all equal windows hit that block at the same offset."""
     block = window // 2
     hashed = [words_of.hashed(c) for c in contents]
+    words, size = np.concatenate(hashed), np.array([len(h) for h in hashed])
+    start = np.cumsum(size) - size
     own = [fragments.grams(h, block) for h in hashed]
-    blocks = np.concatenate([g[::block] for g in own])
-    holder = np.repeat(ids, [len(g[::block]) for g in own])
-    order = np.lexsort((holder, blocks))
-    first = np.append(True, blocks[order][1:] != blocks[order][:-1])
-    index, least_id = blocks[order][first], holder[order][first]
-
+    index = np.unique(np.concatenate([g[::block] for g in own]))
     probes = np.concatenate(own)
     at = np.searchsorted(index, probes)
     at[at == len(index)] = 0
-    prober = np.repeat(ids, [len(g) for g in own])
-    hit = (index[at] == probes) & (least_id[at] < prober) & (prober != NO_ID)
-
-    # windows that hold a hit, a superset of the equal ones, which both of two hashes find
-    starts = np.cumsum([0, *(len(g) for g in own)])
-    near = np.concatenate([np.convolve(hit[a:b], np.ones(window - block + 1, int), "valid") > 0 for a, b in zip(starts, starts[1:], strict=False)])  # noqa: RUF007
-    one = np.concatenate([fragments.grams(h, window) for h in hashed])
-    two = np.concatenate([fragments.grams(fragments.mix(h), window) for h in hashed])
-    sizes = [len(h) - window + 1 for h in hashed]
-    owner = np.repeat(ids, sizes)
-    order = np.lexsort((owner, two, one))
-    first = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
-    least_of = owner[order][first][np.cumsum(first) - 1]
-    smallest = np.empty(len(order), np.int64)
-    smallest[order] = least_of
-    flags = near & (smallest < owner) & (owner != NO_ID)
-    return np.split(flags, np.cumsum(sizes)[:-1])
+    hit = index[at] == probes
+    group = at[hit]
+    several = np.bincount(group, minlength=1)[group] > 1
+    group = group[several]
+    content = np.repeat(np.arange(len(own)), [len(g) for g in own])
+    place = (np.arange(len(probes)) + (block - 1) * content)[hit][several]
+    content = content[hit][several]
+    mark = ids[content]
+
+    flags = np.zeros(len(words), bool)
+    after = [*extended(words, place + block, (start + size)[content] - place - block, group, window - block, right=True)]
+    for j, before in enumerate(extended(words, place, place - start[content], group, block - 1, right=False)):
+        rest = after[window - block - j]
+        both = np.flatnonzero((before >= 0) & (rest >= 0))
+        both = both[~flags[place[both] - j]]  # what a flagged window would flag, its first occurrence does
+        key = before[both].astype(np.int64) * len(place) + rest[both]
+        order = np.argsort(key, kind="stable")
+        key, both = key[order], both[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        if len(first):
+            least = np.repeat(np.minimum.reduceat(mark[both], first), np.diff(np.append(first, len(key))))
+            flags[place[both[(least < mark[both]) & (mark[both] != NO_ID)]] - j] = True
+    return [flags[s : s + n - window + 1] for s, n in zip(start.tolist(), size.tolist(), strict=True)]
 
 
 def word_repeats(docs: DataFrame, window: int = WINDOW_WORDS, **limits) -> DataFrame:

@@ -155,3 +155,28 @@ def test_two_megabytes_of_one_letter_take_few_steps():
         finally:
             sys.setprofile(before)
         assert all(f[:-1].all() for f in flags) and len(steps) < 100_000
+
+
+def test_anchors_extend_to_every_repeat():
+    r, none = random.Random(1), substrings.NO_ID
+    for _ in range(300):
+        w, letters = r.choice([4, 5, 7, 10]), r.choice(["ab", "abc", "abcdefgh"])
+        base = [r.choice(letters) for _ in range(60)]
+        texts = []
+        for _ in range(r.randint(1, 9)):
+            a = r.randint(0, 30)
+            own = base[a : a + r.randint(w, 30)] if r.random() < 0.7 else [r.choice(letters) for _ in range(r.randint(w, 40))]
+            texts.append([r.choice(letters) for _ in range(r.randint(0, 2))] + own + [r.choice(letters) for _ in range(r.randint(0, 2))])
+        ids, first = [r.choice([1, 2, 3, 4, none]) for _ in texts], {}
+        for i, t in zip(ids, texts):
+            for k in range(len(t) - w + 1):
+                first[tuple(t[k : k + w])] = min(first.get(tuple(t[k : k + w]), i), i)
+        expected = [[first[tuple(t[k : k + w])] < i != none for k in range(len(t) - w + 1)] for i, t in zip(ids, texts)]
+        assert [f.tolist() for f in substrings.anchored([" ".join(t).encode() for t in texts], np.array(ids), w)] == expected
+
+
+def test_no_extension_without_two_places():
+    words = np.array([1, 2, 3, 1, 2, 4, 9], np.uint64)
+    right = [x.tolist() for x in substrings.extended(words, np.array([0, 3]), np.array([7, 4]), np.array([0, 0]), 3, right=True)]
+    assert right == [[0, 0], [0, 0], [0, 0], [-1, -1]]
+    assert [x.tolist() for x in substrings.extended(words, np.array([1, 4]), np.array([1, 4]), np.array([5, 5]), 2, right=False)] == [[5, 5], [0, 0], [-1, -1]]
