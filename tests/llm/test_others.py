@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from conftest import SF
@@ -134,11 +135,48 @@ def test_toxicity(spark):
     assert len({x.score for x in none}) == 1
 
 
-def test_toxicity_needs_pairs():
+def paired(n):
+    """Toxic are only the insults beside their own group: a linear score cannot have both of these and neither of the crossed ones."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("aeioustrn") for _ in range(5))
+    kinds = [["grumpf", "zemlan"], ["blargh", "quivor"], ["grumpf", "quivor"], ["blargh", "zemlan"], ["grumpf"], ["blargh"], ["zemlan"], ["quivor"], [], []]
+    rows = []
+    for d in range(n):
+        k = r.choice([0, 0, 1, 1, *range(2, 10)])
+        w = [word() for _ in range(r.randint(5, 30))] + kinds[k]
+        r.shuffle(w)
+        rows.append((d, " ".join(w), int(k < 2)))
+    return rows
+
+
+def test_fitted_pairs_beat_a_refitted_linear_model(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    rows = paired(3000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+    machine = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
+    index = machine.index
+    found = {d: sorted(index[b] for b in toxicity.bins_of(t) if b in index) for d, t, _ in rows}
+    held = {d for d, _, _ in rows if zlib.crc32(str(d).encode()) % 5 == 0}
+    vector = lambda f: Vectors.sparse(len(index), f, [1.0] * len(f))
+    line = LogisticRegression(maxIter=200).fit(spark.createDataFrame([(float(y), vector(found[d])) for d, _, y in rows if d not in held], ["label", "features"]))
+    pairs = sum((machine.score(found[d]) >= 0.5) == bool(y) for d, _, y in rows if d in held) / len(held)
+    alone = sum(line.predict(vector(found[d])) == y for d, _, y in rows if d in held) / len(held)
+    assert pairs >= 0.97 and pairs > alone + 0.05, (pairs, alone)
+
+
+def test_score_equals_a_double_loop_and_spark():
+    import math
+
     import numpy as np
 
-    own = toxicity.Machine({}, np.ones(2), -2.0, np.array([0.5, 0.5]), np.array([[2.0], [2.0]]))
-    assert own.score([0]) < 0.5 and own.score([1]) < 0.5 and own.score([0, 1]) > 0.9
+    g = np.random.default_rng(1)
+    own = toxicity.Machine({}, g.normal(size=9), -0.3, g.normal(size=9), g.normal(size=(9, 4)))
+    for f in ([], [4], [0, 8], [1, 2, 5, 7], list(range(9))):
+        z = own.intercept + sum(own.linear[i] * own.scale[i] for i in f)
+        z += sum(float(own.factors[i] @ own.factors[j]) * own.scale[i] * own.scale[j] for i in f for j in f if i < j)
+        assert own.score(f) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
 
 
 # benchmark
@@ -203,3 +241,49 @@ def test_shards(spark):
         store.commit(old, [])
     store.vacuum()
     assert store.read().count() == 1000
+
+
+def test_parts_of_one_table_are_runs_of_one_job(spark):
+    docs = spark.createDataFrame([(1, "a", 0), (1, "a", 0), (2, None, None), (3, "", 1), (None, "d", 2)], "doc_id long, text string, PART int")
+    store = sharding.ShardStore(spark, shared_dir(spark), docs.schema)
+    assert list(store.append_parts(docs, F.col("PART"))) == [1, 2, 3, 4]
+    assert sorted(store.read().collect(), key=str) == sorted(docs.collect(), key=str) and store.read().columns == docs.columns
+    assert store.read(1).count() < store.read(3).count() and {r.merged for r in store.runs()} == {1}
+    assert list(store.append_parts(docs.limit(0), F.col("PART"))) == [] and store.read().count() == 5
+
+
+def test_two_writers_at_once_lose_nothing(spark):
+    docs = spark.range(60).select("id", F.col("id").cast("string").alias("text"))
+    folder = shared_dir(spark)
+
+    def write(who):
+        store = sharding.ShardStore(spark, folder, docs.schema, fanout=3, smallest=1000)
+        for k in range(3):
+            store.append(docs.where(F.pmod("id", F.lit(6)) == 3 * who + k))
+            store.compact()
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(write, range(2)))
+    store = sharding.ShardStore(spark, folder, docs.schema)
+    assert sorted(r.id for r in store.read().collect()) == list(range(60)) and sum(r.merged for r in store.runs()) == 6
+
+
+# defined results at the edges
+
+
+def test_empty_tables(spark):
+    none = lambda n: spark.read.parquet(f"{SF}/{n}.parquet").limit(0)
+    docs = none("documents")
+    assert licenses.per_document(docs).count() == 0
+    assert toxicity.per_document(docs, none("labels")).count() == 0
+    assert dec.per_document(docs, none("benchmark")).count() == 0
+    assert sharding.compacted(spark, docs, shared_dir(spark)).count() == 0
+
+
+def test_long_texts_of_licences_and_items(spark):
+    """Megabytes around one licence line and one item."""
+    noise = "\n".join(f"{k} plain words of line {k % 97}" for k in range(60_000))
+    docs = spark.createDataFrame([(1, f"{noise}\nReleased under the MIT License.\n{noise} {ITEM} {noise}"), (2, noise)], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in licenses.per_document(docs).collect()} == {1: "MIT", 2: None}
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert {r.doc_id: r.item_ids for r in dec.per_document(docs, bench).collect()} == {1: [1], 2: []}

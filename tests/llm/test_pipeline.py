@@ -4,15 +4,15 @@ from conftest import SF
 from test_jaccard import brute as near
 from test_substrings import brute_bytes
 from mossgraph.llm import bpe, decontamination, quality
+from mossgraph.llm.common import written
 from mossgraph.llm.queries import PIECES, RANKS
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
 
 def test_stages(spark):
     """Each stage against brute force on what the one before has kept."""
-    from mossgraph.llm.common import written
-
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
     (_, rules), (_, join), (_, strings), (_, leaks), (_, code) = corpus_pipeline.STAGES
     one = written(rules(spark, docs, SF))
@@ -44,3 +44,29 @@ def test_stages(spark):
 
     theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.codec(RANKS, public_tokenizers.PATTERN).ranks, special_tokens={})
     assert {r.doc_id: r.n_tokens for r in code(spark, four, SF).collect()} == {d: len(theirs.encode_ordinary(after[d].text)) for d in set(ids) - hit}
+
+
+def test_edges(spark):
+    """Null, empty, wordless and repeated rows, an added column, a null id; then no row at all."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(12)
+    first = docs.first()
+    names = docs.columns
+    change = lambda **k: tuple({**first.asDict(), **k}[c] for c in names)
+    odd = [tuple(first), tuple(first), change(doc_id=9001, text=None), change(doc_id=9002, text=""), change(doc_id=9003, text="  \n"), change(doc_id=None), change(doc_id=9004, lang=None)]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("shard", F.lit("own"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        rows = written(stage(spark, rows, SF))
+        assert k == 4 or rows.columns == [*names, "shard"]
+    alone = docs
+    for _, stage in corpus_pipeline.STAGES:
+        alone = written(stage(spark, alone, SF))
+    ids = [r.doc_id for r in rows.collect()]
+    assert len(ids) == len(set(ids)) and not {9001, 9002, 9003} & set(ids)
+    assert sorted(map(str, rows.select(alone.columns).collect())) == sorted(map(str, alone.collect()))
+
+
+def test_empty(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SF))
+        assert docs.count() == 0
