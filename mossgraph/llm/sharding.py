@@ -2,7 +2,8 @@
 
 A store is a folder of runs and manifests. ``append`` writes a run and commits a manifest that adds it.
 ``compact`` merges a tier once it has ``fanout`` runs: a tier holds the runs whose bytes lie within one power
-of ``fanout``. A merged run has files of about ``file_bytes``. A manifest is written beside its place and
+of ``fanout``. A merged run has files of about ``file_bytes``. Several
+arrivals that come in one table are written as runs by one job (``append_parts``). A manifest is written beside its place and
 renamed to the next version; the rename fails if another writer has taken that version, and the loser starts
 again from the newer one. Readers read one version and never see half a change.
 
@@ -15,9 +16,10 @@ from __future__ import annotations
 import math
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +38,13 @@ class Conflict(Exception):
     """Another writer has committed this version."""
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it in any case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, fanout: int = 4, file_bytes: int = 128 << 20, smallest: int = 1 << 20):
         self.spark, self.folder, self.schema = spark, folder, schema
@@ -78,6 +87,9 @@ class ShardStore:
     def _written(self, rows: DataFrame, files: int | None, merged: int) -> Run:
         run = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         (rows.repartition(files) if files else rows).write.parquet(f"{self.folder}/runs/{run}")
+        return self._found(run, merged)
+
+    def _found(self, run: str, merged: int) -> Run:
         size = self._fs.getContentSummary(self._path(f"{self.folder}/runs/{run}"))
         return Run(run, size.getLength(), sum(s.getPath().getName().endswith(".parquet") for s in self._fs.listStatus(self._path(f"{self.folder}/runs/{run}"))), merged)
 
@@ -94,6 +106,16 @@ class ShardStore:
         new = self._written(rows.select(*(F.col(f"`{c}`") for c in self.schema.fieldNames())), None, 1)
         return self._committed(lambda runs: [*runs, new])
 
+    def append_parts(self, rows: DataFrame, part: Column) -> Iterator[int]:
+        """Adds ``rows`` as one run for each value of ``part``, null included; one job writes them all, and the next is committed when
+        its version is asked for."""
+        stem, column = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}", _free("part", self.schema.fieldNames())
+        folder = f"{self.folder}/runs/{stem}"
+        rows.select(*(F.col(f"`{c}`") for c in self.schema.fieldNames()), part.alias(column)).write.partitionBy(column).parquet(folder)
+        for name in sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder)) if s.isDirectory()):
+            new = self._found(f"{stem}/{name}", 1)
+            yield self._committed(lambda runs, new=new: [*runs, new])
+
     def tier(self, run: Run) -> int:
         return max(0, math.floor(math.log(max(1, run.bytes) / self.smallest, self.fanout))) if run.bytes > self.smallest else 0
 
@@ -148,9 +170,7 @@ ARRIVALS = 8
 def compacted(spark: SparkSession, docs: DataFrame, folder: str, arrivals: int = ARRIVALS) -> DataFrame:
     """``docs`` as the store has them after arriving in parts, compacted after each: doc_id, lang, source, n_chars, text_sha256."""
     store = ShardStore(spark, folder, docs.schema)
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals))
-    for k in range(arrivals):
-        store.append(docs.where(part == k))
+    for _ in store.append_parts(docs, F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals))):
         store.compact()
         store.vacuum()
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
