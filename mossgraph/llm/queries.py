@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with production parameters, over whole tables."""
+"""The queries of the numbered operators, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, jaccard, licenses, quality, sharding, substrings, toxicity, warc
+from . import bpe, decontamination, jaccard, licenses, merkle, quality, quality_model, sharding, substrings, toxicity, warc, whitening
 from .common import shared_dir, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -54,5 +54,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), [PIECES]).drop("text", "lang")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_licenses, op4_toxicity, op5_jaccard, op6_decontamination, op7_sharding, op8_anchor_dedup, op9_bpe, op10_quality)}
-ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_licenses": licenses.oracle(), "op5_jaccard": jaccard.ORACLE, "op7_sharding": sharding.ORACLE, "op8_anchor_dedup": substrings.WORDS_ORACLE}
+def op11_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.per_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.per_document(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.per_component(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    op1_warc, op2_suffix_dedup, op3_licenses, op4_toxicity, op5_jaccard, op6_decontamination, op7_sharding, op8_anchor_dedup, op9_bpe, op10_quality, op11_quality_model, op12_merkle, op13_whitening,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_licenses": licenses.oracle(), "op5_jaccard": jaccard.ORACLE, "op7_sharding": sharding.ORACLE, "op8_anchor_dedup": substrings.WORDS_ORACLE, "op12_merkle": merkle.ORACLE}
