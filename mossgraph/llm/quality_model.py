@@ -145,7 +145,7 @@ class Machine:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """label, at and weights (features) of the labelled rows of the training folds."""
+    """label, at and weights (features) of the rows of the training folds with one of ``labels``, a drawn sample that each task gets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -156,7 +156,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(2), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))], ["label", "at", "weights"])
 
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "n_chars")
-    return rows.join(labels, "doc_id").select("text", F.col("n_chars").cast("long").alias("n_chars"), "label").mapInArrow(run, "label double, at array<int>, weights array<float>")
+    return rows.join(F.broadcast(labels), "doc_id").select("text", F.col("n_chars").cast("long").alias("n_chars"), "label").mapInArrow(run, "label double, at array<int>, weights array<float>")
 
 
 class Learner:
