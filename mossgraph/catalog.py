@@ -35,16 +35,22 @@ def query(sql: str | None = None):
     return add
 
 
-_built: dict[tuple, StoredIndex] = {}
+_built: dict[str, dict[str, StoredIndex]] = {}
+
+
+def _titled(docs: DataFrame) -> DataFrame:
+    """The first six words stand in for a title."""
+    return docs.withColumn("title", F.array_join(F.slice(F.split("text", " ", -1), 1, 6), " "))
 
 
 def _index(spark: SparkSession, sf: str) -> StoredIndex:
-    """The stored index of the documents, built once for a session; the first six words stand in for a title."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _built:
-        docs = texts(spark, sf).withColumn("title", F.array_join(F.slice(F.split("text", " ", -1), 1, 6), " "))
-        _built[key] = StoredIndex(spark, _folder(spark), ("title", "text"), "text").add(docs)
-    return _built[key]
+    """The stored index of the documents, built once for a session; those of sessions before are forgotten."""
+    for other in _built.keys() - {spark.sparkContext.applicationId}:
+        del _built[other]
+    held = _built.setdefault(spark.sparkContext.applicationId, {})
+    if sf not in held:
+        held[sf] = StoredIndex(spark, _folder(spark), ("title", "text"), "text").add(_titled(texts(spark, sf))).pinned()
+    return held[sf]
 
 
 REC = """WITH rec AS (SELECT o_orderkey AS id, o_orderpriority AS collection, 'customer_' || o_custkey || '/' || o_orderkey || '.md' AS path,
@@ -132,10 +138,10 @@ def renamed_history(spark, sf):
 _TERMS = "list_filter(list_distinct(regexp_extract_all(lower('{q}'), '[\\p{{L}}\\p{{N}}]+')), lambda x: true)"
 _LEX = r"""WITH tok AS (SELECT doc_id, lang, source, n_chars, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
 len AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1),
-st AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM tok) / (SELECT count(*) FROM documents) AS avgl),
+st AS (SELECT (SELECT count(*) FROM len) AS docs, (SELECT count(*) FROM tok) / (SELECT count(*) FROM len) AS avgl),
 tf AS (SELECT doc_id, lang, source, term, count(*) AS tf FROM tok WHERE term IN ('thation', 'the', 'erinable', 'and', 'tion') GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-sc AS (SELECT doc_id, lang, source, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * n / avgl))) AS score
+sc AS (SELECT doc_id, lang, source, list_reduce(list_sort(list(ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.2 * (1 - 0.75 + 0.75 * n / avgl))))), lambda a, x: a + x) AS score
   FROM tf JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY ALL) """
 
 
@@ -164,8 +170,7 @@ def lexical_page_has_more(spark, sf):
 @query(_LEX + "SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 20")
 def index_topk(spark, sf):
     posted = _index(spark, sf).hits(search.query_terms(QUERY), ["text"])
-    lengths = F.broadcast(spark.read.parquet(f"{_index(spark, sf).folder}/statistics/version=0"))
-    return search.top(search.weighted(posted, lengths), 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return search.top(search.weighted(posted, _index(spark, sf).statistics()), 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 _FIELDS = r"""WITH f AS (SELECT doc_id, lang, source, text, 'text' AS field, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents
@@ -173,7 +178,7 @@ _FIELDS = r"""WITH f AS (SELECT doc_id, lang, source, text, 'text' AS field, reg
 tok AS (SELECT doc_id, field, len(t) AS n, unnest(t) AS term FROM f UNION ALL SELECT doc_id, 'tags', 1, source FROM documents),
 ln AS (SELECT field, doc_id, count(*) AS n FROM tok GROUP BY ALL), st AS (SELECT field, count(*) AS docs, avg(n) AS avgl FROM ln GROUP BY 1),
 tf AS (SELECT doc_id, field, n, term, count(*) AS tf FROM tok WHERE term IN ('src3', 'thation', 'erinable') GROUP BY ALL), df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
-sc AS (SELECT doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * n / avgl))) AS score FROM tf JOIN df USING (field, term) JOIN st USING (field) GROUP BY 1) """
+sc AS (SELECT doc_id, list_reduce(list_sort(list(ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.2 * (1 - 0.75 + 0.75 * n / avgl))))), lambda a, x: a + x) AS score FROM tf JOIN df USING (field, term) JOIN st USING (field) GROUP BY 1) """
 _SHOWN = r""", p AS (SELECT text, doc_id, score, length(regexp_extract(lower(text), '(?s)^(|.*?[^\p{L}\p{N}])(?:src3|thation|erinable)(?:[^\p{L}\p{N}]|$)', 1)) + 1 AS pos,
   regexp_matches(lower(text), '(?s)(^|[^\p{L}\p{N}])(?:src3|thation|erinable)([^\p{L}\p{N}]|$)') AS hit FROM page JOIN documents USING (doc_id)) """
 MULTI = "src3 Thation, erinable"

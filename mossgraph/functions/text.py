@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,13 +129,19 @@ def snippet(content: Column, position: Column, before: int = 40, size: int = 200
     return F.substring(content, F.greatest(F.coalesce(position, F.lit(0)) - before, F.lit(1)), F.lit(size))
 
 
+def is_han(word: str) -> bool:
+    """Whether a term is an ideograph, which is a term of its own."""
+    return bool(regex.fullmatch(r"\p{Han}", word))
+
+
 def highlights(piece: Column, content: Column, words: list[str], size: int = 200) -> Column:
-    """Half-open ranges of the query's terms within a snippet; none where the content is no longer than one."""
-    low, letter = F.lower(piece), F.lit(r"[\p{L}\p{N}]")
+    """Half-open ranges of the query's terms within a snippet; none where the content is no longer than one. An ideograph may stand between other letters."""
+    low, letter = F.lower(piece), F.lit(r"[\p{L}\p{N}&&[^\p{IsHan}]]")
 
     def ranges(word: str) -> Column:
         before = lambda i: F.when(i > 1, F.substring(low, i - 1, F.lit(1))).otherwise("")
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: (F.substring(low, i, F.lit(len(word))) == word) & ~F.rlike(before(i), letter) & ~F.rlike(F.substring(low, i + len(word), F.lit(1)), letter))
+        alone = lambda i: F.lit(True) if is_han(word) else ~F.rlike(before(i), letter) & ~F.rlike(F.substring(low, i + len(word), F.lit(1)), letter)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: (F.substring(low, i, F.lit(len(word))) == word) & alone(i))
         return F.transform(starts, lambda i: F.struct((i - 1).alias("start"), (i - 1 + len(word)).alias("end")))
 
     found = F.concat(*map(ranges, words))

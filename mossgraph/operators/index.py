@@ -1,9 +1,12 @@
 """A stored full-text index: postings pruned by term, statistics, and documents for filters and snippets.
 
-The folder holds segments. A build writes the first, every change one more with the changed documents and the
-ids that it supersedes; rows of an id in earlier segments then no longer count. Postings are partitioned by a
-hash of the term and carry the length of their document's field, so a query reads the partitions of its words
-and joins no lengths. Documents are partitioned by a hash of the id, so a page of hits reads few of them.
+Its tables are ``segments``. A change writes one segment with the changed documents and the ids that it supersedes, and reads,
+of what is there, the lengths of those ids alone. The statistics are sums in the manifest to which every change adds
+its own and from which it takes those of the rows that it supersedes. Segments of similar size are merged by ``compact``, without a rebuild.
+
+Postings are partitioned by a hash of the term and carry the length of their document's field, so a query reads the partitions of
+its words and joins no lengths. Documents are partitioned by a hash of the id, so a page of hits reads few of them.
+How many partitions a segment has grows with its rows.
 """
 
 from __future__ import annotations
@@ -16,85 +19,121 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
-from ..shared import exists
 from .search import query_terms, scores_of
+from .segments import Change, Manifest, Segment, Spec, Tables, part_of, parts_for
 
 ATTRIBUTES = ["id", "collection", "tags", "fm_terms"]
+SPECS = {"postings": Spec("id", "bucket"), "documents": Spec("id", "part")}
 
 
 class StoredIndex:
-    """``fields`` are tokenised columns; tags are terms as a whole and have no length. Null fields have no terms."""
+    """``fields`` are tokenised columns; tags are terms as a whole and have no length. Null fields have no terms.
+
+    ``at`` holds a version still; without it every call sees the newest. ``tables`` can be those of a store that has the index's among others."""
+
+    def __init__(self, spark: SparkSession, folder: str, fields: Sequence[str] = ("title", "content"), content: str = "content", buckets: int | None = None, at: Manifest | None = None, tables: Tables | None = None):
+        self.spark, self.folder, self.fields, self.content, self.buckets, self.at = spark, folder.rstrip("/"), tuple(fields), content, buckets, at
+        self.tables = tables or Tables(spark, folder, SPECS)
 
-    def __init__(self, spark: SparkSession, folder: str, fields: Sequence[str] = ("title", "content"), content: str = "content", buckets: int = 32):
-        self.spark, self.folder, self.fields, self.content, self.buckets = spark, folder.rstrip("/"), tuple(fields), content, buckets
+    def pinned(self) -> StoredIndex:
+        """The index as it is now, whatever is added later."""
+        return self if self.at else StoredIndex(self.spark, self.folder, self.fields, self.content, self.buckets, self.tables.manifest(), self.tables)
+
+    def _manifest(self) -> Manifest:
+        return self.at or self.tables.manifest()
 
     @property
     def segments(self) -> int:
-        n = 0
-        while exists(self.spark, f"{self.folder}/statistics/version={n}/_SUCCESS"):
-            n += 1
-        return n
+        return len(self._manifest().segments.get("documents", []))
+
+    # changes
 
     def add(self, docs: DataFrame, removed: DataFrame | None = None) -> StoredIndex:
-        """Writes a segment: ``docs`` (id, collection, tags, fm_terms and the fields, one row per id) come or take the place of what their ids had; ``removed`` (id) go.
+        """``docs`` (id, collection, tags, fm_terms and the fields, one row per id) come or take the place of what their ids had; ``removed`` (id) go."""
+        staged = self.staged(docs, removed)
+        self.tables.apply(lambda base: self.change(base, staged))
+        return self
 
-        The statistics are written last, and only they make a segment count; a failed one is overwritten by the next attempt."""
-        n = self.segments
-        self._postings_of(docs).hint("rebalance", "bucket").sortWithinPartitions("bucket", "field", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={n}")
+    def staged(self, docs: DataFrame, removed: DataFrame | None = None) -> tuple[Change, DataFrame, DataFrame]:
+        """The segments of a change, written but not committed; its documents, and the ids that it supersedes."""
+        parts = self.buckets or parts_for(docs.count())
         kept = [*ATTRIBUTES, *dict.fromkeys([*self.fields, self.content])]
-        docs.select(*kept, self._part(F.col("id")).alias("part")).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/documents/segment={n}")
-        if n:
-            gone = docs.select("id") if removed is None else docs.select("id").unionByName(removed.select("id"))
-            gone.distinct().write.mode("overwrite").parquet(f"{self.folder}/gone/segment={n}")
-        lengths = self._live(self._read("postings", n + 1), n + 1).groupBy("field", "id").agg(F.sum("tf").alias("n"))
-        lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("n").alias("avg_length")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/statistics/version={n}")
+        lengths = F.struct(*(F.size(terms(F.coalesce(F.col(f), F.lit("")))).alias(f) for f in self.fields), F.coalesce(F.size("tags"), F.lit(0)).alias("tags"))
+        gone = docs.select("id") if removed is None else docs.select("id").unionByName(removed.select("id"))
+        documents = self.tables.stage("documents", docs.select(*kept, lengths.alias("lengths"), part_of(F.col("id"), parts).alias("part")), gone, parts)
+        new = self.tables.read(Manifest(0, documents.segments, documents.schemas), "documents")
+        postings = self.tables.stage("postings", self._postings_of(new).withColumn("bucket", part_of(F.col("term"), parts)).sortWithinPartitions("bucket", "field", "term"), gone, parts)
+        segment = documents.segments["documents"][0]
+        return documents + postings, new, self.spark.read.schema(new.select("id").schema).parquet(f"{self.tables.folder}/documents/{segment.name}/gone")
+
+    def change(self, base: Manifest, staged: tuple[Change, DataFrame, DataFrame]) -> Change:
+        """A staged change against ``base``: its segments, and the sums of lengths with what it brings and without what it supersedes."""
+        change, new, gone = staged
+        had = self._documents(base, lambda rows, s: rows.select("id", "lengths", "part").join(gone.withColumn("part", part_of(F.col("id"), s.parts)), ["part", "id"], "left_semi").drop("part")) if base.version else None
+        before = base.info.get("statistics", {})
+        come, went = self._sums(new), self._sums(had) if had is not None else {}
+        out = {f: [before.get(f, [0, 0])[k] + come[f][k] - went.get(f, [0, 0])[k] for k in (0, 1)] for f in come}
+        return change + Change(info={"statistics": out})
+
+    def _sums(self, docs: DataFrame) -> dict[str, list[int]]:
+        """How many documents have a field, and its length in all of them."""
+        names = [*self.fields, "tags"]
+        found = docs.agg(*(F.struct(F.count_if(F.col("lengths")[f] > 0), F.coalesce(F.sum(F.col("lengths")[f]), F.lit(0))).alias(f"f{k}") for k, f in enumerate(names))).first()
+        return {f: [int(x) for x in found[f"f{k}"]] for k, f in enumerate(names)}
+
+    def compact(self) -> StoredIndex:
+        """Merges segments of similar size; statistics stay as they are."""
+        self.tables.compact("documents", lambda rows, n: rows.withColumn("part", part_of(F.col("id"), n)))
+        self.tables.compact("postings", lambda rows, n: rows.withColumn("bucket", part_of(F.col("term"), n)).sortWithinPartitions("bucket", "field", "term"))
         return self
 
-    def _part(self, id: Column) -> Column:
-        return F.pmod(F.crc32(id.cast("string").cast("binary")), F.lit(self.buckets)).cast("int")
-
     def _postings_of(self, docs: DataFrame) -> DataFrame:
         def of(name: str) -> DataFrame:
             made = docs.select("id", F.lit(name).alias("field"), terms(F.coalesce(F.col(name), F.lit(""))).alias("t"))
             return made.select("id", "field", F.size("t").alias("length"), F.explode("t").alias("term"))
 
         tagged = docs.select("id", F.lit("tags").alias("field"), F.lit(1).alias("length"), F.explode(F.array_distinct("tags")).alias("term"))
-        rows = reduce(DataFrame.unionByName, [*map(of, self.fields), tagged]).groupBy("field", "term", "id", "length").agg(F.count("*").cast("int").alias("tf"))
-        return rows.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int"))
+        return reduce(DataFrame.unionByName, [*map(of, self.fields), tagged]).groupBy("field", "term", "id", "length").agg(F.count("*").cast("int").alias("tf"))
 
-    def _read(self, name: str, segments: int) -> DataFrame:
-        paths = [f"{self.folder}/{name}/segment={k}" for k in range(segments)]
-        return self.spark.read.option("basePath", f"{self.folder}/{name}").parquet(*paths)
+    # reading
 
-    def _live(self, rows: DataFrame, segments: int) -> DataFrame:
-        """Without what a later segment supersedes."""
-        if segments < 2:
-            return rows
-        gone = self.spark.read.option("basePath", f"{self.folder}/gone").parquet(*(f"{self.folder}/gone/segment={k}" for k in range(1, segments)))
-        last = gone.groupBy(F.col("id").alias("_id")).agg(F.max("segment").alias("_segment"))
-        return rows.join(last, (F.col("id") == F.col("_id")) & (F.col("segment") < F.col("_segment")), "left_anti")
+    def _documents(self, base: Manifest, each=None) -> DataFrame | None:
+        return self.tables.read(base, "documents", each)
 
     def documents(self) -> DataFrame:
-        n = self.segments
-        return self._live(self._read("documents", n), n)
+        return self._documents(self._manifest()).drop("lengths", "part")
+
+    def statistics(self) -> DataFrame:
+        """field, docs (those that have it) and avg_length; a row per field that any document has."""
+        known = {f: s for f, s in self._manifest().info.get("statistics", {}).items() if s[0]}
+        rows = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(n).cast("long").alias("docs"), F.lit(total / n).alias("avg_length")) for f, (n, total) in known.items())).cast("array<struct<field:string,docs:bigint,avg_length:double>>")
+        return self.spark.range(1).select(F.inline(rows))
 
     def hits(self, words: Sequence[str], fields: Sequence[str] | None = None) -> DataFrame:
         """field, term, id, length and tf of these terms."""
-        n = self.segments
-        buckets = sorted({zlib.crc32(w.encode()) % self.buckets for w in words})
-        rows = self._read("postings", n).where(F.col("bucket").isin(*buckets) & F.col("term").isin(*words)) if words else self._read("postings", n).limit(0)
-        return self._live(rows if fields is None else rows.where(F.col("field").isin(*fields)), n)
+
+        def each(rows: DataFrame, s: Segment) -> DataFrame:
+            if not words:
+                return rows.limit(0)
+            found = rows.where(F.col("bucket").isin(*sorted({zlib.crc32(w.encode()) % s.parts for w in words})) & F.col("term").isin(*words))
+            return found if fields is None else found.where(F.col("field").isin(*fields))
+
+        return self.tables.read(self._manifest(), "postings", each).drop("bucket")
 
     def scores(self, query: str, keep: Column | None = None, fields: Sequence[str] | None = None) -> DataFrame:
         """id and score of what has a term of the query; fields add up. Document frequencies don't depend on ``keep``."""
-        rows = self.hits(query_terms(query), fields)
+        index = self.pinned()
+        rows = index.hits(query_terms(query), fields)
         df = rows.groupBy("field", "term").agg(F.count("*").alias("df"))  # a row per word and field at most
-        statistics = self.spark.read.parquet(f"{self.folder}/statistics/version={self.segments - 1}")  # a row per field
         if keep is not None:
-            rows = rows.join(self.documents().where(keep).select("id"), "id", "left_semi")
-        return scores_of(rows, df, statistics)
+            rows = rows.join(index.documents().where(keep).select("id"), "id", "left_semi")
+        return scores_of(rows, df, index.statistics())
 
     def contents_of(self, page: DataFrame) -> DataFrame:
         """``page`` (id, ...), which is a request's page and so small, with ``_content``; only the partitions of its ids are read."""
-        small = F.broadcast(page.withColumn("part", self._part(F.col("id"))))
-        return self.documents().select("id", "part", F.col(self.content).alias("_content")).join(small, ["part", "id"], "right").drop("part")
+
+        def each(rows: DataFrame, s: Segment) -> DataFrame:
+            small = F.broadcast(page.select("id", part_of(F.col("id"), s.parts).alias("part")))
+            return rows.select("id", "part", F.col(self.content).alias("_content")).join(small, ["part", "id"], "left_semi").drop("part")
+
+        return self._documents(self._manifest(), each).join(F.broadcast(page), "id", "right")

@@ -84,7 +84,7 @@ def query_terms(query: str) -> list[str]:
 
 
 def scan_scores(docs: DataFrame, query: str, text: str = "text", id: str = "id", keep: Column | None = None) -> DataFrame:
-    """``docs`` that have a term of the query, with score, over one text column and without an index.
+    """``docs`` that have a term of the query, with score, over one text column and without an index. Texts without terms don't count in the statistics, as in an index.
 
     Two scans: one aggregates df and lengths to a single row, which every task of the other gets."""
     words = query_terms(query)
@@ -93,7 +93,7 @@ def scan_scores(docs: DataFrame, query: str, text: str = "text", id: str = "id",
     held = terms(F.coalesce(F.col(text), F.lit("")))
     count = lambda word: F.size(F.filter("_t", lambda t: t == word))
     counted = docs.withColumn("_t", held).withColumn("_n", F.size("_t")).withColumns({f"_{i}": count(w) for i, w in enumerate(words)}).drop("_t")
-    stats = counted.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *(F.count_if(F.col(f"_{i}") > 0).alias(f"_df{i}") for i in range(len(words))))
+    stats = counted.agg(F.count_if(F.col("_n") > 0).alias("_docs"), (F.sum("_n") / F.nullif(F.count_if(F.col("_n") > 0), F.lit(0))).alias("_avg"), *(F.count_if(F.col(f"_{i}") > 0).alias(f"_df{i}") for i in range(len(words))))
     rows = counted.where(reduce(Column.__or__, (F.col(f"_{i}") > 0 for i in range(len(words)))))
     rows = (rows.where(keep) if keep is not None else rows).join(F.broadcast(stats))
     score = reduce(Column.__add__, (F.when(F.col(f"_{i}") > 0, _idf(F.col(f"_df{i}"), F.col("_docs")) * _weight(F.col(f"_{i}"), F.col("_n"), F.col("_avg"))).otherwise(0.0) for i in range(len(words))))
@@ -114,16 +114,6 @@ def scores_of(hits: DataFrame, df: DataFrame, statistics: DataFrame, id: str = "
     return parts.select(id, F.aggregate("_parts", F.lit(0.0), lambda s, x: s + x).alias("score"))
 
 
-def index_scores(posted: DataFrame, query: str, id: str = "id") -> DataFrame:
-    """id and score from an index; fields add up."""
-    words = query_terms(query)
-    lengths = field_lengths(posted, id)
-    hits = posted.where(F.col("term").isin(*words)) if words else posted.limit(0)
-    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
-    rows = hits.join(df, ["field", "term"]).join(lengths, ["field", id]).join(F.broadcast(corpus_statistics(lengths)), "field")
-    return rows.groupBy(id).agg(F.sum(_idf(F.col("df"), F.col("docs")) * _weight(F.col("tf"), F.col("length"), F.col("avg_length"))).alias("score"))
-
-
 def top(scored: DataFrame, limit: int, offset: int = 0, id: str = "id") -> DataFrame:
     rows = scored.orderBy(F.desc("score"), id)
     return (rows.offset(offset) if offset else rows).limit(limit)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import highlights, snippet
+from ..functions.text import highlights, is_han, snippet
 from ..model import MAX_OFFSET, MAX_PAGE, MAX_QUERY_BYTES, MAX_TAGS, InvalidRequest, bounded
 from ..operators import search
 from ..operators.index import StoredIndex
@@ -63,9 +63,10 @@ def plan(request: SearchRequest, docs: DataFrame, vectors: DataFrame | None = No
 
 def _match(content: Column, words: Sequence[str]) -> Column:
     """Where the first of the words stands, 0 if none does; an ideograph needs no other letter's end."""
-    han = [w for w in words if "\u3400" <= w[0] <= "\u9fff"]
+    han = [w for w in words if is_han(w)]
     runs = [w for w in words if w not in han]
-    parts = [rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(runs)})(?![\p{{L}}\p{{N}}])"] if runs else []
+    letter = r"[\p{L}\p{N}&&[^\p{IsHan}]]"
+    parts = [rf"(?<!{letter})(?:{'|'.join(runs)})(?!{letter})"] if runs else []
     return F.regexp_instr(F.lower(content), F.lit("|".join([*parts, *han])))
 
 
@@ -75,7 +76,7 @@ def answer(request: SearchRequest, index: StoredIndex, vectors: DataFrame | None
     Statistics, filters and the fallback of a hybrid search are those of ``plan``; title, content and tags are searched.
     Pending documents (id, collection, tags, fm_terms, deleted and the content) hide what is indexed under their ids;
     those that have the query as a substring come first, with the head of their content."""
-    filters = request.filters.within(scope)
+    index, filters = index.pinned(), request.filters.within(scope)
     keep = filters.predicate() if filters else None
     if not request.query.strip() and request.vector is None:
         rows = index.documents().where(keep) if request.filters else index.documents().limit(0)
