@@ -24,6 +24,17 @@ REV = ["doc_id", "revision", "author", "message", "content_hash", "content", "cr
 OPS = ["id", "document_id", "revision", "content_hash", "kind", "created_at", "attempts", "dead_lettered"]
 
 
+@dataclass(frozen=True)
+class Delta:
+    """What a change does to a state: documents that come or take the place of their ids' rows, ids that go, and ids that move (old_id, new_id)."""
+
+    changed: DataFrame
+    kind: str
+    message: str
+    gone: DataFrame | None = None
+    moves: DataFrame | None = None
+
+
 @dataclass(frozen=True)
 class State:
     documents: DataFrame
@@ -31,6 +42,7 @@ class State:
     edges: DataFrame
     outbox: DataFrame
     conflicts: DataFrame | None = None  #: id, reason
+    delta: Delta | None = None  #: what made it of the state before
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -57,7 +69,7 @@ def _applied(state: State, changed: DataFrame, kind: str, message: str, conflict
     away = changed.select("id") if gone is None else changed.select("id").unionByName(gone.select("id"))
     documents = state.documents.join(away, "id", "left_anti").select(*DOC).unionByName(changed.select(*DOC))
     outbox = state.outbox.join(_operation(changed, kind).select("id"), "id", "left_anti").select(*OPS).unionByName(_operation(changed, kind))
-    return State(documents, append_history(state.revisions, _revision(changed, message)), state.edges, outbox, conflicts)
+    return State(documents, append_history(state.revisions, _revision(changed, message)), state.edges, outbox, conflicts, Delta(changed, kind, message, gone))
 
 
 def append_history(revisions: DataFrame, new: DataFrame) -> DataFrame:
@@ -118,7 +130,7 @@ def rename(state: State, moves: DataFrame, now: Column) -> State:
     edges = moved(state.edges, good, ["src", "dst"]).dropDuplicates(["src", "dst", "rel"])
     gone = _operation(live.join(good.select(F.col("old_id").alias("id")), "id", "left_semi").select(*DOC), "DELETE")
     out = _applied(replace(state, revisions=revisions), rows, "UPSERT", "rename", conflicts, good.select(F.col("old_id").alias("id")))
-    return replace(out, edges=edges, outbox=out.outbox.unionByName(gone.join(out.outbox.select("id"), "id", "left_anti")))
+    return replace(out, edges=edges, outbox=out.outbox.unionByName(gone.join(out.outbox.select("id"), "id", "left_anti")), delta=replace(out.delta, moves=good))
 
 
 def moved(rows: DataFrame, moves: DataFrame, columns: list[str]) -> DataFrame:
@@ -138,14 +150,14 @@ def relink(state: State, moves: DataFrame, now: Column) -> State:
     return _applied(state, rows, "UPSERT", "relink", rows.select("id", F.lit("").alias("reason")).limit(0))
 
 
-def deduplicated_requests(requests: DataFrame, ttl_hours: int = 24, capacity: int | None = 1000, ties: Sequence[str] = ("payload_hash",)) -> DataFrame:
+def deduplicated_requests(requests: DataFrame, ttl_hours: int = 24, capacity: int | None = None, ties: Sequence[str] = ("payload_hash",)) -> DataFrame:
     """requests (key, payload_hash, at, completed) with their outcome: reserve, replay, conflict or in-flight.
 
     A reservation holds its key until it is older than its time to live; the next request then reserves anew. A store
     that holds ``capacity`` keys drops its oldest completed one for a new key, and refuses (conflict) where all are in
     flight. Requests of one time come in the order of ``ties`` and key. With a capacity each outcome depends on all before
-    it, whatever the key, so one task reads all requests in order; it holds ``capacity`` keys. Without one keys are
-    dealt over tasks, each of which reads its keys one after the other."""
+    it, whatever the key, so one task reads all requests in order; it holds ``capacity`` keys, 1,000 in a small store. Without one, which is
+    for tables of any size, keys are dealt over tasks, each of which reads its keys one after the other."""
     schema = T.StructType([*requests.schema, T.StructField("outcome", T.StringType())])
     ttl = ttl_hours * 3_600_000_000
 
