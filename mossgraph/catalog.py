@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,14 +11,16 @@ from pyspark.sql import functions as F
 from .functions import frontmatter, markdown, text
 from .model import DEFAULT_COLLECTION
 from .operators import changes, graph, listing, metrics, rebuild, search, store, sync
+from .operators.ann import VectorIndex, recall
 from .operators.index import StoredIndex
 from .operators.search import Filters
+from .operators.stored import Store
 from .plans.search import SearchRequest, answer, plan, total
 from .shared import shared_folder as _folder
 from .sources import blobs
 from .shared import written
 from .sources.adapters import history, links, operations, records, table, texts, vectors
-from .streaming import drain
+from .streaming import drain, projection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +41,19 @@ def query(sql: str | None = None):
 _built: dict[str, dict[str, StoredIndex]] = {}
 
 
+_vectors_built: dict[str, dict[str, VectorIndex]] = {}
+
+
+def _vector_index(spark: SparkSession, sf: str) -> VectorIndex:
+    """The vector index of the embeddings, built once for a session."""
+    for other in _vectors_built.keys() - {spark.sparkContext.applicationId}:
+        del _vectors_built[other]
+    held = _vectors_built.setdefault(spark.sparkContext.applicationId, {})
+    if sf not in held:
+        held[sf] = VectorIndex(spark, _folder(spark)).build(vectors(spark, sf))
+    return held[sf]
+
+
 def _titled(docs: DataFrame) -> DataFrame:
     """The first six words stand in for a title."""
     return docs.withColumn("title", F.array_join(F.slice(F.split("text", " ", -1), 1, 6), " "))
@@ -223,6 +239,25 @@ def overlay_total(spark, sf):
     return total(_index(spark, sf), pending=t.where("collection = 'fr'").withColumn("deleted", F.lit(True)).unionByName(new))
 
 
+@query(_LEX.replace("FROM documents)", "FROM documents WHERE lang <> 'fr')") + "SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 50")
+def index_after_changes(spark, sf):
+    """All documents, Spanish ones with other texts; these are corrected by three changes and French ones go, then segments are merged."""
+    d = _titled(texts(spark, sf))
+    index = StoredIndex(spark, _folder(spark), ("title", "text"), "text")
+    index.add(d.withColumn("text", F.when(F.col("collection") == "es", F.concat(F.lit("the erinable and "), "text")).otherwise(F.col("text"))))
+    for k in range(3):
+        index.add(d.where("collection = 'es'").where(F.pmod(F.xxhash64("id"), F.lit(3)) == k))
+    index.add(d.limit(0), d.where("collection = 'fr'").select("id")).compact()
+    return search.top(index.scores(QUERY, fields=["text"]), 50).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(r"SELECT field, count(*) AS docs, sum(n) AS total FROM (SELECT doc_id, 'text' AS field, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS n FROM documents UNION ALL SELECT doc_id, 'tags', 1 FROM documents) WHERE n > 0 GROUP BY 1")
+def index_build(spark, sf):
+    """An index of its own, built anew: its statistics."""
+    made = StoredIndex(spark, _folder(spark), ("text",), "text").add(texts(spark, sf)).statistics()
+    return made.select("field", "docs", F.round(F.col("docs") * F.col("avg_length")).cast("long").alias("total"))
+
+
 @query(r"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY 1")
 def term_statistics(spark, sf):
     return search.document_frequencies(search.postings(texts(spark, sf), ["text"], tags=None)).select("term", "df")
@@ -252,6 +287,40 @@ def vector_filtered_topk(spark, sf):
     return search.top(search.vector_scores_like(vectors(spark, sf), 0, keep=F.col("collection").isin(1, 2)), 10).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+def _asked(spark: SparkSession, sf: str) -> list[float]:
+    """The vector of a request."""
+    return [float(x) for x in vectors(spark, sf).where("id = 0").first()["vector"]]
+
+
+@query(_VEC + "SELECT vec_id, round(score, 6) AS score FROM v ORDER BY v.score DESC, vec_id LIMIT 10")
+def ann_topk(spark, sf):
+    """From the stored vector index."""
+    return _vector_index(spark, sf).exact([_asked(spark, sf)], 10, F.col("id") != 0).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query(_VEC + "SELECT vec_id, round(score, 6) AS score FROM v WHERE label IN (1, 2) ORDER BY v.score DESC, vec_id LIMIT 10")
+def ann_filtered_topk(spark, sf):
+    return _vector_index(spark, sf).exact([_asked(spark, sf)], 10, (F.col("id") != 0) & F.col("collection").isin(1, 2)).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT count(*) AS queries, true AS reached FROM embeddings")
+def ann_recall(spark, sf):
+    """All embeddings as queries, in blocks: whether the cells that the build chose to probe hold nine tenths of the true neighbours at least."""
+    index, asked = _vector_index(spark, sf), vectors(spark, sf).select("id", "vector")
+    truth = written(index.in_blocks(asked, lambda q: index.exact(q, 10)))
+    return recall(index.in_blocks(asked, lambda q: index.near(q, 10)), truth).select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query(_VEC + "SELECT vec_id, round(score, 6) AS score FROM v WHERE label <> 3 ORDER BY v.score DESC, vec_id LIMIT 10")
+def ann_after_changes(spark, sf):
+    """Cells of the lower labels; the others come, half of them twice, and a label goes."""
+    v = vectors(spark, sf)
+    index = VectorIndex(spark, _folder(spark)).build(v.where("collection < 5"))
+    wrong = v.where("collection >= 5 AND id % 2 = 0").withColumn("vector", F.transform("vector", lambda x: -x))
+    index.add(wrong).add(v.where("collection >= 5"), v.where("collection = 3").select("id")).compact()
+    return index.exact([_asked(spark, sf)], 10, F.col("id") != 0).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 @query(_LEX + """, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
 ve AS (SELECT vec_id AS doc_id, (1 + list_cosine_similarity(embedding::DOUBLE[], q.v)) / 2 AS score FROM embeddings, q WHERE vec_id <> 0),
 r AS (SELECT doc_id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS part, row_number() OVER (ORDER BY score DESC, doc_id) AS n FROM sc
@@ -478,6 +547,22 @@ def rename_documents(spark, sf):
     return store.rename(s, moves, F.expr(NOW)).documents.select("id", "path", "deleted")
 
 
+@query(_OREC + """, w AS (SELECT *, collection = '1-URGENT' AS u, collection = '5-LOW' AND NOT deleted AS l, collection = '2-HIGH' AND NOT deleted AS h FROM d)
+SELECT CASE WHEN h THEN 'moved/' || k ELSE id END AS id, CASE WHEN u THEN content || '!' ELSE content END AS content, (deleted AND NOT u) OR l AS deleted, CASE WHEN u OR l OR h THEN 2 ELSE 1 END AS revisions, CASE WHEN u OR l OR h THEN 1 ELSE 0 END AS operations FROM w""")
+def stored_writes(spark, sf):
+    """Import, upserts, tombstones and renames, each committed as a version of the store, and read back from it."""
+    made = Store(spark, _folder(spark))
+    made.load(_state(spark, sf))
+    at, of = F.expr(NOW), lambda s, c: s.documents.where(c)
+    made.commit(lambda s: store.upsert(s, of(s, "collection = '1-URGENT'").select("id", "collection", F.concat("content", F.lit("!")).alias("content")), at))
+    made.commit(lambda s: store.delete(s, of(s, "collection = '5-LOW'").select("id"), at))
+    made.commit(lambda s: store.rename(s, of(s, "collection = '2-HIGH' AND NOT deleted").select(F.col("id").alias("old_id"), F.concat(F.lit("moved/"), F.substring("id", 2, 20)).alias("new_id")), at))
+    s = made.state()
+    counts = lambda rows, key, name: rows.groupBy(F.col(key).alias("id")).agg(F.count("*").cast("int").alias(name))
+    rows = s.documents.select("id", "content", "deleted").join(counts(s.revisions, "doc_id", "revisions"), "id", "left").join(counts(s.outbox, "document_id", "operations"), "id", "left")
+    return rows.fillna(0, ["revisions", "operations"])
+
+
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_per_document(spark, sf):
     return store.latest_per_key(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
@@ -777,3 +862,50 @@ def stream_latest_by_key(spark, sf):
     out = _folder(spark)
     drain.drained(drain.latest_by_key(stream, "user_id", "event_id", "event_type"), f"{out}/rows", f"{out}/state", "update").awaitTermination()
     return drain.updated(spark, f"{out}/rows", "user_id long, event_type string, event_id long", ["user_id"])
+
+
+AT = datetime(2030, 1, 1)
+_OPERATION = "id string, document_id string, content_hash string, kind string, created_at timestamp, attempts int, dead_lettered boolean"
+
+
+def _outbox(folder: str, steps: list[DataFrame]) -> None:
+    """Operations (document_id, content_hash, kind), a file of a stream for each of ``steps``."""
+    for n, rows in enumerate(steps):
+        made = rows.select(F.concat(F.lit(f"{n}|"), "document_id").alias("id"), "document_id", "content_hash", "kind", F.timestamp_seconds(F.lit(n)).alias("created_at"), F.lit(0).alias("attempts"), F.lit(False).alias("dead_lettered"))
+        made.write.parquet(f"{folder}/{n}")
+
+
+def _applied(spark: SparkSession, made: projection.Projection, documents: DataFrame, steps: list[DataFrame]) -> None:
+    """Drains the steps in order, a batch each or several in one, and then the first once more, which changes nothing."""
+    folder = _folder(spark)
+    for n, rows in enumerate(steps):
+        _outbox(f"{folder}/in/{n}", [rows])
+        stream = spark.readStream.schema(_OPERATION).parquet(f"{folder}/in/*/*")
+        projection.applied(stream, made, lambda: documents, f"{folder}/state", lambda: AT).awaitTermination()
+    if made.apply(spark.read.schema(_OPERATION).parquet(f"{folder}/in/0/0"), documents, "outbox", 0, AT):
+        raise AssertionError("a batch was applied twice")
+
+
+@query(_LEX.replace("FROM documents)", "FROM documents WHERE lang <> 'fr')") + "SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, doc_id::VARCHAR LIMIT 50")
+def stream_applied_index(spark, sf):
+    """Operations drained into an index that has French documents, which go; those on Spanish ones are stale at first and come again."""
+    d = _titled(texts(spark, sf)).withColumns({"id": F.col("id").cast("string"), "content_hash": text.sha256(F.col("text")), "deleted": F.col("collection") == "fr"})
+    none = lambda rows: rows.withColumns({"links": F.expr("CAST(array() AS array<struct<ordinal:int,target:string,label:string,embed:boolean>>)"), "refs": F.expr("CAST(array() AS array<struct<ordinal:int,rel:string,target:string>>)"), "author": F.lit(None).cast("string")})
+    made = projection.Projection(spark, _folder(spark), ("title", "text"), "text", none, "text IS NOT NULL")
+    made.index.add(d.where("deleted"))
+    op = lambda rows, kind, hash="content_hash": rows.select(F.col("id").alias("document_id"), F.expr(hash).alias("content_hash"), F.lit(kind).alias("kind"))
+    first = op(d, "UPSERT", "CASE WHEN collection = 'es' THEN 'stale' ELSE content_hash END")
+    _applied(spark, made, d, [first, op(d.where("collection = 'es'"), "UPSERT").unionByName(op(d.where("deleted"), "DELETE"))])
+    return search.top(made.index.scores(QUERY, fields=["text"]), 50).select(F.col("id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(ORACLES["derive_edges_from_text"])
+def stream_applied_edges(spark, sf):
+    """Notes are drained before the parts that they link to; when those come, the notes' edges are repaired by the stored references."""
+    plain = lambda rows: rows.withColumns({"collection": F.lit(DEFAULT_COLLECTION), "deleted": F.lit(False), "content_hash": text.sha256(F.col("content"))})
+    notes, parts = plain(_notes(spark, sf)), plain(_parts(spark, sf).withColumn("content", F.lit("A part.")))
+    documents = written(notes.unionByName(parts))
+    op = lambda rows: rows.select(F.col("id").alias("document_id"), "content_hash", F.lit("UPSERT").alias("kind"))
+    made = projection.Projection(spark, _folder(spark))
+    _applied(spark, made, documents, [op(notes), op(parts)])
+    return made.edges().select("src", "dst", "rel")
