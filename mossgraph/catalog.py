@@ -21,6 +21,7 @@ from .sources import blobs
 from .shared import written
 from .sources.adapters import history, links, operations, records, table, texts, vectors
 from .streaming import drain, projection
+from .streaming.watcher import watched
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -909,3 +910,25 @@ def stream_applied_edges(spark, sf):
     made = projection.Projection(spark, _folder(spark))
     _applied(spark, made, documents, [op(notes), op(parts)])
     return made.edges().select("src", "dst", "rel")
+
+
+@query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r(user_id, n, ts) AS (SELECT user_id, n, ts FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.n, e.ts FROM r JOIN e ON e.user_id = r.user_id AND e.n = (SELECT min(x.n) FROM e AS x WHERE x.user_id = r.user_id AND x.ts >= r.ts + INTERVAL 6 HOUR)),
+h AS (SELECT e.user_id, e.event_id, e.event_type, e.n, max(r.n) AS held FROM e JOIN r ON r.user_id = e.user_id AND r.n <= e.n GROUP BY ALL)
+SELECT '/v/' || h.user_id AS path, arg_max(h.event_type, h.n) AS kind, arg_max(h.event_id, h.n) AS seq, epoch_us(any_value(r.ts) + INTERVAL 6 HOUR) AS due FROM h JOIN r ON r.user_id = h.user_id AND r.n = h.held GROUP BY h.user_id, h.held""")
+def stream_watcher(spark, sf):
+    """Events as those of files, six hours of a path debounced to one; then the clock goes on."""
+    folder, provider = _folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    schema = "root string, path string, kind string, at timestamp, seq long"
+    e = table(spark, sf, "events").select(F.lit("/v").alias("root"), F.concat(F.lit("/v/"), "user_id").alias("path"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
+    tick = e.agg((F.max("at") + F.expr("INTERVAL 1 DAY")).alias("at")).select(F.lit("/v").alias("root"), F.lit(None).cast("string").alias("path"), F.lit("TICK").alias("kind"), "at", F.lit(0).cast("long").alias("seq"))
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for n, rows in enumerate([e, tick]):
+            rows.write.parquet(f"{folder}/in/{n}")
+            drain.drained(watched(spark.readStream.schema(schema).parquet(f"{folder}/in/*"), 6 * 3600, buckets=16), f"{folder}/out", f"{folder}/state").awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/out").select("path", "kind", "seq", F.unix_micros("due").alias("due"))

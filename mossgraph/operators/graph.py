@@ -36,8 +36,7 @@ def derived(parsed: DataFrame, documents: DataFrame) -> DataFrame:
     mentioned = F.when(F.coalesce(F.col("author"), F.lit("")) != "", F.array(made(F.lit(2_000_000), F.lit("mentions"), F.concat(F.lit("author/"), F.coalesce("author", F.lit(""))), none, False)))
     drawn = parsed.select(F.col("id").alias("src"), F.explode(F.concat(linked, embedded, stated, F.coalesce(mentioned, F.filter(stated, lambda x: F.lit(False))))).alias("e")).select("src", "e.*")  # notes are parsed once
     found = resolved(drawn, documents).withColumn("dst", F.when(F.col("link"), F.col("dst")).otherwise(F.col("target"))).where("dst IS NOT NULL")
-    first = F.row_number().over(Window.partitionBy(*EDGE_KEY).orderBy("ordinal"))
-    return found.withColumn("_n", first).where("_n = 1").select("src", "dst", "rel", "props")
+    return found.groupBy(*EDGE_KEY).agg(F.min_by("props", "ordinal").alias("props"))
 
 
 def unresolved(parsed: DataFrame, documents: DataFrame) -> DataFrame:
