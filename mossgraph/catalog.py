@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions import frontmatter, markdown, text
 from .model import DEFAULT_COLLECTION
-from .operators import changes, graph, listing, metrics, rebuild, search, store, sync
+from .operators import changes, graph, listing, metrics, rebuild, replicas, search, store, sync
 from .operators.ann import VectorIndex, recall
+from .operators.embedding import EmbeddingPipeline
 from .operators.index import StoredIndex
 from .operators.search import Filters
 from .operators.stored import Store
@@ -741,6 +742,45 @@ def sanitize_plan(spark, sf):
     return sync.import_plan(a.unionByName(b))
 
 
+def _transferred(spark, sf, unreadable: str) -> tuple[Store, replicas.Transfer]:
+    """The remote side moved into a store of the local one."""
+
+    def state(side: DataFrame, content) -> store.State:
+        d = side.withColumns({"content": content, "revision": F.concat(F.lit("rev-"), "content_hash")}).select(*store.DOC)
+        revisions = d.select(F.col("id").alias("doc_id"), "revision", F.lit(None).cast("string").alias("author"), F.lit("init").alias("message"), "content_hash", "content", F.col("updated_at").alias("created_at"))
+        edges = d.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit("links-to").alias("rel"))
+        return store.State(d, revisions, edges, store._operation(d, "UPSERT").limit(0))
+
+    local, remote = _replicas(spark, sf)
+    made = Store(spark, _folder(spark))
+    made.load(state(local, F.col("content_hash")))
+    held = state(written(remote), F.expr(f"CASE WHEN NOT ({unreadable}) THEN content_hash END"))
+    return made, replicas.transfer(held, made, size=max(1000, remote.count() // 4))
+
+
+@query(ORACLES["sync_converge"])
+def sync_batches(spark, sf):
+    """What differs, found by digests, moves in batches; the store that it has moved into."""
+    return _transferred(spark, sf, "false")[0].state().documents.select("id", "content_hash", "deleted")
+
+
+@query(_SIDES + "SELECT id, 'documents' AS stage, 'stale' AS reason FROM x WHERE NOT same AND lh IS NOT NULL AND rh IS NOT NULL AND winner = 'local' UNION ALL SELECT id, 'read', 'unreadable' FROM x WHERE winner = 'remote' AND rh = 'Z'")
+def transfer_failures(spark, sf):
+    """Costly orders of the remote side cannot be read; the others move all the same."""
+    return _transferred(spark, sf, "content_hash = 'Z'")[1].failures
+
+
+@query("WITH c AS (SELECT DISTINCT sha256(text) AS content_hash, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS t FROM documents), u AS (SELECT content_hash, unnest(range(len(t))) AS chunk, unnest(t) AS line FROM c) SELECT content_hash, chunk::INT AS chunk, length(line)::DOUBLE AS letters, (length(line) - length(replace(line, ' ', '')))::DOUBLE AS blanks FROM u")
+def embedded_chunks(spark, sf):
+    """Lines as chunks, embedded in two shares; a second run embeds nothing."""
+    docs = table(spark, sf, "documents").select(F.sha2("text", 256).alias("content_hash"), F.col("text").alias("content"))
+    made = EmbeddingPipeline(spark, _folder(spark), "counts", 2, lambda ts: [[len(t), t.count(" ")] for t in ts], lambda c: F.filter(F.split(c, "\n"), lambda x: x != ""))
+    made.backfill(docs, shares=2)
+    if made.backfill(docs):
+        raise AssertionError("a content was embedded twice")
+    return made.vectors().select("content_hash", "chunk", F.col("vector")[0].alias("letters"), F.col("vector")[1].alias("blanks"))
+
+
 # metrics
 
 

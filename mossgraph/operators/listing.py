@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import cursor as encoded
 from ..model import MAX_BATCH, MAX_DELETED_PAGE, MAX_OFFSET, MAX_PAGE, InvalidRequest, bounded
 
 
@@ -21,6 +22,11 @@ class Page:
     limit: int
     more: DataFrame | None = None  #: one row: has_more
 
+    def next_cursor(self, id: str = "id") -> DataFrame:
+        """One row: the cursor of the last item returned, null unless more follow."""
+        last = self.items.agg(F.max(id).cast("string").alias("_last"))
+        return last.join(F.broadcast(self.more)).select(F.when(F.col("has_more"), encoded(F.col("_last"))).alias("next_cursor")) if self.more is not None else last.select(F.lit(None).cast("string").alias("next_cursor"))
+
     @property
     def total(self) -> DataFrame:
         return self.matching.agg(F.count("*").alias("total"))

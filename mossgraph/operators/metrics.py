@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
 from .listing import under
 
 
@@ -45,26 +46,35 @@ def freshness(pending: Column, dead: Column, failing: Column) -> Column:
     return F.when((dead > 0) | failing, "DEGRADED").when(pending > 0, "STALE").otherwise("FRESH")
 
 
-def nearest_ranks(rows: DataFrame, value: str, percents: Sequence[int] = (50, 95), by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+def nearest_ranks(rows: DataFrame, value: str, percents: Sequence[int] = (50, 95), by: Sequence[str] = (), buckets: int = 256, most: int = 1 << 20) -> DataFrame:
     """mean, nearest-rank percentiles and max: the value at rank ceil(p% of n), exactly.
 
-    Approximate quantiles cut each group's values into buckets, whose counts tell which bucket holds a rank; only
-    the distinct values of that one are then put in order. So no task sorts a whole group."""
-    by = list(by)
-    held = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    keys = by or ["_g"]
-    held = held if by else held.withColumn("_g", F.lit(0))
-    shape = held.groupBy(*keys).agg(F.percentile_approx("_v", [k / buckets for k in range(1, buckets)], 10_000).alias("_cuts"), F.count("*").alias("_n"), F.avg("_v").alias("mean"), F.max("_v").alias("max"))
-    dealt = held.join(shape.select(*keys, "_cuts"), keys).select(*keys, "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b"))
-    counts = dealt.groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_c"))  # a row per distinct value
-    below = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(below), F.lit(0)))  # ``buckets`` rows of a group
-    ranks = shape.select(*keys, F.explode(F.array(*(F.struct(F.lit(p).alias("_p"), F.greatest(F.lit(1), F.ceil(F.col("_n") * p / 100)).alias("_r")) for p in percents))).alias("x")).select(*keys, "x.*")
-    wanted = sizes.join(ranks, keys).where("_before < _r AND _r <= _before + _s").select(*keys, "_b", "_p", (F.col("_r") - F.col("_before")).alias("_r"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
-    ordered = counts.join(wanted.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi").withColumn("_upto", upto)
-    found = ordered.join(wanted, [*keys, "_b"]).where("_r > _upto - _c AND _r <= _upto").groupBy(*keys).agg(*(F.max(F.when(F.col("_p") == p, F.col("_v"))).alias(f"p{p}") for p in percents))
-    return shape.join(found, keys).select(*by, "mean", *(f"p{p}" for p in percents), "max")
+    Values are counted before they are shuffled. A group of at most ``most`` different ones is put in order by one task. For
+    others approximate quantiles cut the values into buckets, whose counts tell which bucket holds a rank; only the
+    values of that one are then put in order."""
+    keys = list(by) or ["_g"]
+    held = rows.where(F.col(value).isNotNull()).select(*by, *([] if by else [F.lit(0).alias("_g")]), F.col(value).alias("_v"))
+    counts = written(held.groupBy(*keys, "_v").agg(F.count("*").alias("_c")))  # a row per different value
+    shape = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.max("_v").alias("max"), F.count("*").alias("_d"))
+    ranks = shape.select(*keys, "_d", F.explode(F.array(*(F.struct(F.lit(p).alias("_p"), F.greatest(F.lit(1), F.ceil(F.col("_n") * p / 100)).alias("_r")) for p in percents))).alias("x")).select(*keys, "_d", "x.*")
+
+    def found(values: DataFrame, wanted: DataFrame, within: list[str]) -> DataFrame:
+        upto = values.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*within).orderBy("_v")))
+        return upto.join(wanted, within).where("_r > _upto - _c AND _r <= _upto").select(*keys, "_p", "_v")
+
+    sized = shape.select(*keys, "_d")
+    out = found(counts.join(sized.where(F.col("_d") <= most).drop("_d"), keys, "left_semi"), ranks.where(F.col("_d") <= most).drop("_d"), keys)
+    large = sized.where(F.col("_d") > most).drop("_d")
+    if not large.isEmpty():
+        theirs = counts.join(large, keys, "left_semi")
+        cuts = theirs.groupBy(*keys).agg(F.percentile_approx("_v", [k / buckets for k in range(1, buckets)], 10_000).alias("_cuts"))
+        dealt = theirs.join(cuts, keys).select(*keys, "_v", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b"))
+        below = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = dealt.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(below), F.lit(0)))  # ``buckets`` rows of a group
+        wanted = sizes.join(ranks, keys).where("_before < _r AND _r <= _before + _s").select(*keys, "_b", "_p", (F.col("_r") - F.col("_before")).alias("_r"))
+        out = out.unionByName(found(dealt.join(wanted.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi"), wanted, [*keys, "_b"]))
+    values = out.groupBy(*keys).agg(*(F.max(F.when(F.col("_p") == p, F.col("_v"))).alias(f"p{p}") for p in percents))
+    return shape.join(values, keys).select(*by, "mean", *(f"p{p}" for p in percents), "max")
 
 
 def outcomes(rows: DataFrame, outcome: str = "outcome") -> DataFrame:
