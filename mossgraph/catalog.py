@@ -666,6 +666,21 @@ def reconcile_report(spark, sf):
     return metrics.outcomes(changes.snapshot_diff(*_snapshots(spark, sf)), "change")
 
 
+@query(_DIFF + "SELECT id, 'status ' || t AS content FROM b")
+def reconciled_index(spark, sf):
+    """What is indexed after a pass over each of two scans, and one more that finds nothing to do."""
+    made = projection.Projection(spark, _folder(spark))
+    first, second = _snapshots(spark, sf)
+    for side in (first, second, second):
+        rows = side.withColumn("id", F.col("id").cast("string"))
+        docs = rows.select("id", F.lit(DEFAULT_COLLECTION).alias("collection"), F.concat(F.lit("status "), "change_token").alias("content"), F.lit(False).alias("deleted"))
+        before = made.tables.version()
+        made.reconcile(rows.select("id", "change_token"), docs)
+    if made.tables.version() != before:
+        raise AssertionError("a pass without changes wrote something")
+    return made.index.documents().select(F.col("id").cast("long").alias("id"), "content")
+
+
 @query(_DIFF + "SELECT id FROM a WHERE id NOT IN (SELECT id FROM b)")
 def stale_index(spark, sf):
     before, after = _snapshots(spark, sf)

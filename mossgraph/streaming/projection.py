@@ -22,13 +22,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.markdown import parsed
 from ..functions.text import link_form, suffixes
 from ..operators import index as indexes
-from ..operators.changes import fresh_operations, settled
+from ..operators.changes import fresh_operations, settled, snapshot_diff
 from ..operators.graph import derived
 from ..operators.index import StoredIndex
 from ..operators.segments import Change, Manifest, Spec, Tables, part_of, parts_for
 from ..shared import written
 
-SPECS = indexes.SPECS | {"edges": Spec("src"), "references": Spec("src", "part"), "waiting": Spec("id")}
+SPECS = indexes.SPECS | {"edges": Spec("src"), "references": Spec("src", "part"), "waiting": Spec("id"), "tokens": Spec("id")}
 WAITING = ["id", "document_id", "content_hash", "kind", "created_at", "attempts", "dead_lettered", "not_before"]
 
 
@@ -81,10 +81,7 @@ class Projection:
         live = documents.where(~F.col("deleted"))
         ups = written(live.join(work.where("kind = 'UPSERT'").select("id"), "id", "left_semi").withColumn("_ok", F.coalesce(F.expr(self.readable), F.lit(False))))
         gone = written(work.where("kind = 'DELETE'").select("id"))
-        good = written(self.prepare(ups.where("_ok").drop("_ok")))
-        staged = self.index.staged(good, gone)
-        moved = good.select("id").unionByName(gone)
-        change = self._linked(base, good, gone, moved, live)
+        staged, change = self._changed(base, ups.where("_ok").drop("_ok"), gone, live)
         bad = ups.where("NOT _ok").select(F.col("id").alias("document_id"), F.lit(False).alias("_bad"))
         results = judged.join(bad, "document_id", "left").select("id", (F.col("_bad").isNull() | ~F.col("apply")).alias("ok"))
         rest = settled(judged.drop("apply", "not_before"), results, F.lit(now))
@@ -101,6 +98,37 @@ class Projection:
             return False
         return True
 
+    def _changed(self, base: Manifest, ups: DataFrame, gone: DataFrame, live: DataFrame) -> tuple:
+        """What the index stages, and the segments of the edges and references."""
+        good = written(self.prepare(ups))
+        return self.index.staged(good, gone), self._linked(base, good, gone, good.select("id").unionByName(gone), live)
+
+    def reconcile(self, snapshot: DataFrame, documents: DataFrame, drain: Callable[[], bool] | None = None) -> DataFrame:
+        """Brings the projection to what a scan found: snapshot (id, change_token). Returns change (added, updated, removed, failed, unchanged) and n.
+
+        The tokens of the last pass are stored, and only documents whose token differs are read and derived; a pass without
+        differences writes nothing. What cannot be read keeps its old token, so that the next pass tries it again. ``drain``
+        comes first; if it says that it failed, the pass stops before it changes anything."""
+        if drain is not None and not drain():
+            raise DrainFailed
+        base = self.tables.manifest()
+        known = self.tables.read(base, "tokens")
+        if known is None:
+            known = snapshot.select("id", "change_token").limit(0)
+        diff = written(snapshot_diff(known, snapshot))
+        changed = diff.where("change <> 'unchanged'")
+        if changed.isEmpty():
+            return diff.groupBy("change").agg(F.count("*").alias("n"))
+        live = documents.where(~F.col("deleted"))
+        gone = changed.where("change = 'removed'").select("id")
+        ups = written(live.join(changed.where("change <> 'removed'").select("id"), "id", "left_semi").withColumn("_ok", F.coalesce(F.expr(self.readable), F.lit(False))))
+        read = ups.where("_ok").select("id")
+        staged, change = self._changed(base, ups.where("_ok").drop("_ok"), gone, live)
+        change += self.tables.stage("tokens", snapshot.select("id", "change_token").join(read, "id", "left_semi"), read.unionByName(gone))
+        self.tables.apply(lambda newest: self.index.change(newest, staged) + change)
+        told = diff.join(read.withColumn("_r", F.lit(True)), "id", "left").select(F.when(F.col("change").isin("added", "updated") & F.col("_r").isNull(), "failed").otherwise(F.col("change")).alias("change"))
+        return told.groupBy("change").agg(F.count("*").alias("n"))
+
     def _linked(self, base: Manifest, good: DataFrame, gone: DataFrame, moved: DataFrame, live: DataFrame) -> Change:
         """Edges of what changed and of the notes that point to what came or went; references of what changed."""
         known = self.tables.read(base, "documents", lambda rows, s: rows.select("id", "part").join(good.select("id", part_of(F.col("id"), s.parts).alias("part")), ["part", "id"], "left_semi"))
@@ -121,12 +149,17 @@ class Projection:
         self.tables.compact("edges")
         self.tables.compact("references", lambda rows, n: rows.withColumn("part", part_of(F.col("form"), n)))
         self.tables.compact("waiting")
+        self.tables.compact("tokens")
 
 
 class AlreadyApplied(Exception):
     pass
 
 
+class DrainFailed(RuntimeError):
+    """What waits could not be drained, so nothing was reconciled."""
+
+
 def applied(stream: DataFrame, projection: Projection, documents: Callable[[], DataFrame], checkpoint: str, now: Callable[[], datetime], name: str = "outbox") -> StreamingQuery:
     """Applies ``stream`` (operations) to ``projection`` over what is there now; ``documents`` reads the store as it is at each batch."""
 

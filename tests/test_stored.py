@@ -11,7 +11,7 @@ from mossgraph.operators.segments import Conflict, Spec, Tables, part_of, parts_
 from mossgraph.operators.stored import Store
 from mossgraph.plans.search import SearchRequest, answer, plan
 from mossgraph.shared import shared_folder
-from mossgraph.streaming.projection import Projection, applied
+from mossgraph.streaming.projection import DrainFailed, Projection, applied
 from pyspark.sql import functions as F
 
 INDEXED = "id string, collection string, tags array<string>, fm_terms array<string>, title string, content string"
@@ -279,3 +279,30 @@ def test_a_failed_batch_does_nothing_and_is_run_again(spark, tmp_path, monkeypat
     run()
     run()
     assert {r.id for r in p.index.documents().collect()} == {"a", "b"} and p.edges().count() == 1 and p.done("outbox") == 0
+
+
+def test_reconcile_reads_what_differs(spark):
+    p = Projection(spark, shared_folder(spark))
+    files = {f"n{i}": f"text {i} [[n{(i + 1) % 40}]]" for i in range(40)}
+
+    def scan():
+        d = canonical(spark, *((i, c, False) for i, c in files.items()))
+        return d.select("id", F.col("content_hash").alias("change_token")), d
+
+    counts = lambda r: {x.change: x.n for x in r.collect()}
+    assert counts(p.reconcile(*scan())) == {"added": 40} and p.edges().count() == 40
+    version = p.tables.version()
+    assert counts(p.reconcile(*scan())) == {"unchanged": 40} and p.tables.version() == version  # nothing is written
+    files |= {f"n{i}": f"changed {i}" for i in range(5, 15)}
+    del files["n30"]
+    files["bad"] = None
+    with pytest.raises(DrainFailed):
+        p.reconcile(*scan(), drain=lambda: False)
+    assert p.tables.version() == version
+    assert counts(p.reconcile(*scan(), drain=lambda: True)) == {"unchanged": 29, "updated": 10, "removed": 1, "failed": 1}
+    now = p.tables.manifest()
+    last = p.tables.read(now, "documents", segments=now.segments["documents"][-1:])
+    assert {r.id for r in last.collect()} == {f"n{i}" for i in range(5, 15)}  # only those were read
+    assert p.edges().count() == 40 - 1 - 10 - 1 and {r.id for r in p.index.scores("changed").collect()} == {f"n{i}" for i in range(5, 15)}
+    files["bad"] = "mended"
+    assert counts(p.reconcile(*scan())) == {"unchanged": 39, "added": 1} and p.index.documents().count() == 40
