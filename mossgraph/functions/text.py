@@ -16,9 +16,17 @@ MEDIA = {
 }
 
 
+_TERM = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
+
+
 def terms(text: Column) -> Column:
     """Lower-case runs of letters and digits; each ideograph is a term of its own."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
+
+
+def term_count(text: Column) -> Column:
+    """How many ``terms`` a text has, without listing them."""
+    return F.regexp_count(F.lower(text), F.lit(_TERM))
 
 
 def whitespace_tokens(text: Column) -> Column:

@@ -18,12 +18,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
+from ..functions.text import term_count, terms
 from .search import query_terms, scores_of
-from .segments import Change, Manifest, Segment, Spec, Tables, part_of, parts_for
+from .segments import Change, Manifest, Segment, Spec, Tables, among, part_of, parts_for
 
 ATTRIBUTES = ["id", "collection", "tags", "fm_terms"]
-SPECS = {"postings": Spec("id", "bucket"), "documents": Spec("id", "part")}
+SPECS = {"postings": Spec("id", "bucket", ("field", "term")), "documents": Spec("id", "part")}
 
 
 class StoredIndex:
@@ -49,29 +49,31 @@ class StoredIndex:
     # changes
 
     def add(self, docs: DataFrame, removed: DataFrame | None = None) -> StoredIndex:
-        """``docs`` (id, collection, tags, fm_terms and the fields, one row per id) come or take the place of what their ids had; ``removed`` (id) go."""
+        """``docs`` (id, collection, tags, fm_terms and the fields, one row per id) come or take the place of what their ids had; ``removed`` (id) go. ``docs`` are read three times, so write them first if they are costly to make."""
         staged = self.staged(docs, removed)
         self.tables.apply(lambda base: self.change(base, staged))
         return self
 
-    def staged(self, docs: DataFrame, removed: DataFrame | None = None) -> tuple[Change, DataFrame, DataFrame]:
-        """The segments of a change, written but not committed; its documents, and the ids that it supersedes."""
+    def staged(self, docs: DataFrame, removed: DataFrame | None = None) -> tuple[Change, dict[str, list[int]], DataFrame]:
+        """The segments of a change, written but not committed; its sums of lengths, and the ids that it supersedes."""
         parts = self.buckets or parts_for(docs.count())
         kept = [*ATTRIBUTES, *dict.fromkeys([*self.fields, self.content])]
-        lengths = F.struct(*(F.size(terms(F.coalesce(F.col(f), F.lit("")))).alias(f) for f in self.fields), F.coalesce(F.size("tags"), F.lit(0)).alias("tags"))
+        lengths = F.struct(*(term_count(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in self.fields), F.coalesce(F.size("tags"), F.lit(0)).alias("tags"))
         gone = docs.select("id") if removed is None else docs.select("id").unionByName(removed.select("id"))
         documents = self.tables.stage("documents", docs.select(*kept, lengths.alias("lengths"), part_of(F.col("id"), parts).alias("part")), gone, parts)
         new = self.tables.read(Manifest(0, documents.segments, documents.schemas), "documents")
-        postings = self.tables.stage("postings", self._postings_of(new).withColumn("bucket", part_of(F.col("term"), parts)).sortWithinPartitions("bucket", "field", "term"), gone, parts)
+        come = self._sums(new)
+        parts = self.buckets or parts_for(sum(length for _, length in come.values()))
+        postings = self.tables.stage("postings", self._postings_of(docs).withColumn("bucket", part_of(F.col("term"), parts)), gone, parts)
         segment = documents.segments["documents"][0]
-        return documents + postings, new, self.spark.read.schema(new.select("id").schema).parquet(f"{self.tables.folder}/documents/{segment.name}/gone")
+        return documents + postings, come, self.spark.read.schema(new.select("id").schema).parquet(f"{self.tables.folder}/documents/{segment.name}/gone")
 
-    def change(self, base: Manifest, staged: tuple[Change, DataFrame, DataFrame]) -> Change:
+    def change(self, base: Manifest, staged: tuple[Change, dict[str, list[int]], DataFrame]) -> Change:
         """A staged change against ``base``: its segments, and the sums of lengths with what it brings and without what it supersedes."""
-        change, new, gone = staged
-        had = self._documents(base, lambda rows, s: rows.select("id", "lengths", "part").join(gone.withColumn("part", part_of(F.col("id"), s.parts)), ["part", "id"], "left_semi").drop("part")) if base.version else None
+        change, come, gone = staged
+        had = self._documents(base, lambda rows, s: among(rows.select("id", "lengths", "part"), gone, "id", "part", s)) if base.version else None
         before = base.info.get("statistics", {})
-        come, went = self._sums(new), self._sums(had) if had is not None else {}
+        went = self._sums(had) if had is not None else {}
         out = {f: [before.get(f, [0, 0])[k] + come[f][k] - went.get(f, [0, 0])[k] for k in (0, 1)] for f in come}
         return change + Change(info={"statistics": out})
 
@@ -84,7 +86,7 @@ class StoredIndex:
     def compact(self) -> StoredIndex:
         """Merges segments of similar size; statistics stay as they are."""
         self.tables.compact("documents", lambda rows, n: rows.withColumn("part", part_of(F.col("id"), n)))
-        self.tables.compact("postings", lambda rows, n: rows.withColumn("bucket", part_of(F.col("term"), n)).sortWithinPartitions("bucket", "field", "term"))
+        self.tables.compact("postings", lambda rows, n: rows.withColumn("bucket", part_of(F.col("term"), n)))
         return self
 
     def _postings_of(self, docs: DataFrame) -> DataFrame:

@@ -44,6 +44,7 @@ class Segment:
 class Spec:
     key: str
     part: str | None = None
+    sort: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -76,6 +77,15 @@ def part_of(key: Column, parts: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts)).cast("int")
 
 
+def among(rows: DataFrame, keys: DataFrame, key: str, part: str, s: Segment) -> DataFrame:
+    """``rows`` of a segment whose ``key`` is one of ``keys`` (written); only the parts that those fall into are read."""
+    dealt = keys.select(key, part_of(F.col(key), s.parts).alias(part))
+    if s.parts > 1:
+        held = [r[0] for r in dealt.select(part).distinct().collect()]  # MOST_PARTS at most
+        rows = rows.where(F.col(part).isin(*held)) if held else rows.limit(0)
+    return rows.join(dealt.select(key).distinct(), key, "left_semi").drop(part)
+
+
 class Tables:
     def __init__(self, spark: SparkSession, folder: str, specs: dict[str, Spec]):
         self.spark, self.folder, self.specs = spark, folder.rstrip("/"), specs
@@ -143,11 +153,13 @@ class Tables:
     # segments
 
     def stage(self, table: str, rows: DataFrame, gone: DataFrame | None = None, parts: int = 0) -> Change:
-        """Writes a segment, which counts once it is committed: ``rows`` (with the partition column, if the table has one) and the keys that are gone."""
+        """Writes a segment, which counts once it is committed: ``rows`` (with the partition column, if the table has one) and the keys that are gone.
+
+        Files of a partitioned table are in the order of its ``sort``, so that a scan skips row groups by it."""
         spec, name = self.specs[table], uuid.uuid4().hex
         where = f"{self.folder}/{table}/{name}"
         if spec.part:
-            rows.hint("rebalance", spec.part).write.partitionBy(spec.part).parquet(f"{where}/rows")
+            rows.hint("rebalance", spec.part).sortWithinPartitions(spec.part, *spec.sort).write.partitionBy(spec.part).parquet(f"{where}/rows")
         else:
             rows.write.parquet(f"{where}/rows")
         if gone is not None:

@@ -25,7 +25,7 @@ from ..operators import index as indexes
 from ..operators.changes import fresh_operations, settled, snapshot_diff
 from ..operators.graph import derived
 from ..operators.index import StoredIndex
-from ..operators.segments import Change, Manifest, Spec, Tables, part_of, parts_for
+from ..operators.segments import Change, Manifest, Spec, Tables, among, part_of, parts_for
 from ..shared import written
 
 SPECS = indexes.SPECS | {"edges": Spec("src"), "references": Spec("src", "part"), "waiting": Spec("id"), "tokens": Spec("id")}
@@ -60,8 +60,8 @@ class Projection:
 
     def referrers(self, base: Manifest, changed: DataFrame) -> DataFrame | None:
         """id of the notes of which a link may resolve otherwise since ``changed`` (id) came or went; of each segment the partitions of their suffixes are read."""
-        forms = changed.select(F.explode(suffixes(F.col("id"))).alias("form")).distinct()
-        found = self.tables.read(base, "references", lambda rows, s: rows.join(forms.withColumn("part", part_of(F.col("form"), s.parts)), ["part", "form"], "left_semi"))
+        forms = written(changed.select(F.explode(suffixes(F.col("id"))).alias("form")).distinct())
+        found = self.tables.read(base, "references", lambda rows, s: among(rows, forms, "form", "part", s))
         return None if found is None else found.select(F.col("src").alias("id")).distinct()
 
     # applying
@@ -131,7 +131,7 @@ class Projection:
 
     def _linked(self, base: Manifest, good: DataFrame, gone: DataFrame, moved: DataFrame, live: DataFrame) -> Change:
         """Edges of what changed and of the notes that point to what came or went; references of what changed."""
-        known = self.tables.read(base, "documents", lambda rows, s: rows.select("id", "part").join(good.select("id", part_of(F.col("id"), s.parts).alias("part")), ["part", "id"], "left_semi"))
+        known = self.tables.read(base, "documents", lambda rows, s: among(rows.select("id", "part"), good, "id", "part", s))
         came = good.select("id") if known is None else good.select("id").join(known, "id", "left_anti")
         sources = self.referrers(base, came.unionByName(gone))
         drawn, away = good, moved
