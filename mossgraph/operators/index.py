@@ -5,7 +5,7 @@ of what is there, the lengths of those ids alone. The statistics are sums in the
 its own and from which it takes those of the rows that it supersedes. Segments of similar size are merged by ``compact``, without a rebuild.
 
 Postings are partitioned by a hash of the term and carry the length of their document's field, so a query reads the partitions of
-its words and joins no lengths. Documents are partitioned by a hash of the id, so a page of hits reads few of them.
+its words and joins no lengths. Documents are partitioned by a hash of the id, by which a page of hits is joined.
 How many partitions a segment has grows with its rows.
 """
 
@@ -132,7 +132,7 @@ class StoredIndex:
         return scores_of(rows, df, index.statistics())
 
     def contents_of(self, page: DataFrame) -> DataFrame:
-        """``page`` (id, ...), which is a request's page and so small, with ``_content``; only the partitions of its ids are read."""
+        """``page`` (id, ...), which is a request's page and so small, with ``_content``."""
 
         def each(rows: DataFrame, s: Segment) -> DataFrame:
             small = F.broadcast(page.select("id", part_of(F.col("id"), s.parts).alias("part")))
