@@ -14,6 +14,7 @@ from .operators import changes, graph, listing, metrics, rebuild, replicas, sear
 from .operators.ann import VectorIndex, recall
 from .operators.embedding import EmbeddingPipeline
 from .operators.index import StoredIndex
+from .operators.ranked import RULES, RankedIndex, in_order
 from .operators.search import Filters
 from .operators.stored import Store
 from .plans.search import SearchRequest, answer, plan, total
@@ -253,6 +254,45 @@ def index_after_changes(spark, sf):
     return search.top(index.scores(QUERY, fields=["text"]), 50).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+TYPED = "orantiom disgustng worthles src1"
+_RANKED = r"""WITH f AS (SELECT doc_id, 0 AS f, regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:6], ' ')), '[\p{L}\p{N}]+') AS t FROM documents
+  UNION ALL SELECT doc_id, 1, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM documents UNION ALL SELECT doc_id, 2, [source] FROM documents),
+tok AS (SELECT doc_id, f, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM f),
+q(w, word, most, begins) AS (VALUES (0, 'orantiom', 1, false), (1, 'disgustng', 2, false), (2, 'worthles', 1, false), (3, 'src1', 0, true)),
+v AS (SELECT DISTINCT term FROM tok),
+c AS (SELECT w, term, term = word AS exact, most, CASE WHEN term = word OR (begins AND starts_with(term, word)) THEN 0
+  ELSE levenshtein(regexp_replace(term, '[^\x00-\x7F]', '_', 'g'), word) + (left(term, 1) <> left(word, 1))::INT END AS typos FROM v, q),
+h AS (SELECT doc_id, f, pos, w, typos, exact FROM tok JOIN c USING (term) WHERE typos <= most),
+r AS (SELECT doc_id, min(i) AS words FROM (SELECT doc_id, list(DISTINCT w) AS ws FROM h GROUP BY 1), (SELECT unnest(range(5)) AS i) WHERE NOT list_contains(ws, i) GROUP BY 1),
+b AS (SELECT h.*, words FROM h JOIN r USING (doc_id) WHERE w < words QUALIFY typos = min(typos) OVER (PARTITION BY doc_id, w)),
+d AS (SELECT x.doc_id, x.w, min(least(8, CASE WHEN y.pos >= x.pos THEN greatest(1, y.pos - x.pos) ELSE x.pos - y.pos + 1 END)) AS apart FROM b AS x JOIN b AS y ON y.doc_id = x.doc_id AND y.f = x.f AND y.w = x.w + 1 GROUP BY ALL),
+pw AS (SELECT doc_id, words, w, min(typos) AS typos, min(f) AS f, max(exact::INT) AS exact FROM b GROUP BY ALL),
+ranked AS (SELECT doc_id, words, sum(typos)::BIGINT AS typos, sum(CASE WHEN w < words - 1 THEN coalesce(apart, 8) ELSE 0 END)::BIGINT AS proximity, sum(f)::BIGINT AS attribute, sum(exact)::BIGINT AS exactness FROM pw LEFT JOIN d USING (doc_id, w) GROUP BY ALL),
+scored AS (SELECT *, round(words / 4.0 - (typos + (proximity - words + 1 + (attribute + (4 - exactness) / 5.0) / 9.0) / 22.0) / 20.0, 9) AS score FROM ranked) """
+
+
+def _ranked(spark: SparkSession) -> RankedIndex:
+    return RankedIndex(spark, _folder(spark), ("title", "text", "tags"))
+
+
+@query(_RANKED + "SELECT doc_id, words, typos, proximity, attribute, exactness, score FROM scored")
+def ranked_search(spark, sf):
+    """Every document that has the first of the words, with typos, and the values it is ranked by."""
+    made = _ranked(spark).add(_titled(texts(spark, sf))).ranked(TYPED)
+    return made.select(F.col("id").alias("doc_id"), *RULES, F.round("score", 9).alias("score"))
+
+
+@query(_RANKED.replace("FROM documents", "FROM (FROM documents WHERE lang <> 'fr')") + "SELECT doc_id, score FROM scored JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY words DESC, typos, proximity, attribute, exactness DESC, doc_id LIMIT 30 OFFSET 5")
+def ranked_page(spark, sf):
+    """A page of English documents; others had other texts first, then French ones went and segments were merged."""
+    d, index = _titled(texts(spark, sf)), _ranked(spark)
+    index.add(d.withColumn("text", F.when(F.col("collection") == "en", F.concat(F.lit("worthles orantiom "), "text")).otherwise(F.col("text"))))
+    for k in range(3):
+        index.add(d.where("collection = 'en'").where(F.pmod(F.xxhash64("id"), F.lit(3)) == k))
+    index.add(d.limit(0), d.where("collection = 'fr'").select("id")).compact()
+    return in_order(index.ranked(TYPED, Filters(frozenset(["en"])).predicate()), 30, 5).select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
+
+
 @query(r"SELECT field, count(*) AS docs, sum(n) AS total FROM (SELECT doc_id, 'text' AS field, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS n FROM documents UNION ALL SELECT doc_id, 'tags', 1 FROM documents) WHERE n > 0 GROUP BY 1")
 def index_build(spark, sf):
     """An index of its own, built anew: its statistics."""
