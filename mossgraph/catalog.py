@@ -254,11 +254,11 @@ def index_after_changes(spark, sf):
     return search.top(index.scores(QUERY, fields=["text"]), 50).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-TYPED = "orantiom disgustng worthles src1"
+TYPED = "thtiom thanedbel oning eri"
 _RANKED = r"""WITH f AS (SELECT doc_id, 0 AS f, regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:6], ' ')), '[\p{L}\p{N}]+') AS t FROM documents
   UNION ALL SELECT doc_id, 1, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM documents UNION ALL SELECT doc_id, 2, [source] FROM documents),
 tok AS (SELECT doc_id, f, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM f),
-q(w, word, most, begins) AS (VALUES (0, 'orantiom', 1, false), (1, 'disgustng', 2, false), (2, 'worthles', 1, false), (3, 'src1', 0, true)),
+q(w, word, most, begins) AS (VALUES (0, 'thtiom', 1, false), (1, 'thanedbel', 2, false), (2, 'oning', 1, false), (3, 'eri', 0, true)),
 v AS (SELECT DISTINCT term FROM tok),
 c AS (SELECT w, term, term = word AS exact, most, CASE WHEN term = word OR (begins AND starts_with(term, word)) THEN 0
   ELSE levenshtein(regexp_replace(term, '[^\x00-\x7F]', '_', 'g'), word) + (left(term, 1) <> left(word, 1))::INT END AS typos FROM v, q),
@@ -286,7 +286,7 @@ def ranked_search(spark, sf):
 def ranked_page(spark, sf):
     """A page of English documents; others had other texts first, then French ones went and segments were merged."""
     d, index = _titled(texts(spark, sf)), _ranked(spark)
-    index.add(d.withColumn("text", F.when(F.col("collection") == "en", F.concat(F.lit("worthles orantiom "), "text")).otherwise(F.col("text"))))
+    index.add(d.withColumn("text", F.when(F.col("collection") == "en", F.concat(F.lit("thanedbel thtiom "), "text")).otherwise(F.col("text"))))
     for k in range(3):
         index.add(d.where("collection = 'en'").where(F.pmod(F.xxhash64("id"), F.lit(3)) == k))
     index.add(d.limit(0), d.where("collection = 'fr'").select("id")).compact()
