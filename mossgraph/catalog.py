@@ -23,6 +23,7 @@ from .sources import blobs
 from .shared import written
 from .sources.adapters import history, links, operations, records, table, texts, vectors
 from .streaming import drain, projection
+from .streaming import overlay as overlays
 from .streaming.watcher import watched
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1027,3 +1028,31 @@ def stream_watcher(spark, sf):
     finally:
         spark.conf.set(provider, before)
     return spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/out").select("path", "kind", "seq", F.unix_micros("due").alias("due"))
+
+
+@query("""WITH e AS (SELECT user_id || '/' || event_id % 7 AS id, event_type AS t, (event_id % 3)::VARCHAR AS h, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT id, n, h, t = 'error' AS deleted, row_number() OVER (ORDER BY n) AS seq, lead(n) OVER (PARTITION BY id ORDER BY n) AS until FROM e WHERE t IN ('view', 'click', 'error')),
+s AS (SELECT *, until IS NOT NULL OR EXISTS (SELECT 1 FROM e WHERE e.id = w.id AND e.n > w.n AND CASE WHEN w.deleted THEN t = 'signup' ELSE t = 'purchase' AND e.h = w.h END) AS settled FROM w)
+SELECT id, seq, deleted, CASE WHEN NOT deleted THEN h END AS content_hash, (SELECT coalesce(min(seq) FILTER (NOT settled) - 1, max(seq)) FROM s) AS mark FROM s WHERE NOT settled""")
+def stream_overlay(spark, sf):
+    """Views and clicks as writes, errors as removals; purchases and signups project them. Three parts of the events, one after the other."""
+    folder, provider = _folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    kind = F.when(F.col("event_type").isin("view", "click"), "PUT").when(F.col("event_type") == "error", "REMOVE").when(F.col("event_type") == "purchase", "PROJECTED").otherwise("DELETED")
+    e = changes.sequenced(table(spark, sf, "events"), ["ts", "event_id"]).select(
+        F.concat("user_id", F.lit("/"), F.col("event_id") % 7).alias("id"), kind.alias("kind"), F.when(kind.isin("PUT", "PROJECTED"), (F.col("event_id") % 3).cast("string")).alias("content_hash"), F.col("event_id").cast("string").alias("content"), F.col("sequence").alias("n"), F.col("ts").cast("timestamp").alias("at")
+    )
+    e = written(e)
+    writes = F.col("kind").isin("PUT", "REMOVE")
+    numbered = changes.sequenced(e.where(writes), ["at", "n"]).withColumnRenamed("sequence", "seq")
+    rows = written(numbered.unionByName(e.where(~writes).withColumn("seq", F.lit(None).cast("long"))).select("id", "kind", F.col("seq").cast("long"), "content_hash", "content", F.col("n").cast("long"), "at"))
+    last = rows.agg(F.max("n")).first()[0]
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k in range(3):
+            rows.where((F.col("n") > last * k / 3) & (F.col("n") <= last * (k + 1) / 3)).write.parquet(f"{folder}/in/{k}")
+            overlays.kept(overlays.pending(spark.readStream.schema(overlays.WRITES).parquet(f"{folder}/in/*"), buckets=16), f"{folder}/out", f"{folder}/state").awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    seen = overlays.view(spark, f"{folder}/out", F.lit(AT))
+    return seen.select("id", "seq", "deleted", "content_hash").join(F.broadcast(overlays.mark(spark, f"{folder}/out")))
