@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import frontmatter, markdown, text
 from .model import DEFAULT_COLLECTION
-from .operators import changes, graph, listing, metrics, rebuild, replicas, search, store, sync
+from .operators import changes, commands, graph, listing, metrics, rebuild, replicas, search, store, sync
 from .operators.ann import VectorIndex, recall
 from .operators.embedding import EmbeddingPipeline
 from .operators.index import StoredIndex
@@ -546,6 +546,24 @@ NOW = "timestamp '2030-01-01 00:00:00'"
 _OREC = "WITH d AS (SELECT o_orderkey AS k, 'o' || o_orderkey AS id, o_orderkey || '|' || o_custkey || '|' || o_orderstatus AS content, o_orderstatus = 'F' AS deleted, o_orderpriority AS collection FROM orders) "
 
 
+@query("""WITH c AS (SELECT 'd' || doc_id AS id, replace(text, chr(13) || chr(10), chr(10)) AS body, '---' || chr(10) || 'title: t' || doc_id || chr(10) || 'pr: p' || doc_id || chr(10) || '---' || chr(10) AS front, lang, source, doc_id, text FROM documents),
+r AS (SELECT id, CASE WHEN lang = 'fr' THEN 'collection' WHEN source = 'src1' THEN 'path' WHEN strlen(text) > 1048576 OR strlen(front || body) > 1048576 THEN 'content' END AS reason, CASE WHEN lang = 'es' THEN body ELSE front || body END AS content, CASE WHEN lang = 'es' THEN 'vault' ELSE lang END AS collection FROM c)
+SELECT id, reason, CASE WHEN reason IS NULL THEN collection END AS collection, CASE WHEN reason IS NULL THEN sha256(content) END AS revision FROM r""")
+def upsert_commands(spark, sf):
+    """Documents sent as commands: with front matter beside them, Spanish ones without it or a collection; French ones have a blank collection, those of a source a strange path."""
+    t = texts(spark, sf)
+    given = t.select(
+        F.concat(F.lit("d"), "id").alias("id"), F.col("text").alias("content"), F.when(F.array_contains("tags", "src1"), F.lit("elsewhere.md")).alias("path"),
+        F.when(F.col("collection") == "fr", F.lit(" ")).when(F.col("collection") != "es", F.col("collection")).alias("collection"),
+        F.when(F.col("collection") != "es", F.format_string('{"pr": "p%d", "title": "t%d"}', F.col("id"), F.col("id"))).alias("frontmatter"),
+    )
+    empty = _state(spark, sf)
+    state = store.State(*(x.limit(0) for x in (empty.documents, empty.revisions, empty.edges, empty.outbox)))
+    made = commands.upsert(state, written(commands.prepared(given, state.documents)), F.expr(NOW))
+    kept = made.documents.select("id", F.lit(None).cast("string").alias("reason"), "collection", "revision")
+    return kept.unionByName(made.conflicts.select("id", "reason", F.lit(None).cast("string").alias("collection"), F.lit(None).cast("string").alias("revision")))
+
+
 @query(_OREC + """SELECT id, CASE WHEN collection = '1-URGENT' THEN content || '!' ELSE content END AS content, deleted AND collection <> '1-URGENT' AS deleted FROM d
 UNION ALL SELECT 'new' || k, content, false FROM d WHERE collection = '5-LOW'""")
 def apply_changes(spark, sf):

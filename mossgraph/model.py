@@ -28,6 +28,8 @@ CHANGES = ("sequence long, document_id string, collection string, kind string, r
 
 #: Limits of requests.
 MAX_PAGE, MAX_OFFSET, MAX_DEPTH, MAX_BATCH, MAX_TAGS, MAX_QUERY_BYTES, MAX_CONTENT_BYTES, MAX_DELETED_PAGE, MAX_FANOUT = 500, 10_000, 10, 100, 64, 4096, 1 << 20, 200, 1000
+MAX_ID_BYTES, MAX_COLLECTION_BYTES, MAX_PATH_BYTES, MAX_AUTHOR_BYTES, MAX_MESSAGE_BYTES = 512, 128, 1024, 128, 512
+MAX_FM_ENTRIES, MAX_FM_ITEMS, MAX_FM_DEPTH, MAX_FM_VALUE_BYTES = 64, 64, 8, 4096
 #: Relations that edges may have, and other spellings of them.
 RELATIONS = ("links-to", "references", "embeds", "mentions")
 RELATION_ALIASES = {
