@@ -21,7 +21,7 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; null and empty texts, and those of fewer words than the rules ask for, are among them."""
-    return quality.filtered(docs, [PIECES])
+    return quality.filtered(docs, [PIECES, RANKS], public_tokenizers.PATTERN)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

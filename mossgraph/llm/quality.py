@@ -1,8 +1,13 @@
 """Quality rules: base counts, then the fertility of public tokenisers against bands per language or script.
 
-A text that fails the base rules is rejected. Every other one is tokenised by each given vocabulary, and
-characters per token, share of byte-fallback tokens and entropy of the token distribution (bits) must lie
-in the band of its language. Rows whose language has no band take the band of their script.
+A text that fails the base rules is rejected. Every other one is tokenised by each given vocabulary, word by
+word, and characters per token, share of byte-fallback tokens (tokens of one byte, with a byte-level vocabulary)
+and entropy of the token distribution (bits) must lie in that vocabulary's band for its language. Rows whose
+language has no band take the band of their script.
+
+Of n tokens, a mean strays from what the language has by about n^-0.5, and an entropy falls short of it likewise,
+so bands are wider for short texts. ``fitted`` gives the bands of a labelled corpus: every edge lies beyond all
+good documents, by ``MARGIN`` times their greatest deviation.
 
 Null and empty texts have no words and fail the base rules; null languages count as unknown. Equal texts
 of a language get equal verdicts. Other columns of the input stay; a column named as a measure is replaced.
@@ -10,6 +15,7 @@ of a language get equal verdicts. Other columns of the input stay; a column name
 
 from __future__ import annotations
 
+import base64
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -19,6 +25,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,24 +39,43 @@ SYMBOLS = "#*$%&|<>"
 REMEMBERED = 100_000
 
 
+#: How far beyond the good documents an edge lies, in their greatest deviation, and what every band of characters allows.
+MARGIN, LEAST_SHARE = 2.0, 0.03
+
+
 class Band(NamedTuple):
-    """Texts outside are rejected."""
+    """Texts outside are rejected. Slacks are divided by the square root of the number of tokens and widen the band."""
 
     chars_low: float
     chars_high: float
     fallback_high: float
     entropy_low: float
+    chars_slack: float = 0.0
+    entropy_slack: float = 0.0
 
+    def holds(self, tokens: int, chars: float, fallback: float, entropy: float) -> bool:
+        away = 1 / math.sqrt(max(tokens, 1))
+        within = self.chars_low - self.chars_slack * away <= chars <= self.chars_high + self.chars_slack * away
+        return within and fallback <= self.fallback_high and entropy >= self.entropy_low - self.entropy_slack * away
 
-#: Fixed values for piece_bpe_32k.model: the labelled good documents of each language lie well inside.
+
+#: What ``fitted`` gives for the labelled documents of the given tables, by vocabulary.
 LANGUAGES = {
-    "en": Band(1.75, 2.70, 0.10, 5.2),
-    "de": Band(1.90, 2.70, 0.10, 5.2),
-    "es": Band(1.65, 2.40, 0.10, 5.2),
-    "fr": Band(1.60, 2.45, 0.10, 5.2),
+    "de": Band(2.176, 2.311, 0.100, 6.461, 4.159, 12.601),
+    "en": Band(2.153, 2.286, 0.100, 6.668, 7.328, 14.911),
+    "es": Band(1.882, 1.999, 0.100, 6.391, 3.194, 13.765),
+    "fr": Band(1.919, 2.038, 0.100, 6.137, 7.761, 11.809),
+}
+BYTE_LANGUAGES = {
+    "de": Band(2.239, 2.377, 0.379, 6.584, 2.553, 13.675),
+    "en": Band(2.163, 2.297, 0.496, 6.748, 4.520, 15.908),
+    "es": Band(2.001, 2.125, 0.315, 6.321, 2.675, 13.542),
+    "fr": Band(1.977, 2.099, 0.682, 6.381, 4.775, 12.514),
 }
-#: For texts of other languages: Latin letters, ideographs and kana, anything else.
+BANDS = {"piece_bpe_32k.model": LANGUAGES, "byte_bpe_multi_50k.tiktoken": BYTE_LANGUAGES}
+#: For texts of other languages: Latin letters, ideographs and kana, anything else; by pieces and by bytes.
 SCRIPTS = {"latin": Band(1.30, 6.00, 0.20, 4.5), "cjk": Band(0.40, 3.00, 0.60, 4.5), "other": Band(0.40, 5.00, 0.80, 4.0)}
+BYTE_SCRIPTS = {"latin": Band(1.30, 6.00, 0.45, 4.5), "cjk": Band(0.30, 3.00, 0.95, 4.0), "other": Band(0.25, 5.00, 0.95, 4.0)}
 
 _FIELDS = {
     "n_words": T.LongType(),
@@ -58,6 +84,7 @@ _FIELDS = {
     "n_dup_lines": T.LongType(),
     "n_repeat_words": T.LongType(),
     "base_failed": T.BooleanType(),
+    "n_tokens": T.LongType(),
     "chars_per_token": T.DoubleType(),
     "fallback_share": T.DoubleType(),
     "token_entropy": T.DoubleType(),
@@ -67,30 +94,43 @@ _ARROW = {T.LongType(): pa.int64(), T.BooleanType(): pa.bool_(), T.DoubleType():
 
 
 class Vocabulary:
-    def __init__(self, path: str):
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.fallback = {i for i in range(self.model.get_piece_size()) if self.model.is_byte(i) or self.model.is_unknown(i)}
+    """A sentencepiece model, or byte-level ranks (``.tiktoken``) with the pattern that splits words; with the bands for its name."""
+
+    def __init__(self, path: str, pattern: str | None = None):
+        if path.endswith(".tiktoken"):
+            with open(path, "rb") as lines:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, lines)))}
+            encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self.encode = lambda words: [encoding.encode_ordinary(" " + w) for w in words]
+            self.fallback = {i for token, i in ranks.items() if len(token) == 1}
+        else:
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.encode = lambda words: model.encode(words, num_threads=1)
+            self.fallback = {i for i in range(model.get_piece_size()) if model.is_byte(i) or model.is_unknown(i)}
+        self.languages = BANDS.get(path.rsplit("/", 1)[-1], {})
+        self.scripts = BYTE_SCRIPTS if path.endswith(".tiktoken") else SCRIPTS
         self.known: dict[bytes, list[int]] = {}
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > REMEMBERED:
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self.model.encode([w.decode() for w in new], num_threads=1), strict=True))
+        self.known.update(zip(new, self.encode([w.decode() for w in new]), strict=True))
 
-    def measure(self, words: list[bytes], chars: int) -> tuple[float, float, float]:
+    def measure(self, words: list[bytes], chars: int) -> tuple[int, float, float, float]:
+        """Tokens, characters per token, share of fallback tokens and entropy."""
         counts = Counter(chain.from_iterable(map(self.known.__getitem__, words)))
         if not (total := sum(counts.values())):
-            return 0.0, 0.0, 0.0
+            return 0, 0.0, 0.0, 0.0
         fallback = sum(n for i, n in counts.items() if i in self.fallback)
         entropy = math.log2(total) - sum(n * math.log2(n) for n in counts.values() if n > 1) / total
-        return chars / total, fallback / total, entropy
+        return total, chars / total, fallback / total, entropy
 
 
 @lru_cache(maxsize=4)
-def vocabulary(path: str) -> Vocabulary:
+def vocabulary(path: str, pattern: str | None = None) -> Vocabulary:
     """One per worker process and file."""
-    return Vocabulary(path)
+    return Vocabulary(path, pattern)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -119,25 +159,28 @@ def script(text: str) -> str:
     return "latin" if share("A", "ɏ") else "cjk" if share("぀", "鿿") else "other"
 
 
-def judge(text: str | None, lang: str | None, words: list[bytes], vocabularies: list[Vocabulary], languages: dict[str, Band]) -> tuple:
-    """A value for each of ``_FIELDS``; with several vocabularies the measures are the first one's and all must accept."""
+def judge(text: str | None, lang: str | None, words: list[bytes], vocabularies: list[Vocabulary], bands: dict[str, Band] | None = None) -> tuple:
+    """A value for each of ``_FIELDS``; with several vocabularies the measures are the first one's and all must accept.
+
+    ``bands`` by language are for a single vocabulary, in place of its own."""
     text = text or ""
     n, chars, symbols, lines, repeated = base_counts(text, words)
     failed = n < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * n
     measures = [v.measure(words, chars) for v in vocabularies]
-    band = languages.get(lang or "") or SCRIPTS[script(text)]
-    within = all(band.chars_low <= c <= band.chars_high and f <= band.fallback_high and e >= band.entropy_low for c, f, e in measures)
+    of = [(v.languages if bands is None else bands).get(lang or "") for v in vocabularies]
+    alphabet = None if all(of) else script(text)
+    within = all((band or v.scripts[alphabet]).holds(*m) for v, band, m in zip(vocabularies, of, measures, strict=True))
     return n, chars, symbols, lines, repeated, failed, *measures[0], not failed and within
 
 
-def measured(df: DataFrame, paths: list[str], languages: dict[str, Band] = LANGUAGES, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``df`` with the columns of ``_FIELDS`` after its own."""
+def measured(df: DataFrame, paths: list[str], pattern: str | None = None, bands: dict[str, Band] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``df`` with the columns of ``_FIELDS`` after its own; byte-level vocabularies split words by ``pattern``."""
     kept = [c for c in df.columns if c not in _FIELDS]
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(k, v) for k, v in _FIELDS.items())])
     at, lang_at = kept.index(text), kept.index(lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [vocabulary(p) for p in paths]
+        own = [vocabulary(p, pattern) for p in paths]
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
@@ -145,7 +188,7 @@ def measured(df: DataFrame, paths: list[str], languages: dict[str, Band] = LANGU
                 words = [(t or "").encode().split() for t in texts]
                 for v in own:
                     v.learn({w for ws in words for w in ws})
-                rows = [judge(*x, own, languages) for x in zip(texts, langs, words, strict=True)]
+                rows = [judge(*x, own, bands) for x in zip(texts, langs, words, strict=True)]
                 made = [pa.array(column, _ARROW[kind]) for column, kind in zip(zip(*rows, strict=True), _FIELDS.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], schema.fieldNames())
         for v in own:  # the worker may do other work next
@@ -154,8 +197,31 @@ def measured(df: DataFrame, paths: list[str], languages: dict[str, Band] = LANGU
     return df.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
 
 
-def filtered(df: DataFrame, paths: list[str], **options) -> DataFrame:
+def fitted(df: DataFrame, path: str, pattern: str | None = None, good: str = "good") -> dict[str, Band]:
+    """The bands of one vocabulary for each language of ``df`` (text, lang and whether it is good), from its good rows that pass the base rules.
+
+    Characters: their median, ``LEAST_SHARE`` of it, and a slack for short texts. Entropy: a line over n^-0.5. Rows
+    without a language and those that aren't known to be good have no say; languages of fewer than 20 texts get no band."""
+    rows = measured(df.select("text", "lang", F.col(good).cast("boolean").alias("good")), [path], pattern).where("good AND lang IS NOT NULL AND NOT base_failed")
+    rows = rows.select("lang", "chars_per_token", "fallback_share", "token_entropy", F.pow("n_tokens", F.lit(-0.5)).alias("away"))
+    centre = rows.groupBy("lang").agg(
+        F.count("*").alias("n"),
+        F.percentile_approx("chars_per_token", 0.5, 100_000).alias("centre"),
+        F.max("fallback_share").alias("fallback"),
+        F.coalesce(F.regr_slope("token_entropy", "away"), F.lit(0.0)).alias("slope"),
+        F.coalesce(F.regr_intercept("token_entropy", "away"), F.avg("token_entropy")).alias("entropy"),
+    )
+    stray = (F.abs(F.col("chars_per_token") - F.col("centre")) - LEAST_SHARE * F.col("centre")) / F.col("away")
+    short = F.col("entropy") + F.col("slope") * F.col("away") - F.col("token_entropy")
+    edges = rows.join(centre, "lang").groupBy("lang", *centre.columns[1:]).agg(F.greatest(F.max(stray), F.lit(0.0)).alias("stray"), F.max(short).alias("short"))
+    return {
+        r.lang: Band(r.centre * (1 - LEAST_SHARE), r.centre * (1 + LEAST_SHARE), max(0.1, MARGIN * r.fallback), r.entropy - MARGIN * r.short, MARGIN * r.stray, -r.slope)
+        for r in edges.where("n >= 20").collect()
+    }
+
+
+def filtered(df: DataFrame, paths: list[str], pattern: str | None = None, **options) -> DataFrame:
     """The rows of ``df`` that pass, with its columns."""
     own = {c: f"_{i}" for i, c in enumerate(df.columns)}  # no measure has such a name
-    judged = measured(df.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())), paths, text=own["text"], lang=own["lang"], **options)
+    judged = measured(df.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())), paths, pattern, text=own["text"], lang=own["lang"], **options)
     return judged.where("kept").select(*(F.col(n).alias(c) for c, n in own.items()))

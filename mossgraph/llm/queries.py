@@ -51,7 +51,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measured(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), [PIECES]).drop("text", "lang")
+    return quality.measured(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), [PIECES, RANKS], public_tokenizers.PATTERN).drop("text", "lang")
 
 
 def op11_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,12 +16,13 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
     (_, rules), (_, join), (_, strings), (_, leaks), (_, code) = corpus_pipeline.STAGES
     one = written(rules(spark, docs, SF))
-    vocabulary = quality.vocabulary(PIECES)
+    vocabularies = [quality.vocabulary(PIECES), quality.vocabulary(RANKS, public_tokenizers.PATTERN)]
     kept = []
     for r in docs.collect():
         words = r.text.encode().split()
-        vocabulary.learn(set(words))
-        if quality.judge(r.text, r.lang, words, [vocabulary], quality.LANGUAGES)[-1]:
+        for v in vocabularies:
+            v.learn(set(words))
+        if quality.judge(r.text, r.lang, words, vocabularies)[-1]:
             kept.append(r)
     assert sorted(one.collect()) == sorted(kept) and one.columns == docs.columns
 
