@@ -23,6 +23,7 @@ from functools import lru_cache
 from itertools import chain, islice
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 import tiktoken
@@ -93,6 +94,21 @@ _FIELDS = {
 _ARROW = {T.LongType(): pa.int64(), T.BooleanType(): pa.bool_(), T.DoubleType(): pa.float64()}
 
 
+def spaced(encoding: tiktoken.Encoding, opens: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all words, each encoded alone with a space before it, and how many each has.
+
+    One call does for all of them if no other white space stands in any: then a token with a space begins a word."""
+    text = " ".join(words)
+    if not words or text.split() != words:
+        return joined([encoding.encode_ordinary(" " + w) for w in words])
+    ids = np.array(encoding.encode_ordinary(" " + text), np.int32)
+    return ids, np.diff(np.append(np.flatnonzero(opens[ids]), len(ids)))
+
+
+def joined(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
 class Vocabulary:
     """A sentencepiece model, or byte-level ranks (``.tiktoken``) with the pattern that splits words; with the bands for its name."""
 
@@ -101,30 +117,43 @@ class Vocabulary:
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, lines)))}
             encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            self.encode = lambda words: [encoding.encode_ordinary(" " + w) for w in words]
-            self.fallback = {i for token, i in ranks.items() if len(token) == 1}
+            self.fallback = np.zeros(max(ranks.values()) + 1, bool)
+            self.fallback[[i for token, i in ranks.items() if len(token) == 1]] = True
+            opens = np.zeros(len(self.fallback), bool)
+            opens[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
+            self.encode = lambda words: spaced(encoding, opens, words)
         else:
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.encode = lambda words: model.encode(words, num_threads=1)
-            self.fallback = {i for i in range(model.get_piece_size()) if model.is_byte(i) or model.is_unknown(i)}
+            self.encode = lambda words: joined(model.encode(words, num_threads=1))
+            self.fallback = np.array([model.is_byte(i) or model.is_unknown(i) for i in range(model.get_piece_size())])
         self.languages = BANDS.get(path.rsplit("/", 1)[-1], {})
         self.scripts = BYTE_SCRIPTS if path.endswith(".tiktoken") else SCRIPTS
-        self.known: dict[bytes, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)  # tokens of all known words, and where each word's end after a zero
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > REMEMBERED:
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
+            self.ends = self.ends[: len(self.known) + 1]
+            self.ids = self.ids[: self.ends[-1]]
         new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self.encode([w.decode() for w in new]), strict=True))
+        ids, count = self.encode([w.decode() for w in new])
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(count))
+        self.ids = np.append(self.ids, ids)
 
     def measure(self, words: list[bytes], chars: int) -> tuple[int, float, float, float]:
         """Tokens, characters per token, share of fallback tokens and entropy."""
-        counts = Counter(chain.from_iterable(map(self.known.__getitem__, words)))
-        if not (total := sum(counts.values())):
+        word = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        start, end = self.ends[word], self.ends[word + 1]
+        if not (total := int((end - start).sum())):
             return 0, 0.0, 0.0, 0.0
-        fallback = sum(n for i, n in counts.items() if i in self.fallback)
-        entropy = math.log2(total) - sum(n * math.log2(n) for n in counts.values() if n > 1) / total
-        return total, chars / total, fallback / total, entropy
+        ids = self.ids[np.arange(total) + np.repeat(end - np.cumsum(end - start), end - start)]
+        counts = np.unique(ids, return_counts=True)[1]
+        return total, chars / total, int(self.fallback[ids].sum()) / total, math.log2(total) - float(counts @ np.log2(counts)) / total
 
 
 @lru_cache(maxsize=4)
@@ -166,11 +195,13 @@ def judge(text: str | None, lang: str | None, words: list[bytes], vocabularies:
     text = text or ""
     n, chars, symbols, lines, repeated = base_counts(text, words)
     failed = n < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * n
-    measures = [v.measure(words, chars) for v in vocabularies]
+    first = vocabularies[0].measure(words, chars)
+    if failed:
+        return n, chars, symbols, lines, repeated, failed, *first, False
     of = [(v.languages if bands is None else bands).get(lang or "") for v in vocabularies]
     alphabet = None if all(of) else script(text)
-    within = all((band or v.scripts[alphabet]).holds(*m) for v, band, m in zip(vocabularies, of, measures, strict=True))
-    return n, chars, symbols, lines, repeated, failed, *measures[0], not failed and within
+    kept = all((band or v.scripts[alphabet]).holds(*(v.measure(words, chars) if k else first)) for k, (v, band) in enumerate(zip(vocabularies, of, strict=True)))
+    return n, chars, symbols, lines, repeated, failed, *first, kept
 
 
 def measured(df: DataFrame, paths: list[str], pattern: str | None = None, bands: dict[str, Band] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -192,7 +223,7 @@ def measured(df: DataFrame, paths: list[str], pattern: str | None = None, bands:
                 made = [pa.array(column, _ARROW[kind]) for column, kind in zip(zip(*rows, strict=True), _FIELDS.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], schema.fieldNames())
         for v in own:  # the worker may do other work next
-            v.known.clear()
+            v.forget()
 
     return df.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
 
