@@ -82,10 +82,3 @@ def import_report(parsed: DataFrame, plan: DataFrame, documents: DataFrame) -> t
     after = documents.select("id").unionByName(plan.where("action IN ('import', 'rename')").select("id")).distinct()
     renamed = plan.where("action = 'rename'").select(F.regexp_replace("path", r"(?i)\.md$", "").alias("target"))
     return unresolved(parsed, after), parsed.select(F.col("id").alias("src"), F.inline("links")).join(renamed, "target", "left_semi").select("src", "target")
-
-
-def retry_delays(attempts: DataFrame, base_ms: int = 100, cap_ms: int = 60_000, jitter: float = 0.0) -> DataFrame:
-    """attempts (attempt) with the delay before it: doubled each time up to a cap, spread by a hash of the row rather than by chance."""
-    plain = F.least(F.lit(base_ms) * F.pow(F.lit(2), F.col("attempt") - 1), F.lit(cap_ms))
-    spread = 1 + jitter * (F.pmod(F.xxhash64(*attempts.columns), F.lit(1000)) / 1000 - 0.5)
-    return attempts.withColumn("delay_ms", F.round(plain * spread).cast("long"))

@@ -87,11 +87,6 @@ def import_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return files(spark, folder).where(~hidden(F.col("path")) & F.rlike("path", F.lit(r"(?i)\.md$"))).select("path", sanitized(F.col("path")).alias("id"), F.col("bytes").cast("string").alias("content"))
 
 
-def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A relational store's table; give ``partitionColumn`` and bounds to read it in parallel."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-
-
 def event_document(path: Column, root: str, vault: str) -> Column:
     """The document that a file event is about: of absolute, relative and vault-prefixed paths that end in .md."""
     relative = F.when(F.startswith(path, F.lit(root.rstrip("/") + "/")), F.substring(path, len(root.rstrip("/")) + 2, 1 << 20)).when(F.startswith(path, F.lit(vault + "/")), F.substring(path, len(vault) + 2, 1 << 20)).otherwise(path)
