@@ -122,7 +122,7 @@ def test_byte_vocabulary_by_brute_force(spark):
 
 
 def test_bands_reject_beyond_the_base_rules(spark):
-    """The bands were fitted on other documents than these."""
+    """The edges come from sf0.1; the margin was chosen with these documents in view."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     rows = quality.measured(docs.select("doc_id", "text", "lang", "quality"), [PIECES, RANKS], PATTERN).where("NOT base_failed").collect()
     bad, good = ([x.kept for x in rows if x.quality == q] for q in (0, 1))
