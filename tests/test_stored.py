@@ -43,6 +43,16 @@ def test_two_writers_and_readers_of_old_versions(spark):
         t.read(first, "a").count() and t.manifest(1)
 
 
+def test_a_folder_without_a_scheme(spark):
+    tables = Tables(spark, shared_folder(spark).removeprefix("file://"), {"t": Spec("id")})
+    tables.commit(tables.manifest(), tables.stage("t", spark.range(3)))
+    base = tables.manifest()
+    tables.commit(base, tables.stage("t", spark.range(3, 5)))
+    with pytest.raises(Conflict):
+        tables.commit(base, tables.stage("t", spark.range(5, 6)))
+    assert sorted(r.id for r in tables.read(tables.manifest(), "t").collect()) == [0, 1, 2, 3, 4]
+
+
 def test_merging_keeps_what_counts(spark):
     t = Tables(spark, shared_folder(spark), {"a": Spec("k")})
     r, have = random.Random(2), {}
