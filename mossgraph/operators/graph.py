@@ -61,11 +61,11 @@ def backlinks(edges: DataFrame, node: Any, rel: str | None = None) -> DataFrame:
     return neighbors_in(edges, node, rel).select("src").distinct()
 
 
-def traverse(edges: DataFrame, starts: DataFrame | Sequence[Any], depth: int, rel: str | None = "links-to", fanout: int = MAX_FANOUT, visible: DataFrame | None = None) -> DataFrame:
+def traverse(edges: DataFrame, starts: DataFrame | Sequence[Any], depth: int, rel: str | None = "links-to", fanout: int | None = MAX_FANOUT, visible: DataFrame | None = None) -> DataFrame:
     """id, depth and path of first discovery, breadth first along out-edges. The start itself is found again only on a cycle.
 
     Ordered by (depth, path) the rows are in the order of discovery, where a node's edges are followed in order of
-    their ends; ``fanout`` of them at most. ``visible``: ids that may be returned. Every level is written, so each
+    their ends; ``fanout`` of them at most, all with None. ``visible``: ids that may be returned. Every level is written, so each
     costs one scan of the edges and two joins, however deep it is; a level without new nodes is the last."""
     bounded("depth", depth, 0, MAX_DEPTH)
     spark = edges.sparkSession
@@ -77,8 +77,9 @@ def traverse(edges: DataFrame, starts: DataFrame | Sequence[Any], depth: int, re
     schema = found.schema
     for level in range(1, depth + 1):
         near = steps.join(frontier.select(F.col("id").alias("src"), "path"), "src").distinct()
-        ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("_n") <= fanout)
-        first = ranked.groupBy(F.col("dst").alias("id")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        if fanout is not None:
+            near = near.withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("_n") <= fanout)
+        first = near.groupBy(F.col("dst").alias("id")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
         fresh = first if level == 1 else first.join(found.select("id"), "id", "left_anti")
         written(fresh.select("id", F.lit(level).alias("depth"), "path"), f"{folder}/{level}")
         found = spark.read.schema(schema).parquet(*(f"{folder}/{k}" for k in range(1, level + 1)))

@@ -84,6 +84,7 @@ def test_traverse_in_order_of_discovery(spark):
     assert [(r.id, r.depth) for r in got] == [("b", 1), ("c", 1), ("a", 2), ("z", 2), ("d", 2), ("y", 3)]
     many = spark.range(1500).select(F.lit("s").alias("src"), F.format_string("n%04d", "id").alias("dst"), F.lit("links-to").alias("rel"))
     assert graph.traverse(many, ["s"], 1).agg(F.count("*"), F.max("id")).first()[:] == (1000, "n0999")
+    assert graph.traverse(many, ["s"], 1, fanout=None).count() == 1500
     assert graph.traverse(e, ["a"], 2, visible=spark.sql("SELECT 'z' AS id")).first().id == "z"
 
 
