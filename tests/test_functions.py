@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from mossgraph.functions import frontmatter as fm
 from mossgraph.functions import markdown, text
 from mossgraph.functions.tokenizers import wordpiece
 from mossgraph.model import InvalidRequest, document_id, relation
+from mossgraph.operators import graph
 from pyspark.sql import functions as F
 
 
@@ -106,3 +109,37 @@ def test_ids():
     assert relation("embed") == "embeds"
     with pytest.raises(InvalidRequest):
         relation("likes")
+
+
+def test_plain_blocks_are_read_as_yaml_reads_them():
+    r = random.Random(5)
+    words = ["a", "0", "-1", "1.50", "1e3", "null", "~", "true", "No", "a.b/c-d", "x_y", "", " ", "b ", "#", "a #b", "a: b", "2024-01-01", "[", "]", "a,b", "é", "'q'", '"q"', "- a", "0042", "N"]
+    plain = 0
+    for _ in range(4000):
+        value = lambda: r.choice([" ", "  "]).join(r.choice(words) for _ in range(r.choice([1, 1, 1, 2])))
+        line = lambda: f"{r.choice(['a', 'b', 'c', 'true', '_d', '1', 'e-f'])}:{r.choice([' ', ' ', ' ', '  ', ''])}{r.choice([value(), '[' + ', '.join(value() for _ in range(r.randrange(3))) + ']'])}"
+        block = "\n".join(line() for _ in range(r.randrange(1, 4)))
+        if (made := fm._of_lines(block)) is not None:
+            plain += 1
+            values, error = fm._by_yaml(block)
+            assert error is None and values == made and [type(x) for x in fm.leaves(values)] == [type(x) for x in fm.leaves(made)], block
+    assert plain > 100
+
+
+def test_columns_of_notes_equal_single_ones(spark):
+    r = random.Random(6)
+    parts = ["---\n", "a: 1\n", "title: [x, y]\n", "author: me\n", "files: [f, g]\n", "repo: z\n", "# h #\n", "```\n", " ~~~\n", "[[a|b]] ![[c#d]]\n", "[[[x]] [[y]\n", "text\r\n", "", "é [[ü]]\n"]
+    notes = [None, ""] + ["".join(r.choice(parts) for _ in range(r.randrange(9))) for _ in range(600)] + ["---\n" + "".join(r.choice(parts[1:6]) for _ in range(3)) + "---\n[[k]]\n" for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(notes)), "n int, content string").coalesce(1)
+    got = df.select("n", markdown.parsed(F.col("content")).alias("p")).orderBy("n").collect()
+    assert [x.p.asDict(True) for x in got] == [markdown.parse(c) for c in notes]
+    some = df.select("n", markdown.parsed(F.col("content"), ["refs", "links"]).alias("p")).orderBy("n").collect()
+    assert [x.p.asDict(True) for x in some] == [{f: markdown.parse(c)[f] for f in ("refs", "links")} for c in notes]
+    assert df.limit(0).select(markdown.parsed(F.col("content"), ["links"])).collect() == []
+
+
+def test_notes_are_parsed_once(spark):
+    notes = spark.createDataFrame([("a", "[[b]] [[c]]")], "id string, content string").select("id", markdown.parsed(F.col("content"), ["links"]).alias("p")).select("id", "p.*")
+    made = graph.references(notes)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(x[:] for x in made.collect()) == [("a", "b"), ("a", "c")]
