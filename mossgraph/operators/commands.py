@@ -6,12 +6,12 @@ expected_hash; columns that are absent count as null. What breaks a rule is a ro
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frontmatter import from_json, render_document
-from ..functions.markdown import parse, split_front
+from ..functions.frontmatter import from_json, parse_yaml, render_document
+from ..functions.markdown import in_chunks, split_front
 from ..model import (
     DEFAULT_COLLECTION,
     MAX_AUTHOR_BYTES,
@@ -78,7 +78,7 @@ def rendered_one(content: str, frontmatter: str | None) -> tuple[str | None, str
 
     A block of the content stays as it was written; given front matter takes its place. Line ends are \\n."""
     block, body = split_front(content)
-    degraded = parse(content)["error"] if block is not None else None
+    degraded = parse_yaml(block)[1] if block is not None else None
     if frontmatter is None:
         return (body if block is None or not block.strip() else f"---\n{block.rstrip(chr(10))}\n---\n{body}"), degraded, None
     try:
@@ -92,11 +92,16 @@ def rendered_one(content: str, frontmatter: str | None) -> tuple[str | None, str
 
 
 def rendered(content: Column, frontmatter: Column) -> Column:
-    """content, degraded and refused, as by ``rendered_one``."""
+    """content, degraded and refused, as by ``rendered_one``; of a batch, few are Python objects at once."""
+    names = ["content", "degraded", "refused"]
 
-    @F.pandas_udf("content string, degraded string, refused string")
-    def run(contents: pd.Series, given: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([rendered_one(c or "", f) for c, f in zip(contents, given, strict=True)], columns=["content", "degraded", "refused"])
+    def made(contents: list[str | None], given: list[str | None]) -> pa.Array:
+        columns = zip(*(rendered_one(c or "", f) for c, f in zip(contents, given, strict=True)), strict=True) if contents else [()] * 3
+        return pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], names)
+
+    @F.arrow_udf(", ".join(f"{n} string" for n in names))
+    def run(contents: pa.Array, given: pa.Array) -> pa.Array:
+        return in_chunks(made, contents, given)
 
     return run(content, frontmatter)
 

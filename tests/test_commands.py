@@ -1,3 +1,5 @@
+import pyarrow as pa
+from mossgraph.functions import markdown
 from mossgraph.functions.text import sha256
 from mossgraph.operators import commands, store
 from pyspark.sql import functions as F
@@ -60,3 +62,15 @@ def test_commands_are_applied_and_refused(spark):
     assert sorted((r.id, r.reason.split(":")[0]) for r in made.conflicts.collect()) == [("b", "repeated"), ("b", "repeated"), ("d", "frontmatter"), ("e", "collection")]
     again = commands.upsert(made, commands.prepared(given(spark, {"id": "a", "content": want}, {"id": "c", "collection": "another", "content": "z"}), made.documents), F.expr(NOW))
     assert {r.id: r.content for r in again.documents.collect()} == {"a": want, "c": "text"} and [(r.id, r.reason) for r in again.conflicts.collect()] == [("c", "collection")]
+
+
+def test_a_batch_is_rendered_in_chunks():
+    sizes = []
+
+    def made(a):
+        sizes.append(len(a))
+        return pa.array(a, pa.string())
+
+    given = pa.array([str(i) for i in range(1000)])
+    assert markdown.in_chunks(made, given) == given and max(sizes) == markdown.CHUNK and sum(sizes) == 1000
+    assert len(markdown.in_chunks(made, given.slice(0, 0))) == 0
