@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,19 @@ EVENTS = "root string, path string, kind string, at timestamp, seq long, due tim
 EVERYWHERE = ("OVERFLOW", "TICK")
 
 
-def _us(at: Any) -> int:
-    return pd.Timestamp(at).value // 1000
+PIECE = 10_000  #: rows that are Python objects at once, and of a frame
+
+
+def ordered(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """path, kind, at (microseconds) and seq in order of time. They are held as numbers, since a bucket may get very many rows in a batch."""
+    names: dict[str | None, int] = {}
+    coded = lambda c: np.fromiter((names.setdefault(x, len(names)) for x in c), np.int32, len(c))
+    pieces = [(coded(r["path"]), coded(r["kind"]), r["at"].astype("datetime64[us]").astype("int64").to_numpy(), r["seq"].to_numpy()) for r in rows]
+    path, kind, at, seq = (np.concatenate(c) for c in zip(*pieces, strict=True))
+    order, name = np.lexsort((seq, at)), list(names)
+    for k in range(0, len(order), PIECE):
+        part = order[k : k + PIECE]
+        yield from zip((name[i] for i in path[part]), (name[i] for i in kind[part]), at[part].tolist(), seq[part].tolist(), strict=True)
 
 
 class Debounce(StatefulProcessor):
@@ -65,18 +78,17 @@ class Debounce(StatefulProcessor):
                 out.append((root, path, kind, at, seq, first + self.debounce))
         return out
 
-    def _step(self, key: tuple, rows: pd.DataFrame, held: dict[str, tuple]) -> list[tuple]:
-        out: list[tuple] = []
+    def _step(self, key: tuple, rows: Iterator[tuple], held: dict[str, tuple]) -> Iterator[tuple]:
         firsts = [(v[0], path) for path, v in held.items()]
         heapq.heapify(firsts)
         owned = self.own.exists()
-        for path, kind, at, seq in sorted(zip(rows["path"], rows["kind"], map(_us, rows["at"]), rows["seq"], strict=True), key=lambda r: (r[2], r[3])):
-            out += self._due(key[0], held, firsts, at)
+        for path, kind, at, seq in rows:
+            yield from self._due(key[0], held, firsts, at)
             if kind == "OVERFLOW":
                 held.clear()
                 firsts.clear()
                 if key[1] == 0:  # one for the root
-                    out.append((key[0], None, kind, at, seq, at))
+                    yield (key[0], None, kind, at, seq, at)
             elif kind == "SUPPRESS":
                 self.own.updateValue((path,), (at + self.suppress,))
                 owned = True
@@ -89,7 +101,6 @@ class Debounce(StatefulProcessor):
                 if path not in held:
                     heapq.heappush(firsts, (at, path))
                 held[path] = (held[path][0] if path in held else at, kind, at, int(seq))
-        return out
 
     @staticmethod
     def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -101,9 +112,10 @@ class Debounce(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         before = self._held()
         after = dict(before)
-        out = self._step(key, pd.concat(list(rows)), after)
+        out = self._step(key, ordered(rows), after)
+        while piece := list(islice(out, PIECE)):
+            yield self._frame(piece)
         self._kept(before, after)
-        yield self._frame(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         before = self._held()

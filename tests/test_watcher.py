@@ -1,9 +1,10 @@
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from mossgraph.shared import shared_folder
 from mossgraph.streaming import drain
-from mossgraph.streaming.watcher import watched
+from mossgraph.streaming.watcher import ordered, watched
 
 SCHEMA = "root string, path string, kind string, at timestamp, seq long"
 START = datetime(2024, 1, 1)
@@ -49,3 +50,11 @@ def test_an_overflow_clears_what_waits(rocks, tmp_path):
 def test_a_timer_passes_what_waits_where_nothing_comes(rocks, tmp_path):
     got = run(rocks, tmp_path, [("/v/a", "CREATED", 0)], [("/v/b", "CREATED", 60)], [("/v/b", "MODIFIED", 61)])
     assert ("/v/a", "CREATED", 0, 2) in got and not any(p == "/v/b" for p, *_ in got)
+
+
+def test_rows_of_a_bucket_are_ordered_in_pieces():
+    frames = [pd.DataFrame({"path": [f"/v/{i % 7}", None], "kind": ["a", "TICK"], "at": pd.to_datetime([1000 - i, i]), "seq": [i, i]}) for i in range(300)]
+    for f in frames:
+        f["at"] = START + (f["at"] - pd.Timestamp(0)) * 1000
+    expected = sorted(((p, k, a.value // 1000, s) for f in frames for p, k, a, s in f.itertuples(index=False)), key=lambda r: (r[2], r[3]))
+    assert list(ordered(iter(frames))) == expected
