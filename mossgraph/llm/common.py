@@ -25,6 +25,12 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fewer(df: DataFrame) -> DataFrame:
+    """``df`` in a quarter as many parts as a shuffle has, one for each core at least: for narrow tables, where most of a task is its start and its file."""
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+
+
 class Scratch:
     """Tables in a shared folder that goes when the block ends; what leaves the block must not read them."""
 

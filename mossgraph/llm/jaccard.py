@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fragments, words
-from .common import Scratch, written
+from .common import Scratch, fewer, written
 from .components import components
 from .fragments import mix
 
@@ -269,7 +269,7 @@ def _sharers(scratch: Scratch, known: DataFrame, percent: int, size: int) -> Dat
     shared = rows.withColumn("n", F.count("*").over(of)).where("n > 1 OR others IS NOT NULL")
     members = scratch.written(shared.select("key", F.concat(F.array("node"), F.coalesce("others", F.array().cast("array<long>"))).alias("members")))
     each = members.select("key", F.explode("members").alias("node"))
-    return scratch.written(each.join(each.groupBy("node").agg(F.count("*").alias("degree")), "node"))
+    return scratch.written(fewer(each.join(each.groupBy("node").agg(F.count("*").alias("degree")), "node")))
 
 
 def _spokes(sharers: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def _spokes(sharers: DataFrame) -> DataFrame:
 
 
 def _tested(scratch: Scratch, known: DataFrame, drawn: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
-    """a, b and linked of every pair (a, b): by their sketches where those differ too much, or else by the sets; written."""
+    """The written pairs (a, b) that link: by their sketches where those differ too much, or else by the sets; written."""
     side = lambda s: drawn.select(F.col("node").alias(s), *(F.col(c).alias(c[0] + s) for c in ("h", "n_shingles", "sketch")))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
@@ -289,7 +289,7 @@ def _tested(scratch: Scratch, known: DataFrame, drawn: DataFrame, pairs: DataFra
             kept = [hamming(batch.column(6)[i].as_py(), batch.column(7)[i].as_py()) <= d for i, d in enumerate(sizes.tolist())]
             yield batch.select(["a", "b", "ha", "hb"]).filter(pa.array(kept, pa.bool_()))
 
-    close = scratch.written(both.select("a", "b", "ha", "hb", "na", "nb", F.col("sa"), F.col("sb")).mapInArrow(near, "a long, b long, ha binary, hb binary"))
+    close = scratch.written(fewer(both.select("a", "b", "ha", "hb", "na", "nb", "sa", "sb")).mapInArrow(near, "a long, b long, ha binary, hb binary"))
     texts = known.select("h", "text")
     one = close.join(texts.withColumnsRenamed({"h": "hb", "text": "tb"}), "hb").drop("hb")
     whole = one.join(texts.withColumnsRenamed({"h": "ha", "text": "ta"}), "ha").select("a", "b", "ta", "tb")
@@ -312,8 +312,7 @@ def _tested(scratch: Scratch, known: DataFrame, drawn: DataFrame, pairs: DataFra
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    judged = scratch.written(whole.mapInArrow(run, "a long, b long, linked boolean").where("linked").select("a", "b"))
-    return scratch.written(pairs.select("a", "b").join(judged.withColumn("linked", F.lit(True)), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))))
+    return scratch.written(fewer(whole.mapInArrow(run, "a long, b long, linked boolean").where("linked").select("a", "b")))
 
 
 def _labelled(rows: DataFrame, found: DataFrame, node: str, name: str) -> DataFrame:
@@ -369,23 +368,26 @@ def linked_components(known: DataFrame, percent: int = PERCENT, size: int = SHIN
         sharers = _sharers(scratch, known, percent, size)
         ordered = [F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")]
         first = _spokes(sharers).groupBy("node").agg((-F.max(F.struct("hub_degree", (-F.col("hub")).alias("less")))["less"]).alias("hub"))
-        tested = _tested(scratch, known, drawn, first.select(*ordered).distinct(), percent, size)
-        found = components(tested.where("linked").select("a", "b"))
+        tested = scratch.written(fewer(first.select(*ordered).distinct()))
+        found = components(_tested(scratch, known, drawn, tested, percent, size))
 
         def more(pairs: DataFrame) -> bool:
             """Tests pairs that were not tested yet; whether some link."""
             nonlocal tested, found
-            new = _tested(scratch, known, drawn, pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), percent, size)
+            new = scratch.written(fewer(pairs.join(tested, ["a", "b"], "left_anti")))
+            if new.isEmpty():
+                return False
+            linked = _tested(scratch, known, drawn, new, percent, size)
             tested = tested.unionByName(new)
-            linked = new.where("linked").limit(1).count() > 0
-            if linked:
-                found = components(tested.where("linked").select("a", "b"))
-            return linked
+            if linked.isEmpty():
+                return False
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked))
+            return True
 
         now = sharers
         for k in range(1 + HUBS):
             spokes = _labelled(_labelled(_spokes(now), found, "node", "cn"), found, "hub", "ch").where("cn <> ch")
-            now = scratch.written(spokes.select("key", "node", "degree", "hub"))
+            now = scratch.written(fewer(spokes.select("key", "node", "degree", "hub")))
             if not more(now.select(*ordered).distinct()) and k:
                 break
         more(_block_pairs(scratch.written(_labelled(sharers.select("key", "node"), found, "node", "c")), drawn, percent))

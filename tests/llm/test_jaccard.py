@@ -131,3 +131,17 @@ def test_empty(spark):
 def test_fragment_texts(spark):
     rows = fragments.texts(spark.createDataFrame([(2, "a"), (1, "a"), (None, None), (3, "")], "doc_id long, text string")).collect()
     assert sorted((r.text, r.copies, r.least_id) for r in rows) == [("", 2, 3), ("a", 2, 1)]
+
+
+def test_narrow_tables_have_few_files(spark):
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = components(spark.createDataFrame([(k, k + 2) for k in range(0, 400) if k % 50 < 48], "a long, b long"))
+        assert len(found.inputFiles()) <= 16
+        assert {x.node: x.component for x in found.collect()} == {k: k // 50 * 50 + k % 2 for k in range(400)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
