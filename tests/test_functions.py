@@ -143,3 +143,21 @@ def test_notes_are_parsed_once(spark):
     made = graph.references(notes)
     assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert sorted(x[:] for x in made.collect()) == [("a", "b"), ("a", "c")]
+
+
+def test_targets_are_those_of_links_each_once(spark):
+    r = random.Random(8)
+    parts = ["[[", "]]", "[", "]", "a", "./b.md", "|l", "#t", " ", "!", "\n", "```\n", "[[c]]", "[[c|x]]"]
+    notes = [None, "", "[[a]] [[a|b]] [[ ]] [[#x]] [[c#d]]", "[[a[b]][[c]] [[d]]", "[[[a]]] [[b]]"] + ["".join(r.choice(parts) for _ in range(r.randrange(16))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(notes)), "id int, content string").coalesce(1).select("id", markdown.parsed(F.col("content"), ["targets"]).alias("p")).select("id", "p.*")
+    expected = [list(dict.fromkeys(x["target"] for x in markdown.parse(c)["links"])) for c in notes]
+    assert [x.targets for x in df.orderBy("id").collect()] == expected
+    refs = graph.references(df)
+    assert refs._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(x[:] for x in refs.collect()) == sorted((i, t) for i, targets in enumerate(expected) for t in targets)
+
+
+def test_link_forms(spark):
+    targets = ["a", " a ", "/a", "//a", "./a", "././/a.md", "a.MD", "a.md.md", "a.md/b", ".md", "", "a. ", "/", "a/./b", None]
+    got = spark.createDataFrame(list(enumerate(targets)), "n int, t string").select("n", text.link_form(F.col("t")).alias("f")).orderBy("n").collect()
+    assert [x.f for x in got] == [None if t is None else markdown.normal_form(t) for t in targets]
