@@ -7,6 +7,7 @@ an id, but for ``PERSISTED``, are an error, as their numbers would hold the mark
 
 A bucket of ids holds at most ``entries`` pending writes. The oldest beyond that are no longer shown but still hide what an
 index has of their ids, for a time to live at most (``view`` tells), as their projection may never come. Contents are passed on, not held.
+Hidden ids are kept in ``PARTS`` parts of a bucket, each a row of the state: a batch reads and writes the parts of its ids once, and asks the state nothing for a row.
 
 Every batch appends the ids whose state it changes. The mark is the last number up to which all are settled, whatever came after
 a gap; numbers beyond it are kept until the gap is closed. A batch that runs again writes the same.
@@ -14,8 +15,11 @@ a gap; numbers beyond it are kept until the gap is closed. A batch that runs aga
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 from typing import Any
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,14 +29,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators.changes import OVERLAY_ENTRIES, OVERLAY_TTL_S
 from ..shared import exists
 
-BUCKETS = 64
+BUCKETS, PARTS, ROWS = 64, 256, 1 << 16  #: of ids; of a bucket's hidden ids; rows of a frame that is passed on
 WRITES = "id string, kind string, seq long, content_hash string, content string, n long, at timestamp"
 UPDATES = "id string, what string, seq long, deleted boolean, content_hash string, content string, at timestamp"
 _HELD = "seq long, content_hash string, deleted boolean, at long"
 
 
-def _us(at: Any) -> int:
-    return pd.Timestamp(at).value // 1000
+def _part(id: str) -> int:
+    return crc32(id.encode()) % PARTS
 
 
 class Overlay(StatefulProcessor):
@@ -42,70 +46,103 @@ class Overlay(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.entries = handle.getMapState("entries", "id string", _HELD)
-        self.hidden = handle.getMapState("hidden", "id string", _HELD)
+        self.hidden = handle.getMapState("hidden_parts", "part int", "rows string")
 
     @staticmethod
     def _all(state: Any) -> list[tuple[str, tuple]]:
         return [(k[0], tuple(v)) for k, v in state.iterator()] if state.exists() else []
 
-    @staticmethod
-    def _one(state: Any, id: str) -> tuple | None:
-        return tuple(state.getValue((id,))) if state.exists() and state.containsKey((id,)) else None
-
-    def _unhide(self, id: str, settled: list[int]) -> None:
-        if held := self._one(self.hidden, id):
-            self.hidden.removeKey((id,))
-            settled.append(held[0])
-
-    def _status(self, id: str, pending: dict[str, tuple]) -> tuple | None:
-        if id in pending:
-            return ("PENDING", *pending[id])
-        held = self._one(self.hidden, id)
-        return ("HIDDEN", *held) if held else None
+    def _held(self, part: int) -> dict[str, list]:
+        """The hidden ids of a part: seq, content_hash, deleted and at."""
+        return json.loads(self.hidden.getValue((part,))[0]) if self.hidden.exists() and self.hidden.containsKey((part,)) else {}
+
+    def _hidden_of(self, ids: Iterable[str]) -> dict[str, tuple | None]:
+        """Those of ``ids`` that are hidden; a part at a time is in memory."""
+        out: dict[str, tuple | None] = {}
+        if self.hidden.exists():
+            for part, some in groupby(sorted(ids, key=_part), _part):
+                held = self._held(part)
+                out |= {id: tuple(held[id]) for id in some if id in held}
+        return out
+
+    def _hide(self, changed: dict[str, tuple | None]) -> None:
+        """Writes what has become of ids: None for those that are no longer hidden."""
+        for part, some in groupby(sorted(changed, key=_part), _part):
+            held = self._held(part)
+            before = bool(held)
+            for id in some:
+                if changed[id] is None:
+                    held.pop(id, None)
+                else:
+                    held[id] = list(changed[id])
+            if held:
+                self.hidden.updateValue((part,), (json.dumps(held),))
+            elif before:
+                self.hidden.removeKey((part,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         pending = dict(sorted(self._all(self.entries), key=lambda e: e[1][0]))  # ``entries`` at most, the oldest first
-        before, settled, contents, was = dict(pending), [], {}, {}
+        given = pd.concat(list(rows)).sort_values("n")
+        hidden = self._hidden_of(given["id"].dropna().unique())
+        before, found, whole, settled, contents, was = dict(pending), dict(hidden), False, [], {}, {}
         out: list[tuple] = []
-        for r in pd.concat(list(rows)).sort_values("n").itertuples(index=False):
-            at, content_hash = _us(r.at), None if pd.isna(r.content_hash) else r.content_hash
-            if r.kind == "PERSISTED":
-                for id in [i for i, v in [*pending.items(), *self._all(self.hidden)] if v[0] <= r.seq]:
-                    was.setdefault(id, self._status(id, pending))
-                    if pending.pop(id, None) is None:
-                        self.hidden.removeKey((id,))
+
+        def status(id: str) -> tuple | None:
+            if id in pending:
+                return ("PENDING", *pending[id])
+            held = hidden.get(id)
+            return ("HIDDEN", *held) if held else None
+
+        def unhide(id: str) -> None:
+            if held := hidden.get(id):
+                hidden[id] = None
+                settled.append(held[0])
+
+        text = lambda c: given[c].astype(object).where(given[c].notna(), None)
+        times = given["at"].astype("datetime64[ns]").astype("int64") // 1000
+        for id, kind, seq, content_hash, content, at in zip(given["id"], given["kind"], given["seq"], text("content_hash"), text("content"), times.tolist(), strict=True):
+            if kind == "PERSISTED":
+                if not whole:
+                    stored = {i: tuple(v) for _, rows_ in self._all(self.hidden) for i, v in json.loads(rows_[0]).items()}
+                    found, hidden, whole = stored | found, stored | hidden, True
+                for i in [i for i, v in [*pending.items(), *hidden.items()] if v and v[0] <= seq]:
+                    was.setdefault(i, status(i))
+                    if pending.pop(i, None) is None:
+                        hidden[i] = None
                 if key[0] == 0:  # one for all buckets
-                    out.append((None, "PERSISTED", int(r.seq), None, None, None, at))
+                    out.append((None, "PERSISTED", int(seq), None, None, None, at))
                 continue
-            was.setdefault(r.id, self._status(r.id, pending))
-            if r.kind in ("PUT", "REMOVE"):
-                if r.id in pending:
-                    settled.append(pending.pop(r.id)[0])
-                self._unhide(r.id, settled)
-                deleted = r.kind == "REMOVE"
-                pending[r.id] = (int(r.seq), content_hash, deleted, at)
-                contents[r.id] = None if deleted or pd.isna(r.content) else r.content
+            was.setdefault(id, status(id))
+            if kind in ("PUT", "REMOVE"):
+                if id in pending:
+                    settled.append(pending.pop(id)[0])
+                unhide(id)
+                deleted = kind == "REMOVE"
+                pending[id] = (int(seq), content_hash, deleted, at)
+                contents[id] = None if deleted else content
                 while len(pending) > self.most:
                     oldest = next(iter(pending))
-                    was.setdefault(oldest, self._status(oldest, pending))
-                    self.hidden.updateValue((oldest,), (*pending.pop(oldest)[:3], at))
-            elif held := self._status(r.id, pending):
-                if held[3] if r.kind == "DELETED" else r.kind == "PROJECTED" and not held[3] and held[2] == content_hash:
-                    if pending.pop(r.id, None):
+                    was.setdefault(oldest, status(oldest))
+                    hidden[oldest] = (*pending.pop(oldest)[:3], at)
+            elif held := status(id):
+                if held[3] if kind == "DELETED" else kind == "PROJECTED" and not held[3] and held[2] == content_hash:
+                    if pending.pop(id, None):
                         settled.append(held[1])
                     else:
-                        self._unhide(r.id, settled)
+                        unhide(id)
         for id in before.keys() - pending.keys():
             self.entries.removeKey((id,))
         for id, v in pending.items():
             if before.get(id) != v:
                 self.entries.updateValue((id,), v)
+        self._hide({id: v for id, v in hidden.items() if v != found.get(id)})
         for id, old in was.items():
-            if (now := self._status(id, pending)) != old:
+            if (now := status(id)) != old:
                 what, seq, content_hash, deleted, at = now or ("GONE", old[1], None, None, old[4])
                 out.append((id, what, seq, deleted, content_hash, contents.get(id) if what == "PENDING" else None, at))
         out += [(None, "SETTLED", seq, None, None, None, 0) for seq in settled]
-        yield self._frame(out)
+        for first in range(0, max(1, len(out)), ROWS):
+            yield self._frame(out[first : first + ROWS])
 
     @staticmethod
     def _frame(rows: list[tuple]) -> pd.DataFrame:

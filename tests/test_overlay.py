@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from mossgraph.shared import shared_folder
 from mossgraph.streaming import overlay
@@ -110,3 +112,41 @@ def test_low_water(spark):
 def test_a_write_without_an_id_is_an_error(rocks):
     with pytest.raises(Exception, match="without an id"):
         Run(rocks).batch((None, "PUT", 1, "x"))
+
+
+def test_the_state_is_asked_by_part_and_not_by_row():
+    class Held(dict):
+        calls = 0
+
+        def exists(self):
+            Held.calls += 1
+            return bool(self)
+
+        def containsKey(self, key):
+            Held.calls += 1
+            return key in self
+
+        def getValue(self, key):
+            Held.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            Held.calls += 1
+            self[key] = value
+
+        def removeKey(self, key):
+            Held.calls += 1
+            self.pop(key, None)
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    states = {}
+    made = overlay.Overlay(10)
+    made.init(SimpleNamespace(getMapState=lambda name, *_: states.setdefault(name, Held())))
+    frame = lambda kind, first, n0: pd.DataFrame({"id": [f"i{k}" for k in range(5000)], "kind": kind, "seq": range(first, first + 5000), "content_hash": "h", "content": "c", "n": range(n0, n0 + 5000), "at": pd.Timestamp("2024-01-01")})
+    told = pd.concat(made.handleInputRows((0,), iter([frame("PUT", 1, 1)]), None))
+    assert (told["what"] == "HIDDEN").sum() == 4990 and (told["what"] == "PENDING").sum() == 10 and Held.calls < 5000
+    told = pd.concat(made.handleInputRows((0,), iter([frame("PROJECTED", 0, 9000)]), None))
+    assert (told["what"] == "GONE").sum() == 5000 and (told["what"] == "SETTLED").sum() == 5000 and Held.calls < 10_000
+    assert not any(states.values())
