@@ -4,7 +4,7 @@ Cells are learnt on a bounded sample and stay; every vector is put into the cell
 vectors are segments partitioned by cell, so a search reads the cells that it probes, ranks them by code and reads the exact
 vectors of the candidates alone. Vectors come and go by segments, without a rebuild.
 
-A search has a block of queries, which every task gets, and each task ranks the rows that it reads for all of them: a cell
+A search has a block of queries, which every task gets, and each task ranks the rows that it reads for all of them, a tile at a time: a cell
 may hold any share of the rows and is read by many tasks. Two kinds of answer: ``near`` probes as many cells as
 reached ``TARGET`` of the true neighbours of a sample of rows at the build, and ``exact`` goes on to every cell that could have a
 better one, by the angle of the cell's farthest vector, and keeps every code whose error could hide one.
@@ -30,8 +30,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .segments import Change, Manifest, Spec, Tables
 
 SPECS = {"codes": Spec("id", "cell"), "vectors": Spec("id", "cell")}
-#: Cells at most; rows of the sample per cell (in expectation); queries of a block; candidates for each hit asked for; queries that set the number of probes, and the share of true neighbours to reach.
-MOST_CELLS, SAMPLE_A_CELL, BLOCK, CANDIDATES, TRIALS, TARGET = 4096, 64, 1024, 4, 256, 0.97
+#: Cells at most; rows of the sample per cell (in expectation); queries of a block, which are compared ``TILE`` at a time; candidates for each hit asked for; queries that set the number of probes, and the share of true neighbours to reach.
+MOST_CELLS, SAMPLE_A_CELL, BLOCK, CANDIDATES, TRIALS, TARGET = 4096, 64, 1 << 14, 4, 256, 0.97
+TILE = 1024
+#: Entries of a matrix of queries and cells on the driver, and candidates that a task holds before it drops the worse ones.
+ENTRIES, HELD = 1 << 23, 1 << 21
 
 
 def unit(column: str = "vector") -> tuple[Column, Column]:
@@ -129,26 +132,34 @@ class VectorIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.Table] = []
+            least = np.full(len(queries), -np.inf) if floors is None else floors - 1e-9  # of the held ones, once a query has as many as are asked for
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 u = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int8).reshape(-1, d)
                 scale, error, cell = (batch.column(c).to_numpy() for c in (2, 3, 4))
                 for c in np.unique(cell):
-                    asking, at = np.flatnonzero(probed[:, c]), np.flatnonzero(cell == c)
-                    if len(asking):
-                        a = (u[at].astype(np.float64) * scale[at, None]) @ queries[asking].T
-                        rows_, cols = (np.indices(a.shape).reshape(2, -1) if floors is None else np.nonzero(a + error[at, None] >= floors[asking] - 1e-9))
-                        if most is not None and floors is None and len(at) > most:  # of each query in the cell
+                    of, at = np.flatnonzero(probed[:, c]), np.flatnonzero(cell == c)
+                    vectors = u[at].astype(np.float64) * scale[at, None]
+                    for first in range(0, len(of), TILE):
+                        asking = of[first : first + TILE]
+                        a = vectors @ queries[asking].T
+                        rows_, cols = np.nonzero((a if floors is None else a + error[at, None]) >= least[asking])
+                        if most is not None and floors is None and len(at) > most and len(rows_) > most * len(asking):  # of each query in the cell
                             rows_ = np.argpartition(-a, most - 1, axis=0)[:most]
                             cols = np.broadcast_to(np.arange(a.shape[1]), rows_.shape).ravel()
                             rows_ = rows_.ravel()
                         held.append(pa.Table.from_arrays([pa.array(asking[cols], pa.int32()), batch.column(0).take(pa.array(at[rows_])), pa.array(np.full(len(rows_), c), pa.int32()), pa.array(a[rows_, cols])], schema=arrow))
-                if floors is not None or len(held) > 64:
-                    table = best(held) if held else None
-                    held = [] if floors is not None or table is None else [table]
-                    if floors is not None and table is not None:
-                        yield from table.to_batches()
+                        if floors is None and sum(x.num_rows for x in held) > max(HELD, 2 * (most or 0) * len(queries)):
+                            held = [best(held)]
+                            q, approx = held[0].column("q").to_numpy(), held[0].column("approx").to_numpy()
+                            full = np.bincount(q, minlength=len(queries)) >= most
+                            worst = np.full(len(queries), np.inf)
+                            np.minimum.at(worst, q, approx)
+                            least = np.where(full, worst, -np.inf)
+                if floors is not None and held:
+                    yield from pa.concat_tables(held).to_batches()
+                    held = []
             if held:
                 yield from best(held).to_batches()
 
@@ -198,12 +209,13 @@ class VectorIndex:
 
     def in_blocks(self, queries: DataFrame, search: Callable[[list[list[float]]], DataFrame]) -> DataFrame:
         """``search`` over any number of queries (id, vector), a block at a time: qid and what it gives. Each block is a pass over the cells that it probes."""
-        blocks = max(1, -(-queries.count() * 2 // BLOCK))
+        size = min(BLOCK, max(TILE, ENTRIES // max(1, len(self.tables.manifest().info["centroids"]))))
+        blocks = max(1, -(-queries.count() * 2 // size))
         out = None
         for b in range(blocks):
             held = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()  # about half a block
-            for at in range(0, len(held), BLOCK):
-                part = held[at : at + BLOCK]
+            for at in range(0, len(held), size):
+                part = held[at : at + size]
                 names = self.spark.createDataFrame([(i, r["id"]) for i, r in enumerate(part)], T.StructType([T.StructField("q", T.IntegerType()), T.StructField("qid", queries.schema["id"].dataType)]))
                 found = search([list(r["vector"]) for r in part]).join(F.broadcast(names), "q").drop("q")
                 out = found if out is None else out.unionByName(found)

@@ -82,3 +82,16 @@ def test_edges(spark):
         same.add(spark.createDataFrame([(1, 0, [1.0])], SCHEMA))
     with pytest.raises(ValueError, match="block"):
         same.near([[1.0, 2.0]] * (ann.BLOCK + 1), 1)
+
+
+def test_many_queries_are_few_passes(spark):
+    """Queries by the thousand are searched together, and each has the answer that it has alone."""
+    rows = spark.createDataFrame(cloud(3000), SCHEMA)
+    index, blocks = VectorIndex(spark, shared_folder(spark), cells=9).build(rows), []
+    truth = index.in_blocks(rows.select("id", "vector"), lambda q: blocks.append(len(q)) or index.exact(q, 5)).cache()
+    assert sum(blocks) == 3000 and len(blocks) <= 2
+    found = index.in_blocks(rows.select("id", "vector"), lambda q: index.near(q, 5, probes=9))
+    assert recall(found, truth).first().recall >= 0.99
+    for n in (0, 1500, 2999):
+        mine = sorted(((r.id, round(r.score, 9)) for r in truth.where(F.col("qid") == n).collect()), key=lambda x: (-x[1], x[0]))
+        assert mine == brute(cloud(3000), cloud(3000)[n][2], 5)
