@@ -121,6 +121,29 @@ def test_repaired_and_edge_changes(spark):
     assert [r.dst for r in graph.without(more, changed, "dst").collect()] == ["q"] and graph.without(more, spark.sql("SELECT 'n' AS id")).count() == 0
 
 
+def test_links_of_one_form_are_put_together_in_their_note(spark):
+    """Before any shuffle there is one row for each form; the first label counts, and one link that embeds is enough."""
+    links = [(0, "p/x", "one", False), (1, "./p/x.md", "two", True), (2, "/x", None, False), (3, "x", "three", False), (4, None, None, True), (5, "none", None, True)]
+    schema = "id string, links array<struct<ordinal:int,target:string,label:string,embed:boolean>>, refs array<struct<ordinal:int,rel:string,target:string>>, author string"
+    parsed = spark.createDataFrame([("n", links, [(0, "references", "r"), (1, "embeds", "p/x"), (2, "embeds", "f")], "me"), ("n", links[1:2], [], ""), ("o", [], [], None)], schema)
+    assert graph._drawn(parsed.limit(1)).count() == 3 + 4  # p/x, x and none; three stated and one mentioned
+    got = sorted((r.src, r.dst, r.rel, r.props.get("label")) for r in graph.derived(parsed, spark.createDataFrame([("n",), ("p/x",)], "id string")).collect())
+    assert got == [("n", "author/me", "mentions", None), ("n", "f", "embeds", None), ("n", "p/x", "embeds", None), ("n", "p/x", "links-to", "one"), ("n", "r", "references", None)]
+
+
+def test_postings_are_counted_in_their_row(spark):
+    """No shuffle but the one that deals them to the parts; rows that share an id are still summed up."""
+    rows = [(1, "v", ["t", "t"], ["k"], "b a b", "x"), (2, "v", None, None, None, "\u4e2d\u4e2d a"), (3, "v", [], [], "", "")]
+    docs = lambda r: spark.createDataFrame(r, "id long, collection string, tags array<string>, fm_terms array<string>, title string, content string")
+    index = StoredIndex(spark, shared_folder(spark))
+    posted = index._postings_of(docs(rows), True)
+    assert "Exchange" not in posted._jdf.queryExecution().executedPlan().toString()
+    want = [("content", "a", 2, 3, 1), ("content", "x", 1, 1, 1), ("content", "\u4e2d", 2, 3, 2), ("tags", "t", 1, 1, 1), ("title", "a", 1, 3, 1), ("title", "b", 1, 3, 2)]
+    assert sorted(map(tuple, posted.collect())) == sorted(want)
+    index.add(docs([*rows, rows[0]]))
+    assert {(r.field, r.term, r.id): r.tf for r in index.hits(["b", "x", "t"]).collect()} == {("title", "b", 1): 4, ("content", "x", 1): 2, ("tags", "t", 1): 2}
+
+
 def test_percentiles_of_skewed_groups(spark):
     r = random.Random(1)
     rows = [(g, v) for g, n in (("a", 5000), ("b", 3), ("c", 1)) for v in [r.choice([1.0, 1.0, round(r.gauss(0, 9), 2)]) for _ in range(n)]] + [("d", None)]
